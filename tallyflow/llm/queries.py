@@ -1,10 +1,17 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tallyflow.llm import simhash
+from tallyflow.llm import mixing, packing, quality_rules, simhash, url_rules
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op6_subset_sum_mix": mixing.op6_subset_sum_mix,
+    "op7_url_rules": url_rules.op7_url_rules,
+    "op8_shortest_pack_first": packing.op8_shortest_pack_first,
+    "op10_line_first_rules": quality_rules.op10_line_first_rules,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_url_rules": url_rules.SQL,
+    "op10_line_first_rules": quality_rules.SQL,
+}
