@@ -1,17 +1,20 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tallyflow.llm import mixing, packing, quality_rules, simhash, url_rules
+from tallyflow.llm import chat_format, mixing, multiset_hash, packing, quality_rules, simhash, url_rules
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
+    "op5_event_sourced_chat": chat_format.op5_event_sourced_chat,
     "op6_subset_sum_mix": mixing.op6_subset_sum_mix,
     "op7_url_rules": url_rules.op7_url_rules,
     "op8_shortest_pack_first": packing.op8_shortest_pack_first,
+    "op9_multiset_fingerprints": multiset_hash.op9_multiset_fingerprints,
     "op10_line_first_rules": quality_rules.op10_line_first_rules,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 SQL: dict[str, str] = {
+    "op5_event_sourced_chat": chat_format.SQL,
     "op7_url_rules": url_rules.SQL,
     "op10_line_first_rules": quality_rules.SQL,
 }
