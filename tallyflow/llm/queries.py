@@ -1,8 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tallyflow.llm import chat_format, mixing, multiset_hash, packing, quality_rules, simhash, url_rules
+from tallyflow.llm import chat_format, mixing, multiset_hash, packing, quality_model, quality_rules, simhash, toxicity, url_rules, wrappers
 
 QUERIES = {
+    "op1_bradley_terry_quality": quality_model.op1_bradley_terry_quality,
+    "op2_segment_toxicity": toxicity.op2_segment_toxicity,
+    "op3_wrapper_extraction": wrappers.op3_wrapper_extraction,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_event_sourced_chat": chat_format.op5_event_sourced_chat,
     "op6_subset_sum_mix": mixing.op6_subset_sum_mix,
