@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import cut, table
@@ -331,5 +331,16 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     return near_groups(fingerprints(texts, 2, (42, 43)), 2, 19, 5, confirm)
 
 
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, one of each group of near copies: the one with the least id (null ids come last)."""
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
+    groups = near_copies(docs.select(key.alias("doc_id"), "text"), shingle, similarity)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    keyed = docs.withColumn("_key", key)
+    nth = F.row_number().over(Window.partitionBy("_stay").orderBy("_key"))  # repeated rows have one key
+    both = keyed.join(stay, keyed["_key"] == stay["_stay"]).withColumn("_nth", nth).where("_nth = 1")
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_fingerprints(table(spark, sf_dir, "documents"))

@@ -237,11 +237,12 @@ SPANS = "array<struct<first:bigint,last:bigint,score:double,expected:double>>"
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", extra: list[str] | None = None) -> DataFrame:
     """(doc_id, score, predicted, passages): every significant passage as token positions, score and expectation.
 
-    ``extra`` columns of the documents ride along.
+    ``extra`` columns of the documents ride along; they may include the text.
     """
-    extra = extra or []
+    extra = [c for c in extra or [] if c != "text"] + ["text"] * ("text" in (extra or []))
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label))
-    picked = docs.select("doc_id", "text", *extra)
+    picked = docs.select("doc_id", "text", *[c for c in extra if c != "text"])
+    at = {c: picked.columns.index(c) for c in extra}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -254,7 +255,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", extra: list[
                 spans.append([{"first": f, "last": z, "score": s, "expected": e} for f, z, s, e in marked if e <= EXPECTED])
             kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())]))
             cols = [b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays([*cols, *(b.column(2 + i) for i in range(len(extra)))], ["doc_id", "score", "predicted", "passages", *extra])
+            yield pa.RecordBatch.from_arrays([*cols, *(b.column(at[c]) for c in extra)], ["doc_id", "score", "predicted", "passages", *extra])
 
     kinds = {f.name: f.dataType.simpleString() for f in picked.schema}
     return picked.mapInArrow(run, f"doc_id {kinds['doc_id']}, score double, predicted int, passages {SPANS}" + "".join(f", `{c}` {kinds[c]}" for c in extra))
