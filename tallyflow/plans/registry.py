@@ -1,5 +1,8 @@
 """All registered queries of the record analytics and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "a23_average_precision"
+from tallyflow.plans import graphs  # noqa: F401
+from tallyflow.plans.base import QUERIES, SQL
+
+FLAGSHIP = "g4_linked_wallets"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]

@@ -1 +1 @@
-
+"""Structured Streaming sources and stateful views of records."""
