@@ -242,13 +242,13 @@ def a28_graph_summary(spark, d):
 
 @query("g10_communities")
 def g10_communities(spark, d):
-    return iterative.label_communities(wallet_edges(spark, d))
+    return iterative.modularity_communities(wallet_edges(spark, d))
 
 
 @query("g10_modularity")
 def g10_modularity(spark, d):
     e = wallet_edges(spark, d)
-    return iterative.modularity(e, iterative.label_communities(e)).select(r6("modularity").alias("modularity"))
+    return iterative.modularity(e, iterative.modularity_communities(e)).select(r6("modularity").alias("modularity"))
 
 
 @query("g15_betweenness")

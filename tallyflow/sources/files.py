@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,13 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("_file", F.posexplode(rows).alias("_at", "r")).select("r.*", "_file", (F.col("_at") + 1).cast("bigint").alias("_row"))
 
 
+LISTS = [f.name for f in RECORD.fields if isinstance(f.dataType, T.ArrayType)]
+
+
+def _listed(name: str, items: Column) -> Column:
+    return F.to_json(F.transform(items, lambda x: x.cast("double")) if name.endswith("amounts") else items).alias(name)
+
+
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
     """<record> elements; nested children become JSON lists."""
     rows = spark.read.format("xml").option("rowTag", "record").option("ignoreNamespace", True).option("inferSchema", False).load(path)
@@ -52,12 +59,12 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
         elif kinds[c].startswith("struct"):
             inner = rows.schema[c].dataType.fieldNames()[0]
             inside = F.col(c)[inner]
-            inside = inside if isinstance(rows.schema[c].dataType[inner].dataType, T.ArrayType) else F.array(inside)
-            if c.endswith("amounts"):
-                inside = F.transform(inside, lambda x: x.cast("double"))
-            out.append(F.to_json(inside).alias(c))
+            out.append(_listed(c, inside if isinstance(rows.schema[c].dataType[inner].dataType, T.ArrayType) else F.array(inside)))
         elif kinds[c].startswith("array"):
-            out.append(F.to_json(c).alias(c))
+            out.append(_listed(c, F.col(c)))
+        elif c in LISTS:  # one element, or JSON text
+            text = F.col(c).cast("string")
+            out.append(F.when(F.ltrim(text).startswith("["), text).when(text.isNotNull(), _listed(c, F.array(text))).alias(c))
         else:
             out.append(F.col(c).cast("string").alias(c))
     return rows.select(*out, F.col("_metadata.file_path").alias("_file"))
@@ -107,9 +114,8 @@ def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
 
 def write_records(df: DataFrame, path: str, kind: str) -> None:
     """Records as CSV (lists as JSON), JSON lines or XML."""
-    lists = [f.name for f in RECORD.fields if isinstance(f.dataType, T.ArrayType)]
     if kind == "csv":
-        df.select(*[F.to_json(c).alias(c) if c in lists else F.col(c) for c in df.columns]).write.csv(path, header=True, quote='"', escape='"')
+        df.select(*[F.to_json(c).alias(c) if c in LISTS else F.col(c) for c in df.columns]).write.csv(path, header=True, quote='"', escape='"')
     elif kind == "json":
         df.write.json(path)
     else:
