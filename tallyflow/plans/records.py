@@ -276,30 +276,34 @@ def feat_port_anomaly(spark, d):
     return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r6(port("l_partkey") + port("l_suppkey")).alias("port_anomaly"))
 
 
-@query("features_all")
-def features_all(spark, d):
-    """All 38 features of orders read as records: customers and suppliers as addresses."""
+def order_records(spark, d):
+    """Orders as records of the contract: customers and suppliers as addresses."""
     p = payments(spark, d)
     s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("_s"), F.col("s_nationkey").alias("geo_asn"))
     c = load(spark, d, "customer").select(F.col("c_custkey").alias("_c"), F.col("c_nationkey").cast("string").alias("geo_country"))
     first = F.get("outputs", F.lit(0))
     both = p.join(c, p["wallet"] == c["_c"]).join(s, first == s["_s"])
     ip = lambda k: F.concat_ws(".", F.lit("10"), *[(F.floor(k / n) % 256).cast("string") for n in (65536, 256, 1)])
-    r = both.select(
+    return both.select(
         F.col("ts").cast("timestamp").alias("timestamp"), ip(F.col("wallet")).alias("src_ip"), ip(F.col("_s")).alias("dst_ip"), (F.col("txid") % 65536).cast("int").alias("src_port"), F.lit(8333).alias("dst_port"),
         F.col("txid").cast("string").alias("txid"), F.array(F.concat(F.lit("w"), "wallet")).alias("input_addresses"), F.transform("outputs", lambda x: F.concat(F.lit("s"), x)).alias("output_addresses"),
         F.array("amount").alias("input_amounts"), F.col("amounts").alias("output_amounts"), "fee", F.lit("P2WPKH").alias("script_type"), "geo_country", F.col("geo_asn").cast("bigint").alias("geo_asn"),
     )
-    f = features.features(r)
+
+
+@query("features_all")
+def features_all(spark, d):
+    """All 38 features of orders."""
+    f = features.features(order_records(spark, d))
     return f.select("txid", *[r6(n).alias(n) for n in features.FEATURES])
 
 
 # ---------------------------------------------------------------- scalar functions
 
 
-@query("x4_hash_numbers", "SELECT c_custkey, ('0x' || substr(sha256(c_custkey || '|' || c_nationkey), 1, 16))::UBIGINT::DECIMAL(20, 0) AS wide, (50 + ('0x' || substr(sha256(c_name), 1, 8))::UBIGINT % 251)::BIGINT AS radius FROM customer")
+@query("x4_hash_numbers", "SELECT c_custkey, ('0x' || substr(sha256(c_custkey || '|' || c_nationkey), 1, 16))::UBIGINT::VARCHAR AS wide, (50 + ('0x' || substr(sha256(c_name), 1, 8))::UBIGINT % 251)::BIGINT AS radius FROM customer")
 def x4_hash_numbers(spark, d):
-    return load(spark, d, "customer").select("c_custkey", scalars.hash_int(F.col("c_custkey"), F.col("c_nationkey")).alias("wide"), scalars.radius_km(F.col("c_name")).alias("radius"))
+    return load(spark, d, "customer").select("c_custkey", scalars.hash_int(F.col("c_custkey"), F.col("c_nationkey")).cast("string").alias("wide"), scalars.radius_km(F.col("c_name")).alias("radius"))
 
 
 @query("x8_clock", "SELECT event_id, hour(ts)::INT AS hour, (isodow(ts) - 1)::INT AS weekday FROM events")

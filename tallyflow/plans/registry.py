@@ -1,6 +1,6 @@
 """All registered queries of the record analytics and their SQL."""
 
-from tallyflow.plans import evaluation, graphs, records  # noqa: F401
+from tallyflow.plans import evaluation, graphs, labelled, records  # noqa: F401
 from tallyflow.plans.base import QUERIES, SQL
 
 FLAGSHIP = "g4_linked_wallets"

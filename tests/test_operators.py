@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyflow.functions import aggregates, scalars
-from tallyflow.operators import features, generate, geo, graph, iterative, metrics, models, serving
+from tallyflow.operators import alerts, features, generate, geo, graph, iterative, labelled, metrics, models, serving
 from tallyflow.sources import files, records
 from tallyflow.streaming import streams
 
@@ -317,6 +317,42 @@ def test_geo_refresh_is_repeatable(spark):
     assert geo.refresh(a, ips, F.lit("2025-01-01").cast("timestamp")).count() == 2
 
 
+def test_labelled_graph_files(spark, tmp_path):
+    head = "txId,time_step," + ",".join(f"feat_{i}" for i in range(166))
+    rows = [f"t{i},{[0, 5, 99, ''][i % 4]}," + ",".join(str(i * 0.1 + j) for j in range(166 - (i % 3))) for i in range(10)]
+    (tmp_path / "f.csv").write_text("\n".join([head, *rows]))
+    (tmp_path / "g.csv").write_text("\n".join(rows))
+    (tmp_path / "e.csv").write_text("txId1,txId2\n" + "\n".join(f"t{i},t{(i + 1) % 10}" for i in range(10)))
+    (tmp_path / "c.csv").write_text("txId,class\nt0,1\nt1, 2\nt2,unknown\nt3,7\n")
+    for f in ("f.csv", "g.csv"):
+        nodes, edges = labelled.load(spark, *(f"{tmp_path}/{x}" for x in (f, "e.csv", "c.csv")))
+        got = {r.id: r for r in nodes.collect()}
+        assert len(got) == 10 and edges.count() == 10 and all(len(r.features) == 166 for r in got.values())
+        assert [got[f"t{i}"].label for i in range(5)] == [1, 2, 0, 0, 0] and [got[f"t{i}"].step for i in range(4)] == [1, 5, 49, 1]
+        assert min(r.amount for r in got.values()) == pytest.approx(0.01) and max(r.amount for r in got.values()) == pytest.approx(10)
+    s = labelled.statistics(nodes).first()
+    assert (s.n, s.illicit, s.licit, s.unknown) == (10, 1, 1, 8)
+    same = nodes.withColumn("features", F.array_repeat(F.lit(1.0), 166)).drop("amount")
+    assert labelled.with_amount(same).select("amount").distinct().collect()[0][0] == 1.0
+
+
+def test_alerts_from_records(spark):
+    made = generate.records(spark, 200)
+    table = features.features(made).cache()
+    forest = models.fit_forest(table, ["fan_in", "fan_out", "fee_sat_per_vb", "output_dispersion_gini"], "txid", trees=30)
+    found = alerts.infer(made, forest).cache()
+    rows = sorted(found.collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in rows] == list(range(1, 201)) and all(a.p >= b.p for a, b in zip(rows, rows[1:], strict=False))
+    top = found.where("rank <= 5")
+    texts = alerts.explain(top, table, forest).collect()
+    assert len(texts) == 5 and all(t.text.startswith("Wallet bc1q") and "flagged" in t.text and len(t.top) == 3 for t in texts)
+    edges = graph.utxo_edges(made)
+    nodes, near = alerts.neighbourhood(edges, top.select(F.col("txid").alias("id")), 2, 50)
+    assert 5 <= nodes.count() <= 50 and near.count() > 0
+    parts = iterative.connected_components(edges)
+    assert alerts.weakly_connected_sample(edges, parts, 3).count() > 0
+
+
 def test_radius_is_never_a_predicate():
     from pathlib import Path
 
