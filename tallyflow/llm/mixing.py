@@ -125,16 +125,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 42) ->
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with their own columns."""
-    names = docs.columns
-    took = mix(docs, weights, seed).groupBy("k1", "k2").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    took = mix(docs, weights, seed).groupBy("k1", "k2").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("n_rows"))
     k1, k2 = F.xxhash64("doc_id", "text", "source"), F.xxhash64(F.lit(7), "source", "text", "doc_id")
-    keyed = docs.withColumn("_k1", k1).withColumn("_k2", k2)
-    both = keyed.join(took.where("_times > 0"), (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")))
+    # The document's own columns stay in one, where no name can clash.
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    both = keyed.join(took.where("times > 0"), ["k1", "k2"])
     # Rows with the same id, source and text share their total; the first of them get one more if it doesn't divide.
-    nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_times")) - 1
-    more = (nth < F.col("_times") % F.col("_rows")).cast("bigint")
-    copies = both.withColumn("_t", F.floor(F.col("_times") / F.col("_rows")) + more).where("_t > 0")
-    return copies.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_t").cast("int")))).select(*[F.col(f"`{c}`") for c in names])
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("times")) - 1
+    more = (nth < F.col("times") % F.col("n_rows")).cast("bigint")
+    copies = both.withColumn("each", F.floor(F.col("times") / F.col("n_rows")) + more).where("each > 0")
+    repeated = copies.select("doc", F.explode(F.sequence(F.lit(1), F.col("each").cast("int"))).alias("copy"))
+    return repeated.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op6_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

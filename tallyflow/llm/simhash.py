@@ -336,10 +336,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
     groups = near_copies(docs.select(key.alias("doc_id"), "text"), shingle, similarity)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    keyed = docs.withColumn("_key", key)
-    nth = F.row_number().over(Window.partitionBy("_stay").orderBy("_key"))  # repeated rows have one key
-    both = keyed.join(stay, keyed["_key"] == stay["_stay"]).withColumn("_nth", nth).where("_nth = 1")
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The document's own columns stay in one, where no name can clash; repeated rows have one key.
+    keyed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    both = keyed.join(stay.withColumnRenamed("_stay", "key"), "key")
+    one = both.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))).where("nth = 1")
+    return one.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

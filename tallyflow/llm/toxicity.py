@@ -264,4 +264,4 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", extra: list[
 def op2_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     part: Column = fold(F.col("doc_id"), 5)
     out = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(part != 0))
-    return out.select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "score", "predicted")
