@@ -20,10 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete the tables that cut() wrote in this session; call it when what was built from them is stored."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    while _WRITTEN:
+        path = hadoop.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write as Parquet to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

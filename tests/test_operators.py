@@ -353,6 +353,18 @@ def test_alerts_from_records(spark):
     assert alerts.weakly_connected_sample(edges, parts, 3).count() > 0
 
 
+def test_cut_tables_can_be_dropped(spark):
+    from pathlib import Path
+
+    from tallyflow.functions import tables
+
+    t = tables.cut(spark.range(5))
+    folder = Path(tables._WRITTEN[-1].removeprefix("file:"))
+    assert t.count() == 5 and folder.exists()
+    tables.drop_cuts(spark)
+    assert not folder.exists()
+
+
 def test_radius_is_never_a_predicate():
     from pathlib import Path
 
