@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -22,8 +24,22 @@ def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many of the flagged bytes each text has."""
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    out = np.zeros(len(offsets) - 1, np.int64)
+    some = offsets[:-1] < offsets[1:]
+    if some.any():
+        out[some] = np.add.reduceat(flags, offsets[:-1][some], dtype=np.int64)
+    return out
+
+
+def parts(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most so many bytes of text each, so that arrays over bytes stay small; a longer text is a slice of its own."""
+    ends = np.cumsum(np.diff(raw(batch.column(column))[1]))
+    at = 0
+    while at < batch.num_rows:
+        start = ends[at - 1] if at else 0
+        n = max(1, int(np.searchsorted(ends, start + most, side="right")) - at)
+        yield batch.slice(at, n)
+        at += n
 
 
 def word_starts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray | None = None) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyflow.llm.arrowtext import word_counts
+from tallyflow.llm.arrowtext import parts, word_counts
 from tallyflow.llm.common import cut, salted_rank, table
 
 WEIGHTS = (5, 2, 1)
@@ -88,7 +88,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     picked = docs.select("doc_id", "source", *keys, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole, 4)):
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(word_counts(b.column(4)))], ["doc_id", "source", "k1", "k2", "size"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()

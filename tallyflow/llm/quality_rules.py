@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.arrowtext import SPACE, per_text, raw, word_starts
+from tallyflow.llm.arrowtext import SPACE, parts, per_text, raw, word_starts
 from tallyflow.llm.common import table
 
 SYMBOLS = b"#*$%&|<>"
@@ -114,7 +114,7 @@ def clean_lines(docs: DataFrame, with_text: bool = False, extra: list[str] | Non
     symbol[list(SYMBOLS)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole, 1)):
             data, at = raw(b.column(1))
             space = SPACE[data]
             n_words = per_text(word_starts(data, at, space), at)
