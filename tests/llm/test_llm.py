@@ -196,7 +196,7 @@ def test_fingerprint_by_definition():
     assert simhash.fingerprint(" \n") == [0] and simhash.fingerprint(None) == [0]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_links_are_exact(spark, seed, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_ROWS", 64)
     rng = random.Random(seed)
