@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,12 +81,16 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def ingest(spark: SparkSession, path: str, out: str, quarantine: str, kind: str | None = None) -> dict[str, int]:
-    """Read, validate, and append clean rows as Parquet and the others as JSON lines. Returns the two counts."""
+    """Read, validate, and append clean rows as Parquet and the others as JSON lines. Returns the two counts.
+
+    The counts are observed while writing; nothing is read again for them.
+    """
     raw = READERS[kind or detect_format(spark, path)](spark, path)
     clean, bad = split(raw)
-    write_clean(clean, out)
-    append_quarantine(bad, quarantine)
-    return {"clean": clean.count(), "quarantined": bad.count()}
+    seen = {k: Observation(f"{k}-{uuid.uuid4().hex}") for k in ("clean", "quarantined")}
+    write_clean(clean.observe(seen["clean"], F.count(F.lit(1)).alias("n")), out)
+    append_quarantine(bad.observe(seen["quarantined"], F.count(F.lit(1)).alias("n")), quarantine)
+    return {k: int(o.get["n"]) for k, o in seen.items()}
 
 
 def ingest_folder(spark: SparkSession, folder: str, out: str, quarantine: str) -> dict[str, int]:

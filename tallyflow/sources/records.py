@@ -52,21 +52,21 @@ def _list(name: str, kind: str) -> Column:
 
 
 def record_rules() -> list[Rule]:
-    """Rules over text columns."""
-    stamp = parse_instant(F.col("timestamp"))
-    rules = [Rule("timestamp", stamp, stamp.isNotNull(), "timestamp: not an instant")]
+    """Rules over text columns; ``valid`` may look at the parsed value as _v_<name>."""
+    parsed = lambda name: F.col(f"_v_{name}")
+    there = lambda name: parsed(name).isNotNull()
+    rules = [Rule("timestamp", parse_instant(F.col("timestamp")), there("timestamp"), "timestamp: not an instant")]
     for c in ("src_ip", "dst_ip"):
-        rules.append(Rule(c, F.trim(F.col(c)), valid_ipv4(F.col(c)), f"{c}: not an IPv4 address"))
+        rules.append(Rule(c, F.trim(F.col(c)), valid_ipv4(parsed(c)), f"{c}: not an IPv4 address"))
     for c in ("src_port", "dst_port"):
-        port = coerce_integer(F.col(c))
-        rules.append(Rule(c, port.cast("int"), port.between(0, 65535), f"{c}: not an integer from 0 to 65535"))
+        rules.append(Rule(c, coerce_integer(F.col(c)).try_cast("int"), parsed(c).between(0, 65535), f"{c}: not an integer from 0 to 65535"))
     rules.append(Rule("txid", F.col("txid"), F.col("txid").rlike("^[a-f0-9]{64}$"), "txid: not 64 hex digits"))
     for c, kind in (("input_addresses", "string"), ("output_addresses", "string"), ("input_amounts", "double"), ("output_amounts", "double")):
-        rules.append(Rule(c, _list(c, kind), _list(c, kind).isNotNull() & ~F.exists(_list(c, kind), lambda x: x.isNull()), f"{c}: not a list of {kind}"))
-    rules.append(Rule("fee", coerce_float(F.col("fee")), coerce_float(F.col("fee")).isNotNull(), "fee: not a float"))
+        rules.append(Rule(c, _list(c, kind), there(c) & ~F.exists(parsed(c), lambda x: x.isNull()), f"{c}: not a list of {kind}"))
+    rules.append(Rule("fee", coerce_float(F.col("fee")), there("fee"), "fee: not a float"))
     rules.append(Rule("script_type", F.col("script_type"), F.col("script_type").isin(*SCRIPT_TYPES), "script_type: unknown name"))
     rules.append(Rule("geo_country", F.col("geo_country"), F.col("geo_country").isNotNull(), "geo_country: missing"))
-    rules.append(Rule("geo_asn", coerce_integer(F.col("geo_asn")), coerce_integer(F.col("geo_asn")).isNotNull(), "geo_asn: not an integer"))
+    rules.append(Rule("geo_asn", coerce_integer(F.col("geo_asn")), there("geo_asn"), "geo_asn: not an integer"))
     return rules
 
 
@@ -85,8 +85,9 @@ def split(raw: DataFrame, rules: list[Rule] | None = None, keep: list[str] | Non
     names = [r.name for r in rules]
     missing = [n for n in names if n not in raw.columns]
     raw = raw.select("*", *[F.lit(None).cast("string").alias(n) for n in missing])
-    marked = checked(raw, rules)
-    values = [r.value.alias(r.name) for r in rules]
+    # Values are parsed once, and the rules then look at them.
+    marked = checked(raw.select("*", *[r.value.alias(f"_v_{r.name}") for r in rules]), rules)
+    values = [F.col(f"_v_{r.name}").alias(r.name) for r in rules]
     clean = marked.where(F.size("errors") == 0).select(*(keep or []), *values)
     file = F.col("_file") if "_file" in raw.columns else F.lit(None).cast("string")
     row = F.col("_row") if "_row" in raw.columns else F.lit(None).cast("bigint")
