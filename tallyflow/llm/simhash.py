@@ -292,6 +292,8 @@ def near_groups(fps: DataFrame, words: int = 1, radius: int = 4, per_word: int |
     least = known.groupBy("root").agg(F.min("first_id").alias("least_id"))
     placed = known.join(least, "root").select(F.col("node").alias("fp"), "least_id")
     named = reps.join(placed, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
+    # Written first, so that the join has a plain exchange on either side and a fingerprint of many copies can be split.
+    named = cut(named, "simhash-components")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
