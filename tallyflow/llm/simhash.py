@@ -34,6 +34,8 @@ SHARD_ROWS = 4096
 LEAF_ROWS = 96
 #: A shard above this many rows is dealt as pairs of parts.
 PART_ROWS = 16_384
+#: Pairs from one fingerprint of a leaf in the first search after failed links; MORE times as many in each further one.
+PAIRS, MORE = 32, 8
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -59,21 +61,27 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprint(text: str | None, shingle: int = 4, seeds: tuple[int, ...] = (42,)) -> list[int]:
-    """One 64-bit word for each seed. Every shingle of the whole text counts, repeats included."""
-    parts = _shingles(_words(text), shingle)
+def fingerprint(text: str | None, shingle: int = 4, seeds: tuple[int, ...] = (42,), whole: bool = False) -> list[int]:
+    """One 64-bit word for each seed. Every shingle of the whole text counts, repeats included.
+
+    ``whole`` adds a hash of all the words, so that only texts of the same words share a fingerprint.
+    """
+    words = _words(text)
+    parts = _shingles(words, shingle)
+    own = [xxhash.xxh64_intdigest(b" ".join(words))] if whole else []
     if not parts:
-        return [0] * len(seeds)
-    return [majority_bits(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(s)), np.uint64, len(parts))) for s in seeds]
+        return [0] * len(seeds) + own
+    return [majority_bits(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(s)), np.uint64, len(parts))) for s in seeds] + own
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is an array of one long a seed."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(id, fp): fp is an array of one long a seed, and with ``whole`` one more for the words."""
+    width = len(seeds) + whole
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle, seeds) for t in b.column(1)], np.uint64).reshape(-1, len(seeds))
+            fps = np.array([fingerprint(t.as_py(), shingle, seeds, whole) for t in b.column(1)], np.uint64).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "fp"])
 
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp array<bigint>")
@@ -178,14 +186,36 @@ def spanning(f: np.ndarray, radius: int, side: np.ndarray | None = None) -> list
     return out
 
 
-def search(f: np.ndarray, x: np.ndarray, r: int, radius: int, seed: int) -> list[tuple[int, int]]:
-    """Links within one shard: the lower tree over the block's bits ``x``, then the full width ``f`` in its leaves."""
+def apart(f: np.ndarray, radius: int, side: np.ndarray, most: int, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Positions of the links between different sides (and parts): all of them, or ``most`` from a row.
+
+    (i, i) says that row i has more than that.
+    """
+    out: list[tuple[int, int]] = []
+    for at in range(0, len(f), 512):
+        near = np.triu(_near(f[at : at + 512], f[at:], radius), 1)
+        near &= side[at : at + 512, None] != side[None, at:]
+        if part is not None:
+            near &= part[at : at + 512, None] != part[None, at:]
+        i, j = np.nonzero(near)
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        out += zip((i[nth < most] + at).tolist(), (j[nth < most] + at).tolist(), strict=True)
+        out += [(int(k) + at, int(k) + at) for k in i[nth == most]]
+    return out
+
+
+def search(f: np.ndarray, x: np.ndarray, r: int, radius: int, seed: int, side: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
+    """Links within one shard: the lower tree over the block's bits ``x``, then the full width ``f`` in its leaves.
+
+    They are a forest, or with ``side`` those of apart().
+    """
     rng, out, todo = np.random.default_rng(seed), [], [np.arange(len(x))]
     while todo:
         at = todo.pop()
         cuts = _split(x[at], r, rng) if len(at) > LEAF_ROWS else None
         if cuts is None:
-            out += [(int(at[i]), int(at[j])) for i, j in spanning(f[at], radius)]
+            pairs = spanning(f[at], radius) if side is None else apart(f[at], radius, side[at], most)
+            out += [(int(at[i]), int(at[j])) for i, j in pairs]
             continue
         left, right = _sides(x[at], *cuts, r)
         todo += [at[left], at[right]]
@@ -195,19 +225,25 @@ def search(f: np.ndarray, x: np.ndarray, r: int, radius: int, seed: int) -> list
 # ---------------------------------------------------------------- links and components
 
 
-def links(distinct: DataFrame, words: int, radius: int, per_word: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, words: int, radius: int, per_word: int | None = None, width: int | None = None, most: int | None = None) -> DataFrame:
     """(u, v): links between different fingerprints (arrays of longs) that join whatever is within ``radius`` bits.
 
     The links span each group of a shard; a group's other pairs follow from them. ``distinct`` holds each
-    fingerprint once and should be a written table, as it is read three times.
+    fingerprint once and should be a written table, as it is read three times. The first ``words`` of a fingerprint's
+    ``width`` longs are compared.
+
+    With ``most``, ``distinct`` has a column ``side`` too, and the links are those between different sides, up to
+    ``most`` from a fingerprint in a leaf; a link from a fingerprint to itself says that some were left out.
     """
     spark = distinct.sparkSession
+    width = width or words
+    sides = [] if most is None else ["side"]
     blocks = blocks_of(words, radius, per_word)
     n = distinct.count()
     share = min(1.0, SAMPLE / max(n, 1))
     by_hash = F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20) + 1)
     rows = distinct.where(by_hash).select("fp").limit(2 * SAMPLE).collect()
-    sample = np.array([r[0] for r in rows], np.int64).reshape(-1, words).view(np.uint64)
+    sample = np.array([r[0][:words] for r in rows], np.int64).reshape(-1, words).view(np.uint64)
     sample = sample[np.lexsort(sample.T)]  # the same trees whatever the rows' order
     levels = min(MAX_LEVELS, max(0, math.ceil(math.log(max(n, 1) / SHARD_ROWS) / math.log(1.75))))
     tops = spark.sparkContext.broadcast([grow_top(sample[:, w] & m, r, levels, k) for k, (w, m, r) in enumerate(blocks)])
@@ -215,15 +251,16 @@ def links(distinct: DataFrame, words: int, radius: int, per_word: int | None = N
 
     def deal(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in frames:
-            flat = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+            flat = b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
             for k, (w, m, r) in enumerate(blocks):
                 for shard, at in route(flat[:, w] & m, tops.value[k], r):
                     cols = [pa.array(np.full(len(at), k * size + shard, np.int32))]
-                    cols += [pa.array(flat[at, i].view(np.int64)) for i in range(words)]
-                    yield pa.RecordBatch.from_arrays(cols, ["shard", *(f"w{i}" for i in range(words))])
+                    cols += [pa.array(flat[at, i].view(np.int64)) for i in range(width)]
+                    cols += [b.column(1).take(pa.array(at)) for _ in sides]
+                    yield pa.RecordBatch.from_arrays(cols, ["shard", *(f"w{i}" for i in range(width)), *sides])
 
-    cols = [f"w{i}" for i in range(words)]
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, " + ", ".join(f"{c} bigint" for c in cols))
+    cols = [f"w{i}" for i in range(width)]
+    dealt = distinct.select("fp", *sides).mapInArrow(deal, "shard int, " + ", ".join(f"{c} bigint" for c in cols + sides))
     dealt = cut(dealt, "simhash-dealt")
     counts = {r[0]: r[1] for r in dealt.groupBy("shard").count().collect()}  # at most 2**12 shards a block
     parts = {s: math.ceil(c / PART_ROWS) for s, c in counts.items() if c > 2 * PART_ROWS}
@@ -232,10 +269,10 @@ def links(distinct: DataFrame, words: int, radius: int, per_word: int | None = N
         g = F.coalesce(many[F.col("shard")], F.lit(1))
         dealt = dealt.withColumn("g", g).withColumn("p", F.pmod(F.xxhash64(*cols), F.col("g")).cast("int"))
         other = F.explode(F.expr("sequence(0, g - 1)"))
-        dealt = dealt.withColumn("q", other).select("shard", F.least("p", "q").cast("int").alias("a"), F.greatest("p", "q").cast("int").alias("b"), "p", *cols)
+        dealt = dealt.withColumn("q", other).select("shard", F.least("p", "q").cast("int").alias("a"), F.greatest("p", "q").cast("int").alias("b"), "p", *cols, *sides)
     else:
         zero = F.lit(0).cast("int")
-        dealt = dealt.select("shard", zero.alias("a"), zero.alias("b"), zero.alias("p"), *cols)
+        dealt = dealt.select("shard", zero.alias("a"), zero.alias("b"), zero.alias("p"), *cols, *sides)
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         f = np.column_stack([pdf[c].to_numpy(np.int64).view(np.uint64) for c in cols])
@@ -243,10 +280,15 @@ def links(distinct: DataFrame, words: int, radius: int, per_word: int | None = N
         shard, a, b = (int(pdf[c].iloc[0]) for c in ("shard", "a", "b"))
         k = shard // size
         w, m, r = blocks[k]
+        side = pdf["side"].to_numpy()[order] if sides else None
+        part = pdf["p"].to_numpy()[order]
+        bits = f[:, :words]
         if a == b:
-            pairs = search(f, f[:, w] & m, r, radius, shard)
+            pairs = search(bits, bits[:, w] & m, r, radius, shard, side, most or 0)
+        elif side is None:
+            pairs = spanning(bits, radius, part)
         else:
-            pairs = spanning(f, radius, pdf["p"].to_numpy()[order])
+            pairs = apart(bits, radius, side, most, part)
         at = np.array(pairs, np.int64).reshape(-1, 2)
         signed = f.view(np.int64)
         return pd.DataFrame({c: pd.Series(signed[at[:, i]].tolist(), dtype=object) for i, c in enumerate("uv")})
@@ -278,16 +320,47 @@ def components(edges: DataFrame) -> DataFrame:
     return tips.unionAll(tips.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_groups(fps: DataFrame, words: int = 1, radius: int = 4, per_word: int | None = None, confirm=None) -> DataFrame:
+def confirmed(found: DataFrame, test, again) -> DataFrame:
+    """components() of all the links that pass ``test``, of which ``found`` names a forest.
+
+    ``test`` adds a column ok to links. A failed link may have stood for pairs that the forest never named, so
+    ``again(nodes, most)`` searches all that had a link, by (fp, side), for pairs of different components. Each
+    search may take MORE times as many pairs, until one has left none out: then every near pair is in one component
+    or has failed.
+    """
+    seen = cut(test(found), "simhash-tested")
+    ends = cut(seen.select(F.col("u").alias("fp")).unionAll(seen.select(F.col("v").alias("fp"))).distinct(), "simhash-ends")
+    linked = components(seen.where("ok"))
+    most = PAIRS
+    whole = seen.where("NOT ok").isEmpty()
+    while not whole:
+        placed = ends.join(linked, ends["fp"] == linked["node"], "left")
+        nodes = cut(placed.select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("side")), "simhash-sides")
+        pairs = cut(again(nodes, most), "simhash-pairs")
+        whole = pairs.where("u = v").isEmpty()
+        fresh = pairs.where("u <> v").join(seen, ["u", "v"], "left_anti")
+        tested = cut(test(fresh), "simhash-tested")
+        seen = seen.unionByName(tested)
+        if not tested.where("ok").isEmpty():
+            linked = components(seen.where("ok"))
+        most *= MORE
+    return linked
+
+
+def near_groups(fps: DataFrame, words: int = 1, radius: int = 4, per_word: int | None = None, width: int | None = None, confirm=None) -> DataFrame:
     """(doc_id, fp, component_id) for (doc_id, fp) rows; component_id is the least doc_id reachable by links.
 
-    ``confirm`` may narrow the links (u, v) before they are joined up.
+    ``confirm(found, fps, reps)`` may give a test for the links, see confirmed(). The first ``words`` of the ``width``
+    longs of a fingerprint are compared.
     """
     fps = cut(fps, "simhash-fps")
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    found = links(reps, words, radius, per_word)
-    found = confirm(found, fps, reps) if confirm else found
-    linked = components(found)
+    found = links(reps, words, radius, per_word, width)
+    if confirm:
+        found = cut(found, "simhash-candidates")
+        linked = confirmed(found, confirm(found, fps, reps), lambda nodes, most: links(nodes, words, radius, per_word, width, most))
+    else:
+        linked = components(found)
     known = linked.join(reps, linked["node"] == reps["fp"]).select("node", "root", "first_id")
     least = known.groupBy("root").agg(F.min("first_id").alias("least_id"))
     placed = known.join(least, "root").select(F.col("node").alias("fp"), "least_id")
@@ -312,7 +385,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     """(doc_id, fp, component_id): documents joined by links of word-shingle similarity ``similarity`` or more.
 
     Candidates lie within 19 of 128 SimHash bits over word pairs, which word edits, cuts and insertions move little;
-    the texts of each candidate link are then compared by the Jaccard similarity of their five-word shingles.
+    the texts of each candidate link are then compared by the Jaccard similarity of their five-word shingles. Where
+    links fail, confirmed() searches on until no near pair is left untested, so a text that is near many others but
+    like none of them hides no copy. Only texts of the same words share a fingerprint.
     """
     texts = docs.select("doc_id", "text")
 
@@ -320,17 +395,29 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    def confirm(found: DataFrame, fps: DataFrame, reps: DataFrame) -> DataFrame:
-        found = cut(found, "simhash-candidates")
+    def sized(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["n"] = [len(set(_shingles(_words(t), shingle))) for t in f["text"]]
+            yield f
+
+    def confirm(found: DataFrame, fps: DataFrame, reps: DataFrame):
         ends = found.select(F.col("u").alias("fp")).unionAll(found.select(F.col("v").alias("fp"))).distinct()
         keys = reps.join(ends, "fp").select("fp", F.col("first_id").alias("doc_id"))
         of = fps.join(keys, ["fp", "doc_id"], "left_semi").dropDuplicates(["fp", "doc_id"])
-        text = cut(texts.join(of, "doc_id").groupBy("fp").agg(F.min("text").alias("text")), "simhash-texts")
-        one = found.join(text.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u")
-        two = one.join(text.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
-        return two.where(jaccard("a", "b") >= similarity).select("u", "v")
+        one_each = texts.join(of, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
+        text = cut(one_each.mapInPandas(sized, "fp array<bigint>, text string, n int"), "simhash-texts")
+
+        def test(links: DataFrame) -> DataFrame:
+            # Sets of too different sizes can't be alike: those pairs need no texts.
+            size = links.join(text.select(F.col("fp").alias("u"), F.col("n").alias("m")), "u").join(text.select(F.col("fp").alias("v"), "n"), "v")
+            size = cut(size.select("u", "v", (F.least("m", "n") >= similarity * F.greatest("m", "n")).alias("able")), "simhash-sizes")
+            one = size.where("able").join(text.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u")
+            two = one.join(text.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
+            return two.select("u", "v", (jaccard("a", "b") >= similarity).alias("ok")).unionAll(size.where("NOT able").select("u", "v", F.lit(False)))
+
+        return test
 
-    return near_groups(fingerprints(texts, 2, (42, 43)), 2, 19, 5, confirm)
+    return near_groups(fingerprints(texts, 2, (42, 43), whole=True), 2, 19, 5, 3, confirm)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

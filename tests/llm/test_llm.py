@@ -253,6 +253,30 @@ def test_near_copies_are_caught_and_others_left(spark):
     assert kept == set(range(60))
 
 
+def test_a_near_text_that_is_no_copy_hides_none(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 1, raising=False)
+    own = [f"{c}{i}" for c in "bcde" for i in range(60)]
+    words = {0: [f"a{i}" for i in range(60)], 1: own[:60], 2: own[:59] + ["x"], 3: own[60:120], 4: own[60:119] + ["x"], 5: own[120:180], 6: own[180:]}
+    bits = {0: 0, 1: 0b11, 2: 0b1100, 3: 0b110000, 4: 0b11000000, 5: 0b1100000000, 6: 0b110000000000}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id bigint, text string")
+    of = spark.createDataFrame([(" ".join(w), bits[i]) for i, w in words.items()], "t string, bits bigint")
+
+    def fake(texts, *_, whole=False, **__):
+        parts = [F.col("bits"), F.lit(0).cast("bigint"), *([F.xxhash64("text")] if whole else [])]
+        return texts.join(of, texts["text"] == of["t"]).select("doc_id", F.array(*parts).alias("fp"))
+
+    monkeypatch.setattr(simhash, "fingerprints", fake)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, 1, 3, 5, 6}
+
+
+def test_equal_word_pairs_are_not_equal_texts(spark):
+    parts = [f"p l{i} r{i}" for i in range(40)]
+    one, two = " ".join(parts) + " p", " ".join(parts[::-1]) + " p"
+    assert simhash.fingerprint(one, 2, (42, 43)) == simhash.fingerprint(two, 2, (42, 43))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one.upper())], "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {1, 2}
+
+
 # ---------------------------------------------------------------- chat
 
 
