@@ -140,6 +140,26 @@ def test_copies_are_not_template():
     assert all(t.startswith("A paragraph") for t in wrappers.extract_block(long))
 
 
+def _story(i):
+    return " ".join(f"w{i}x{j}" for j in range(12))
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 12])
+def test_menus_longer_than_the_article_are_template(n):
+    menu = "<div><p>Home and all the sections of this paper</p><p>Weather, traffic, sports and local news</p></div>"
+    foot = "<div><p>The house of the daily paper, Main Street 1, open on all days but Sunday</p></div>"
+    pages = [f"<body>{menu}<div><p>{_story(i)}</p></div>{foot}</body>" for i in range(n)]
+    assert wrappers.extract_block(pages) == [_story(i) for i in range(n)]
+
+
+def test_template_of_later_regions_and_of_other_pages():
+    two = [f"<body><article><p>{_story(i)}</p></article><article><p>{_story(100 + i)}</p><p>Read on in our paper.</p></article></body>" for i in range(8)]
+    assert wrappers.extract_block(two) == [f"{_story(i)}\n\n{_story(100 + i)}" for i in range(8)]
+    # The page of median size lacks what nine of ten have.
+    rest = [f"<body><div><p>{_story(i)}</p>{'<p>Read on in our paper.</p>' if i != 5 else f'<p>{_story(50)}</p>'}{'<i></i>' * (i > 5)}</div></body>" for i in range(10)]
+    assert wrappers.extract_block(rest) == [_story(i) if i != 5 else f"{_story(5)}\n\n{_story(50)}" for i in range(10)]
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<p>a<b", "</p></p>", "<script>x", "&#x110000;&#0;&am", "<!-- x", "a < b", "<p a='x\">t</p>", "<div>" * 5000 + "x"])
 def test_broken_markup(page):
     assert isinstance(wrappers.extract_block([page])[0], str)
