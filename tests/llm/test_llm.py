@@ -152,6 +152,20 @@ def test_menus_longer_than_the_article_are_template(n):
     assert wrappers.extract_block(pages) == [_story(i) for i in range(n)]
 
 
+@pytest.mark.parametrize("tag", ['div style="overflow:hidden"', 'div data-hidden="false"', 'div title="Hidden gems"', 'div class="has-sidebar"', 'div class="no-comments"', 'div class="popular-post"', 'form action="x"'])
+def test_wrappers_of_a_page_are_not_furniture(tag):
+    end = f"</{tag.split()[0]}>"
+    side = '<div class="side-bar">More</div><div class="comments"><p>First!</p></div><div hidden>No</div><div aria-hidden=true>No</div>'
+    assert wrappers.extract_block([f"<body><{tag}><p>{_story(1)}</p>{side}{end}</body>"]) == [_story(1)]
+    assert wrappers.extract_block([f"<body><{tag}><article><p>{_story(1)}</p></article>{side}{end}</body>"]) == [_story(1)]
+
+
+def test_long_comments_beside_an_article_stay_furniture():
+    said = "".join(f"<p>{_story(i)}</p>" for i in range(9))
+    assert wrappers.extract_block([f'<body><article><p>One.</p></article><div class="comment-list">{said}</div></body>']) == ["One."]
+    assert wrappers.extract_block([f'<body><div><p>One.</p></div><div class="comments">{said}</div></body>']) == ["One."]
+
+
 def test_template_of_later_regions_and_of_other_pages():
     two = [f"<body><article><p>{_story(i)}</p></article><article><p>{_story(100 + i)}</p><p>Read on in our paper.</p></article></body>" for i in range(8)]
     assert wrappers.extract_block(two) == [f"{_story(i)}\n\n{_story(100 + i)}" for i in range(8)]
