@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,3 +373,19 @@ def test_radius_is_never_a_predicate():
 
     text = "".join(p.read_text() for p in Path(tallyflow.__file__).parent.rglob("*.py"))
     assert "where(\"radius" not in text and 'col("radius") <' not in text and 'col("radius") >' not in text
+
+
+def test_outlier_factor_is_that_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (1500, 2)), rng.normal(9, 0.01, (30, 2)), np.zeros((25, 2)), [[40.0, 40.0]]])
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id bigint, a double, b double")
+    got = {r.id: r.lof for r in models.local_outlier_factor(rows, ["a", "b"], "id", **({"cell": 100} if "cell" in models.local_outlier_factor.__code__.co_varnames else {})).collect()}
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :20]
+    at = np.take_along_axis(d, near, 1)
+    density = 1 / (np.maximum(at, at[:, -1][near]).mean(axis=1) + 1e-10)
+    want = density[near].mean(axis=1) / density
+    assert np.allclose([got[i] for i in range(len(x))], want, rtol=1e-4)
+    assert max(got[i] for i in range(1500, 1530)) < 3 < got[len(x) - 1]
