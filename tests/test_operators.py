@@ -221,6 +221,15 @@ def test_betweenness(spark):
     assert got == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_searches_go_to_the_end_of_long_paths(spark):
+    line = lambda n: spark.createDataFrame([(i, i + 1) for i in range(n)], "src int, dst int")
+    first = spark.createDataFrame([(0,)], "id int")
+    assert {r.id: r.level for r in iterative.bfs_levels(line(53), first).collect()} == {i: i for i in range(54)}
+    got = {r.id: r.betweenness for r in iterative.betweenness(line(33), first).collect()}
+    assert got == {0: 0.0, **{i: (33 - i) / 2 for i in range(1, 34)}}
+    assert iterative.bfs_levels(line(9), first, 3).count() == 4
+
+
 def test_communities_of_two_cliques(spark):
     pairs = [(a, b) for g in (range(6), range(10, 16)) for a in g for b in g if a < b] + [(0, 10)]
     df = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src int, dst int, weight double")
