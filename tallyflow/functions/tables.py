@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local master without it gets a temporary folder, a cluster an error."""
+    """The folder for written intermediate tables: ``spark.checkpoint.dir``.
+
+    Where the setting is missing, a local master gets a temporary folder of its own; on a cluster that is an
+    error, as executors would not see a folder of the driver.
+    """
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if path is None:
         if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -32,7 +36,7 @@ def drop_cuts(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write as Parquet to the shared folder and read back."""
+    """Write as Parquet to the shared folder and read back: a short lineage that survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
