@@ -105,6 +105,23 @@ def display_tier(p: Column) -> Column:
     return F.when(p > 0.90, "critical").when(p >= 0.75, "high").when(p >= 0.50, "medium").otherwise("low")
 
 
+def geo_tier(p: Column) -> Column:
+    """The three tiers of a map's markers."""
+    return F.when(p >= 0.8, "tier1").when(p >= 0.5, "tier2").otherwise("tier3")
+
+
+def place_tier(country: Column, asn: Column) -> Column:
+    """A tier by the hash of country and network, for markers without a score; a missing network is 0."""
+    third = string_hash31(F.concat_ws("-", country, F.coalesce(asn.cast("string"), F.lit("0")))) % 3
+    return F.when(third == 0, "tier1").when(third == 1, "tier2").otherwise("tier3")
+
+
+def stretched(value: Column, low: Column, high: Column, least: float = 0.05) -> Column:
+    """Values of a spread below ``least`` drawn out to 0.2 to 0.8 (0.5 where all are equal); others as they are."""
+    spread = high - low
+    return F.when(spread >= least, value).when(spread > 0, 0.2 + 0.6 * (value - low) / spread).otherwise(F.lit(0.5))
+
+
 def string_hash31(text: Column) -> Column:
     """The 31-polynomial hash of a string's characters modulo 2**32."""
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -126,17 +143,24 @@ def burst_bucket(seconds: Column) -> Column:
     return F.when(seconds < 300, "0-5m").when(seconds < 600, "5-10m").when(seconds < 1800, "10-30m").when(seconds < 3600, "30-60m").otherwise("60m+")
 
 
+#: Fixed values of the heuristic score: the base, then what each sign adds.
+SCORE_BASE, SCORE_FAN, SCORE_WIDE_FAN, SCORE_FEE, SCORE_PEEL, SCORE_SMALL = 0.15, 0.35, 0.2, 0.25, 0.15, 0.1
+
+
 def heuristic_score(fan_in: Column, fan_out: Column, fee: Column, outputs_max: Column) -> Column:
     """Points for fan-in or fan-out, a high fee, a one-to-two payment and many small outputs; 0.01 to 0.99."""
-    s = F.lit(0.15) + F.when((fan_out >= 5) | (fan_in >= 5), 0.35).otherwise(0.0) + F.when(fan_out >= 10, 0.2).otherwise(0.0)
-    s = s + F.when(fee > 0.01, 0.25).otherwise(0.0) + F.when((fan_in == 1) & (fan_out == 2), 0.15).otherwise(0.0)
-    s = s + F.when((fan_out >= 5) & (outputs_max < 1.0), 0.1).otherwise(0.0)
+    points = lambda sign, n: F.when(sign, n).otherwise(0.0)
+    s = F.lit(SCORE_BASE) + points((fan_out >= 5) | (fan_in >= 5), SCORE_FAN) + points(fan_out >= 10, SCORE_WIDE_FAN)
+    s = s + points(fee > 0.01, SCORE_FEE) + points((fan_in == 1) & (fan_out == 2), SCORE_PEEL) + points((fan_out >= 5) & (outputs_max < 1.0), SCORE_SMALL)
     return F.least(F.lit(0.99), F.greatest(F.lit(0.01), s))
 
 
+#: Fixed value: the sentence that explains an alert.
+EXPLANATION = "Wallet %s flagged: %s outputs <1 BTC in %s min, peers %s ASN %s — conf %.2f (%s+%s+%s)"
+
+
 def explanation_text(addr: Column, fan_out: Column, burst: Column, countries: Column, hops: Column, p: Column, top: list[Column]) -> Column:
     """The sentence that explains an alert."""
     return F.format_string(
-        "Wallet %s flagged: %s outputs <1 BTC in %s min, peers %s ASN %s — conf %.2f (%s+%s+%s)",
-        addr, fan_out.cast("string"), burst.cast("string"), countries.cast("string"), hops.cast("string"), p, *top,
+        EXPLANATION, addr, fan_out.cast("string"), burst.cast("string"), countries.cast("string"), hops.cast("string"), p, *top,
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyflow.functions.tables import cut
+from tallyflow.functions import ranges
 
 
 def brier(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
@@ -19,20 +19,23 @@ def calibration_error(df: DataFrame, p: str = "p", y: str = "y", bins: int = 10,
     return per.agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / F.sum("n")).alias("ece"))
 
 
-def score_counts(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
-    """(p, tp, fp, pos, neg): running counts from the highest score down, equal scores together.
+def running(per: DataFrame, order: Column, names: list[str]) -> DataFrame:
+    """Adds to rows of distinct ``order`` the running sums of the named columns as run_<name> and their totals as all_<name>.
 
-    Rows are first counted by score, so what the running sum sees is one row a distinct score. The running sum
-    itself is taken inside ranges of scores and lifted by the ranges above, so no task sees all scores.
+    Sums run inside ranges of about equally many rows and are lifted by the ranges before, so no task sees all rows.
     """
-    per = df.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("bigint")).alias("pos_here"), F.sum(1 - F.col(y).cast("bigint")).alias("neg_here"))
-    per = cut(per.withColumn("part", F.floor(F.col("p") * 1024)), "scores")
-    parts = per.groupBy("part").agg(F.sum("pos_here").alias("pp"), F.sum("neg_here").alias("pn"))
-    above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # one row a part of the score range
-    lifted = parts.select("part", F.coalesce(F.sum("pp").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("pn").over(above), F.lit(0)).alias("fp0"), F.sum("pp").over(Window.partitionBy()).alias("pos"), F.sum("pn").over(Window.partitionBy()).alias("neg"))
-    inside = Window.partitionBy("part").orderBy(F.desc("p"))
-    run = per.select("part", "p", "pos_here", F.sum("pos_here").over(inside).alias("t"), F.sum("neg_here").over(inside).alias("f"))
-    return run.join(lifted, "part").select("p", "pos_here", (F.col("t") + F.col("tp0")).alias("tp"), (F.col("f") + F.col("fp0")).alias("fp"), "pos", "neg")
+    parts = ranges.placed(per, [order])
+    lifted = ranges.before(parts, {f"_b{i}": F.sum(c) for i, c in enumerate(names)})
+    inside = Window.partitionBy("_part").orderBy("_at")
+    run = parts.select("*", *[F.sum(c).over(inside).alias(f"_r{i}") for i, c in enumerate(names)]).join(F.broadcast(lifted), "_part")  # a row a range
+    return run.select(*per.columns, *[(F.col(f"_r{i}") + F.col(f"_b{i}")).alias(f"run_{c}") for i, c in enumerate(names)], *[F.col(f"_b{i}_all").alias(f"all_{c}") for i, c in enumerate(names)])
+
+
+def score_counts(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """(p, tp, fp, pos, neg): running counts from the highest score down, equal scores together."""
+    per = df.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(y).cast("bigint")).alias("pos"), F.sum(1 - F.col(y).cast("bigint")).alias("neg"))
+    run = running(per, F.desc("p"), ["pos", "neg"])
+    return run.select("p", F.col("pos").alias("pos_here"), F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"), F.col("all_pos").alias("pos"), F.col("all_neg").alias("neg"))
 
 
 def average_precision(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
@@ -54,16 +57,8 @@ def fpr_at_tpr(df: DataFrame, target: float = 0.9, p: str = "p", y: str = "y") -
 def ks_statistic(df: DataFrame, value: str, group: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of a value between group 0 and group 1, over all rows."""
     per = df.groupBy(F.col(value).alias("v")).agg(F.count(F.when(F.col(group) == 0, 1)).alias("a"), F.count(F.when(F.col(group) == 1, 1)).alias("b"))
-    lo, hi = per.agg(F.min("v"), F.max("v")).first() or (0, 1)
-    width = float((hi or 1) - (lo or 0)) or 1.0
-    per = cut(per.withColumn("part", F.floor((F.col("v") - F.lit(lo)) / width * 1024)), "ks")
-    parts = per.groupBy("part").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most 1025 rows
-    total = Window.partitionBy()
-    lifted = parts.select("part", F.coalesce(F.sum("pa").over(before), F.lit(0)).alias("a0"), F.coalesce(F.sum("pb").over(before), F.lit(0)).alias("b0"), F.sum("pa").over(total).alias("na"), F.sum("pb").over(total).alias("nb"))
-    inside = Window.partitionBy("part").orderBy("v")
-    run = per.select("part", F.sum("a").over(inside).alias("ra"), F.sum("b").over(inside).alias("rb")).join(lifted, "part")
-    return run.agg(F.max(F.abs((F.col("ra") + F.col("a0")) / F.col("na") - (F.col("rb") + F.col("b0")) / F.col("nb"))).alias("ks"))
+    run = running(per, F.asc("v"), ["a", "b"])
+    return run.agg(F.max(F.abs(F.col("run_a") / F.col("all_a") - F.col("run_b") / F.col("all_b"))).alias("ks"))
 
 
 def correlation_distance(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
@@ -95,47 +90,40 @@ def nearest_two(queries: DataFrame, base: DataFrame, vector: str, query_id: str,
     return top.groupBy("_q").agg(F.min("d").alias("d1"), F.max(F.when(F.col("_r") == 2, F.col("d"))).alias("d2")).withColumnRenamed("_q", query_id)
 
 
+def _first_share(share: float) -> Column:
+    return F.when(F.col("_rank") <= F.floor(F.col("_n") * share), "train").otherwise("test")
+
+
 def temporal_split(df: DataFrame, ts: str, tie: str, share: float = 0.7) -> DataFrame:
-    """Adds ``part``: train for the earliest ``share`` of the rows, test for the rest; ties by ``tie``.
+    """Adds ``part``: train for the earliest ``share`` of the rows, test for the rest; ties by ``tie``."""
+    return ranges.ranked(df, [F.asc(ts), F.asc(tie)]).select(*df.columns, _first_share(share).alias("part"))
 
-    The cut is found from counts by instant; only rows of the cut's own instant are ranked.
-    """
-    per = cut(df.groupBy(F.col(ts).alias("_ts")).agg(F.count(F.lit(1)).alias("_n")), "instants")
-    days = per.groupBy(F.to_date("_ts").alias("_day")).agg(F.sum("_n").alias("_dn"))
-    day_before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
-    first = days.select("_day", F.coalesce(F.sum("_dn").over(day_before), F.lit(0)).alias("_d0"), F.sum("_dn").over(Window.partitionBy()).alias("_all"))
-    before = Window.partitionBy("_day").orderBy("_ts").rowsBetween(Window.unboundedPreceding, -1)
-    at = per.withColumn("_day", F.to_date("_ts")).join(first, "_day").select("_ts", (F.col("_d0") + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_before"), "_n", F.floor(F.col("_all") * share).alias("_train"))
-    both = df.join(at, df[ts] == at["_ts"])
-    on_cut = (F.col("_before") < F.col("_train")) & (F.col("_before") + F.col("_n") > F.col("_train"))
-    ranked = F.row_number().over(Window.partitionBy("_ts").orderBy(tie))
-    sure = both.where(~on_cut).withColumn("part", F.when(F.col("_before") < F.col("_train"), "train").otherwise("test"))
-    cuts = both.where(on_cut).withColumn("_r", ranked).withColumn("part", F.when(F.col("_before") + F.col("_r") <= F.col("_train"), "train").otherwise("test")).drop("_r")
-    return sure.unionByName(cuts).select(*df.columns, "part")
+
+def random_split(df: DataFrame, key: str, share: float = 0.7, seed: int = 42) -> DataFrame:
+    """Adds ``part``: train for the first ``share`` of the rows in the order of a seeded hash of the key."""
+    return ranges.ranked(df, [F.xxhash64(F.lit(seed), key).asc(), F.asc(key)]).select(*df.columns, _first_share(share).alias("part"))
 
 
 def community_disjoint(split: DataFrame, members: DataFrame, key: str, share: float = 0.3) -> DataFrame:
     """Rows of the last ``share`` of community ids go to test and the other communities' to train; unknown ones stay."""
-    ids = members.select("community").distinct()
-    ranked = ids.select("community", F.row_number().over(Window.orderBy("community")).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))  # a row a community
-    side = ranked.select("community", F.when(F.col("_r") > F.floor(F.col("_n") * (1 - share)), "test").otherwise("train").alias("_side"))
+    order = ranges.ranked(members.select("community").distinct(), [F.asc("community")])
+    side = order.select("community", F.when(F.col("_rank") > F.floor(F.col("_n") * (1 - share)), "test").otherwise("train").alias("_side"))
     of = members.join(side, "community").select(F.col("id").alias("_id"), "_side")
     return split.join(of, split[key] == of["_id"], "left").withColumn("part", F.coalesce("_side", "part")).drop("_id", "_side")
 
 
 def stratified_split(df: DataFrame, y: str, key: str, share: float = 0.7, seed: int = 42) -> DataFrame:
     """Adds ``part`` by hash order within each class: the first ``share`` of a class is train."""
-    h = F.xxhash64(F.lit(seed), key)
-    w = Window.partitionBy(y).orderBy("_h", key)
-    n = df.groupBy(F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = df.withColumn("_h", h).withColumn("_r", F.row_number().over(w)).join(n, F.col(y) == F.col("_y"))
-    return ranked.withColumn("part", F.when(F.col("_r") <= F.floor(F.col("_n") * share), "train").otherwise("test")).select(*df.columns, "part")
+    classes = df.groupBy(F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
+    lower = classes.select("_y", "_c", F.coalesce(F.sum("_c").over(Window.orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))  # a row a class
+    order = ranges.ranked(df, [F.asc(y), F.xxhash64(F.lit(seed), key).asc(), F.asc(key)]).join(lower, F.col(y).eqNullSafe(F.col("_y")))
+    return order.withColumn("part", F.when(F.col("_rank") - F.col("_below") <= F.floor(F.col("_c") * share), "train").otherwise("test")).select(*df.columns, "part")
 
 
 def stress(df: DataFrame, p: str = "p", illicit: Column | None = None, level: float = 0.95) -> DataFrame:
     """(threshold, detection, false_alarms) with the threshold at a percentile of the normal rows' scores."""
     bad = illicit if illicit is not None else F.col("y") == 1
-    limit = df.where(~bad).agg(F.percentile(p, F.lit(level)).alias("threshold"))
+    limit = ranges.percentile(df.where(~bad), p, level, "threshold")
     over = (F.col(p) > F.col("threshold")).cast("double")
     return df.crossJoin(F.broadcast(limit)).groupBy("threshold").agg(F.avg(F.when(bad, over)).alias("detection"), F.avg(F.when(~bad, over)).alias("false_alarms"))
 
@@ -146,9 +134,10 @@ def l1_distance(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return both.select(sum((F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns), F.lit(0.0)).alias("distance"))
 
 
-def fit_lognormal(df: DataFrame, amount: str) -> DataFrame:
-    logs = df.where(F.col(amount) > 0).select(F.ln(amount).alias("l"))
-    return logs.agg(F.coalesce(F.avg("l"), F.lit(0.0)).alias("mu"), F.coalesce(F.stddev_pop("l"), F.lit(0.0)).alias("sigma"))
+def fit_lognormal(df: DataFrame, amount: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys ..., mu, sigma) of the logarithms of positive amounts, in one pass for all groups; a table without any has zeros."""
+    logs = df.where(F.col(amount) > 0).select(*(keys or []), F.ln(amount).alias("l"))
+    return logs.groupBy(*(keys or [])).agg(F.coalesce(F.avg("l"), F.lit(0.0)).alias("mu"), F.coalesce(F.stddev_pop("l"), F.lit(0.0)).alias("sigma"))
 
 
 def fit_rate(df: DataFrame, key: str, ts: str, tie: str, default: float = 1 / 600) -> DataFrame:
@@ -156,4 +145,10 @@ def fit_rate(df: DataFrame, key: str, ts: str, tie: str, default: float = 1 / 60
     w = Window.partitionBy(key).orderBy(ts, tie)
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     gaps = df.select(((at - F.lag(at).over(w)) / 1e6).alias("gap")).where("gap > 0")
-    return gaps.agg(F.coalesce(1 / F.percentile("gap", F.lit(0.5)), F.lit(default)).alias("rate"))
+    return ranges.percentile(gaps, "gap", 0.5, "median").select(F.coalesce(1 / F.col("median"), F.lit(default)).alias("rate"))
+
+
+def sweep_decision(scores: DataFrame, setting: str, value: str, limit: float = 0.03) -> DataFrame:
+    """One row: the largest difference of a measure between two settings, and whether it is too small to keep the setting."""
+    span = (F.max(value) - F.min(value)).alias("largest_difference")
+    return scores.agg(F.count(setting).alias("n"), span).withColumn("drop", F.col("largest_difference") <= limit)
