@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.aggregates import within_one_percent
 from tallyflow.functions.scalars import decay_weight, default_weight
+from tallyflow.functions.tables import cut
 
 EDGE = ["src", "dst", "type", "amount", "ts", "weight"]
 
@@ -29,12 +30,15 @@ def utxo_edges(records: DataFrame, ts: str = "timestamp") -> DataFrame:
         return one.select(ends[0].alias("src"), ends[1].alias("dst"), F.lit("utxo").alias("type"), amount.alias("amount"), "ts")
 
     edges = side("input_addresses", "input_amounts", True).unionByName(side("output_addresses", "output_amounts", False))
-    return scaled_by_largest(edges)
+    # The largest amount comes from the lists as they are: nothing is exploded for it.
+    used = lambda amounts, addresses: F.array_max(F.slice(F.coalesce(amounts, F.array().cast("array<double>")), 1, F.greatest(F.size(addresses), F.lit(0))))
+    most = F.greatest(F.max(used(F.col("input_amounts"), F.col("input_addresses"))), F.max(used(F.col("output_amounts"), F.col("output_addresses"))))
+    return scaled_by_largest(edges, records.agg(most.alias("top")))
 
 
-def scaled_by_largest(edges: DataFrame) -> DataFrame:
-    """Adds weight = amount / the largest amount of all edges (0 counts as 1)."""
-    top = edges.agg(F.max("amount").alias("top"))  # one row
+def scaled_by_largest(edges: DataFrame, top: DataFrame | None = None) -> DataFrame:
+    """Adds weight = amount / the largest amount of all edges (0 counts as 1), which ``top`` may give as one row."""
+    top = edges.agg(F.max("amount").alias("top")) if top is None else top  # one row
     return edges.crossJoin(F.broadcast(top)).withColumn("weight", F.col("amount") / F.when(F.coalesce("top", F.lit(0.0)) == 0, 1.0).otherwise(F.col("top"))).drop("top")
 
 
@@ -131,13 +135,75 @@ def guarded_communities(members: DataFrame, node: str = "id", community: str = "
     return members.crossJoin(F.broadcast(ratio)).select(node, F.when(F.col("ratio") >= limit, F.col(node)).otherwise(F.col(community)).alias(community))
 
 
+def triangles(und: DataFrame, deg: DataFrame) -> DataFrame:
+    """(a, b, c): each triangle of the undirected edges (a, b) once.
+
+    Edges point from the end of lower degree to that of higher, so a hub has few edges out and makes few wedges.
+    """
+    d = deg.select("id", "degree")
+    ends = und.join(d.withColumnsRenamed({"id": "a", "degree": "da"}), "a").join(d.withColumnsRenamed({"id": "b", "degree": "db"}), "b")
+    up = F.struct("da", "a") < F.struct("db", "b")
+    out = ends.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("s"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("t"))
+    one, two = out.withColumnRenamed("t", "x"), out.withColumnRenamed("t", "y")
+    wedges = one.join(two, "s").where("x < y")
+    return wedges.join(und.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).select(F.col("s").alias("a"), F.col("x").alias("b"), F.col("y").alias("c"))
+
+
 def summary(edges: DataFrame) -> DataFrame:
-    """n, m, density, average degree, triangles and transitivity of the simple undirected graph."""
-    und = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    deg = degree(und.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    """One row of the simple undirected graph: n, m, density, average degree, triangles, transitivity, the mean of the
+    nodes' clustering, and the correlation of degrees along edges (0 where it isn't defined)."""
+    und = cut(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "undirected")
+    deg = cut(degree(und.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "degrees")
     counts = deg.agg(F.count(F.lit(1)).alias("n"), (F.sum("degree") / 2).alias("m"), F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("wedges"))
-    x, y = und, und.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    closing = und.select("a", F.col("b").alias("c"))
-    triangles = x.join(y, "b").join(closing, ["a", "c"]).agg(F.count(F.lit(1)).alias("triangles"))
-    both = counts.crossJoin(triangles)  # a row each
-    return both.select("n", F.col("m").cast("bigint").alias("m"), (2 * F.col("m") / (F.col("n") * (F.col("n") - 1))).alias("density"), (2 * F.col("m") / F.col("n")).alias("average_degree"), "triangles", (3 * F.col("triangles") / F.col("wedges")).alias("transitivity"))
+    found = cut(triangles(und, deg), "triangles")
+    at = found.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("t"))
+    local = deg.join(at, "id", "left").agg(
+        (F.coalesce(F.sum("t"), F.lit(0)) / 3).cast("bigint").alias("triangles"),
+        F.avg(F.when(F.col("degree") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0)).alias("clustering"),
+    )
+    k = deg.select("id", F.col("degree").cast("double").alias("k"))
+    along = und.join(k.withColumnsRenamed({"id": "a", "k": "x"}), "a").join(k.withColumnsRenamed({"id": "b", "k": "y"}), "b")
+    both_ways = along.select("x", "y").unionByName(along.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    mixing = both_ways.agg(F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0)).alias("assortativity"))
+    one = counts.crossJoin(local).crossJoin(mixing)  # a row each
+    m, n = F.col("m"), F.col("n")
+    return one.select(
+        "n", m.cast("bigint").alias("m"), (2 * m / (n * (n - 1))).alias("density"), (2 * m / n).alias("average_degree"), "triangles",
+        (3 * F.col("triangles") / F.col("wedges")).alias("transitivity"), "clustering", "assortativity",
+    )
+
+
+def summary_vector(one: DataFrame) -> DataFrame:
+    """One row v0 to v6: a summary scaled for distances and held between 0 and 5. The divisors are fixed values."""
+    parts = [
+        F.col("n") / 1000, F.col("m") / 1000, F.col("density"), F.col("average_degree") / 10, F.col("clustering"),
+        (F.col("assortativity") + 1) / 2, 3 * F.col("triangles") / F.col("n") / 10,
+    ]
+    return one.select(*[F.least(F.lit(5.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0)))).alias(f"v{i}") for i, c in enumerate(parts)])
+
+
+def display_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with type, edges) of replayed records, as a viewer shows them: addresses, wallets and transactions."""
+    lines, flows = p2p_edges(records), utxo_edges(records)
+    ips = node_set(lines).withColumn("type", F.lit("ip"))
+    txs = records.select(F.col("txid").alias("id")).distinct().withColumn("type", F.lit("txid"))
+    wallets = node_set(flows).join(txs, "id", "left_anti").withColumn("type", F.lit("wallet"))
+    return ips.unionByName(txs).unionByName(wallets), lines.unionByName(flows)
+
+
+def without_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The simple edges whose ends are both among ``nodes``.id."""
+    return simple_edges(induced(edges, nodes))
+
+
+def capped_edges(edges: DataFrame, limit: int) -> DataFrame:
+    """The first edges by their ends, at most twice as many as a page has nodes."""
+    return edges.orderBy("src", "dst").limit(2 * limit)
+
+
+def with_fresh_communities(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, community) of all ``nodes``.id; one without a community gets a community of its own, named after it.
+
+    A community is named after a member, so a node that is no member of any can't have the name of one.
+    """
+    return nodes.select("id").distinct().join(members, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
