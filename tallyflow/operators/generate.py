@@ -13,6 +13,11 @@ LABELS = {
     "normal": (-2.0, 1.0, 2, 2), "peel_chain": (-1.0, 0.8, 1, 2), "mixer": (-3.0, 0.3, 8, 8), "coinjoin": (-4.5, 0.05, 22, 22), "structuring": (-5.0, 0.2, 1, 12),
     "fan_out": (-2.5, 0.7, 1, 15), "fan_in": (-2.5, 0.7, 15, 1), "burst": (-3.0, 0.5, 2, 2), "geo_hop": (-2.0, 0.9, 2, 2),
 }
+#: Bounds of one output's amount where amounts are drawn evenly.
+UNIFORM = {
+    "normal": (0.01, 2.0), "peel_chain": (0.1, 5.0), "mixer": (0.05, 0.5), "coinjoin": (0.01, 0.02), "structuring": (0.001, 0.01),
+    "fan_out": (0.01, 0.5), "fan_in": (0.01, 0.5), "burst": (0.01, 0.2), "geo_hop": (0.05, 1.5),
+}
 ILLICIT_SHARE = 0.04
 FEE_SHARE, FEE_LEAST = 0.2, 1e-5
 
@@ -90,3 +95,64 @@ def dag_times(levels: DataFrame, rate: float, sigma: float, start: Column, seed:
     before = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)  # one row a level
     starts = rows.groupBy("level").agg(F.max("wait").alias("longest")).select("level", F.coalesce(F.sum("longest").over(before), F.lit(0.0)).alias("start"))
     return rows.join(starts, "level").select("id", "level", F.timestamp_micros((F.unix_micros(start) + (F.col("start") + F.col("wait")) * 1e6).cast("bigint")).alias("timestamp"))
+
+
+def uniform_amounts(label: Column, *seed: Column) -> tuple[Column, Column]:
+    """(inputs, outputs) of a record by its label from even draws, without fee: the planted patterns by their shapes.
+
+    The numbers of inputs and outputs are those of LABELS; the bounds are fixed values.
+    """
+    pick = lambda k: F.create_map(*[F.lit(x) for name, v in LABELS.items() for x in (name, v[k])])[label]
+    low = F.create_map(*[F.lit(x) for n, (a, _) in UNIFORM.items() for x in (n, a)])[label]
+    high = F.create_map(*[F.lit(x) for n, (_, b) in UNIFORM.items() for x in (n, b)])[label]
+    total = F.round(low + (high - low) * hash_unit(*seed, F.lit("total")), 8) * pick(3)
+    equal = F.array_repeat(F.round(total / pick(3), 8), pick(3))
+    return split_amount(total, pick(2), *seed, F.lit("in")), F.when(label.isin("coinjoin", "mixer"), equal).otherwise(split_amount(total, pick(3), *seed, F.lit("out")))
+
+
+def address_pools(communities: DataFrame, low: int = 20, high: int = 800, countries: int = 8, seed: int = 42) -> DataFrame:
+    """(community, entry, country, asn): each community's pool of addresses, ``low`` to ``high`` by its size.
+
+    ``communities`` has community and n. Countries are dealt in turn from a hashed start, so a pool names at least
+    ``countries`` of them; network numbers come from a range of the country's own.
+    """
+    names = list(CENTROIDS)
+    size = F.least(F.lit(high), F.greatest(F.lit(low), F.col("n").cast("int")))
+    slots = communities.select("community", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
+    start = hash_int(F.lit(seed), F.col("community"), digits=8)
+    at = ((start + F.col("i")) % max(countries, len(names)) % len(names)).cast("int")
+    octet = lambda k: (1 + hash_int(F.lit(seed), F.col("community"), F.col("i"), F.lit(k), digits=4) % 223).cast("string")
+    asn = 1000 + at * 8000 + hash_int(F.lit(seed), F.col("community"), F.col("i"), F.lit("asn"), digits=8) % 8000
+    return slots.select("community", F.concat_ws(".", *[octet(k) for k in range(4)]).alias("entry"), F.get(F.array(*[F.lit(n) for n in names]), at).alias("country"), asn.alias("asn"))
+
+
+def anchored_records(levels: DataFrame, edges: DataFrame, members: DataFrame, rate: float = 1 / 600, sigma: float = 30.0, start: str = "2024-01-01", seed: int = 42) -> DataFrame:
+    """A record for each node of a sampled graph without cycles: its time by its level, its addresses from its community's
+    pool, its flows along the graph's edges, amounts conserved.
+
+    ``levels`` is (id, level), ``members`` (id, community).
+    """
+    times = dag_times(levels, rate, sigma, F.lit(start).cast("timestamp"), seed)
+    planned = injection_plan(times, "id", seed=seed)
+    pools = address_pools(members.groupBy("community").agg(F.count(F.lit(1)).alias("n")), seed=seed)
+    n = pools.groupBy("community").agg(F.count(F.lit(1)).alias("pool"))
+    numbered = pools.withColumn("slot", F.row_number().over(Window.partitionBy("community").orderBy("entry", "asn")) - 1)  # at most 800 a community
+    key = lambda end: F.pmod(F.xxhash64(F.lit(seed), F.lit(end), "id"), F.col("pool"))
+    placed = planned.join(members, "id").join(n, "community").withColumn("slot", key("src"))
+    home = numbered.select("community", "slot", F.col("entry").alias("src_ip"), F.col("country").alias("geo_country"), F.col("asn").alias("geo_asn"))
+    away = numbered.select("community", "slot", F.col("entry").alias("dst_ip"))
+    placed = placed.join(home, ["community", "slot"]).withColumn("slot", key("dst")).join(away, ["community", "slot"]).drop("slot", "pool")
+    came = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n_in"))
+    went = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n_out"))
+    sized = placed.join(came, "id", "left").join(went, "id", "left").withColumn("n_in", F.greatest(F.coalesce("n_in", F.lit(1)), F.lit(1)).cast("int")).withColumn("n_out", F.greatest(F.coalesce("n_out", F.lit(1)), F.lit(1)).cast("int"))
+    pick = lambda k: F.create_map(*[F.lit(x) for name, v in LABELS.items() for x in (name, v[k])])[F.col("label")]
+    s, i = F.lit(seed), F.col("id")
+    total = F.round(F.greatest(F.lit(1e-3), F.exp(pick(0) + pick(1) * hash_normal(s, F.lit("amount"), i))) * F.greatest("n_in", "n_out"), 8)
+    paid = sized.withColumn("total", total).withColumn("fee", capped_fee(F.col("total"), F.col("total") * 0.01 * hash_unit(s, F.lit("fee"), i)))
+    wallet = lambda side, k: F.concat(F.lit("bc1q"), F.substring(F.sha2(F.concat_ws("|", s, F.lit(side), i, k), 256), 1, 38))
+    return paid.select(
+        "timestamp", "src_ip", "dst_ip", F.lit(8333).alias("src_port"), F.lit(8333).alias("dst_port"), F.sha2(F.concat_ws("|", s, F.lit("tx"), i), 256).alias("txid"),
+        F.transform(F.sequence(F.lit(1), "n_in"), lambda k: wallet("in", k)).alias("input_addresses"), F.transform(F.sequence(F.lit(1), "n_out"), lambda k: wallet("out", k)).alias("output_addresses"),
+        split_amount(F.col("total"), F.col("n_in"), s, F.lit("in"), i).alias("input_amounts"), split_amount(F.col("total") - F.col("fee"), F.col("n_out"), s, F.lit("out"), i).alias("output_amounts"),
+        "fee", F.lit("P2WPKH").alias("script_type"), "geo_country", "geo_asn", "label", i.alias("node"),
+    )
