@@ -31,16 +31,23 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=False).withColumn("_file", F.col("_metadata.file_path"))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A top-level array, {"records": [...]}, {"data": [...]}, one object, or one object a line; values as text."""
+def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A top-level array; an object with a list of objects, of which records comes first, then data, then the first other;
+    an object of one object; one object; or one object a line. Values come as text."""
     record = ", ".join(f"`{c}` string" for c in COLUMNS)
+    kind = f"struct<{record.replace('` ', '`:')}>"
     whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
     text = F.trim(F.regexp_replace("value", "^﻿", ""))
-    listed = F.from_json(text, f"array<struct<{record.replace('` ', '`:')}>>")
-    keyed = F.from_json(text, f"struct<records:array<struct<{record.replace('` ', '`:')}>>, data:array<struct<{record.replace('` ', '`:')}>>>")
+    keyed = F.from_json(text, "map<string,string>")
+    own = F.exists(F.map_keys(keyed), lambda k: k.isin(*COLUMNS))
+    inner = F.coalesce(keyed["records"], keyed["data"], F.get(F.filter(F.map_values(keyed), lambda v: F.substring(v, 1, 1).isin("[", "{")), F.lit(0)))
+    nested = F.when(F.startswith(inner, F.lit("[")), F.from_json(inner, f"array<{kind}>")).when(inner.isNotNull(), F.array(F.from_json(inner, record)))
     lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, record))
-    rows = F.when(text.startswith("["), listed).otherwise(F.coalesce(keyed["records"], keyed["data"], lines))
-    return whole.select("_file", F.posexplode(rows).alias("_at", "r")).select("r.*", "_file", (F.col("_at") + 1).cast("bigint").alias("_row"))
+    one = F.array(F.from_json(text, record))
+    several = F.regexp_like(text, F.lit(r"(?s)^\{.*\}[ \t\r]*\n\s*\{"))
+    rows = F.when(text.startswith("["), F.from_json(text, f"array<{kind}>")).when(keyed.isNotNull() & ~F.coalesce(own, F.lit(False)) & nested.isNotNull(), nested)
+    rows = rows.when(several, lines).otherwise(one)
+    return whole.where(text != "").select("_file", F.posexplode(rows).alias("_at", "r")).select("r.*", "_file", (F.col("_at") + 1).cast("bigint").alias("_row"))
 
 
 LISTS = [f.name for f in RECORD.fields if isinstance(f.dataType, T.ArrayType)]
@@ -50,9 +57,9 @@ def _listed(name: str, items: Column) -> Column:
     return F.to_json(F.transform(items, lambda x: x.cast("double")) if name.endswith("amounts") else items).alias(name)
 
 
-def read_xml(spark: SparkSession, path: str) -> DataFrame:
+def read_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """<record> elements; nested children become JSON lists."""
-    rows = spark.read.format("xml").option("rowTag", "record").option("ignoreNamespace", True).option("inferSchema", False).load(path)
+    rows = spark.read.format("xml").option("rowTag", "record").option("ignoreNamespace", True).option("inferSchema", False).load(path if isinstance(path, str) else ",".join(path))
     kinds = dict(rows.dtypes)
     out = []
     for c in COLUMNS:
@@ -115,7 +122,7 @@ def append_quarantine(bad: DataFrame, path: str) -> None:
 
 
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("file string, row bigint, error string, raw string").json(path)
+    return spark.read.schema("file string, row bigint, error string, raw string").option("recursiveFileLookup", True).json(path)
 
 
 def write_records(df: DataFrame, path: str, kind: str) -> None:

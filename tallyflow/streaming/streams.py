@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyflow.sources.files import TEXT, append_quarantine
-from tallyflow.sources.records import split
+from tallyflow.sources.files import EXTENSIONS, READERS, TEXT
+from tallyflow.sources.records import contract_projection, normalised, split
 
 
 def watch_csv(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,17 +17,49 @@ def watch_csv(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(TEXT).option("header", True).option("escape", '"').csv(folder).withColumn("_file", F.col("_metadata.file_path"))
 
 
+def watch_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, changed, length) of the folder's record files, of any of the three kinds, as they arrive; for ingest_files()."""
+    pattern = "*.{" + ",".join(EXTENSIONS) + "}"
+    return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).load(folder).select("path", F.col("modificationTime").alias("changed"), "length")
+
+
+def _store(clean: DataFrame, bad: DataFrame, out: str, quarantine: str, batch: int) -> None:
+    """A batch has its own folder on either side, so a batch that is tried again overwrites what it left before."""
+    contract_projection(normalised(clean)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    bad.write.mode("overwrite").json(f"{quarantine}/batch={batch}")
+
+
 def ingest(raw: DataFrame, out: str, quarantine: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Clean rows to Parquet and the others to JSON, a batch at a time."""
+    """Clean rows to Parquet and the others to JSON, a batch at a time, each in its own folder batch=<number>.
+
+    What a batch wrote before it failed is written over when it is tried again: no row is there twice.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.persist()
+        _store(*split(rows), out, quarantine, batch)
+        rows.unpersist()
+
+    return _started(raw, write, checkpoint, once)
+
+
+def ingest_files(files: DataFrame, out: str, quarantine: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Ingest of watch_files(): each batch's files are read by the reader of their kind. The stream itself carries names
+    only, so a batch is as large as Spark makes it."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        paths = [r.path for r in rows.select("path").collect()]  # the names of one batch's files
+        parts = [split(READERS[k](spark, mine)) for k in EXTENSIONS if (mine := [p for p in paths if p.lower().endswith(f".{k}")])]
+        if parts:
+            clean, bad = (reduce(DataFrame.unionByName, side) for side in zip(*parts, strict=True))
+            _store(clean, bad, out, quarantine, batch)
+
+    return _started(files, write, checkpoint, once)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        clean, bad = split(batch)
-        clean.write.mode("append").parquet(out)
-        append_quarantine(bad, quarantine)
-        batch.unpersist()
 
-    query = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+def _started(stream: DataFrame, write, checkpoint: str, once: bool) -> StreamingQuery:
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if once else query.trigger(processingTime="30 seconds")).start()
 
 
