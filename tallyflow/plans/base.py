@@ -94,3 +94,17 @@ def r6(c, digits: int = 6):
     """A rounded double without a negative zero."""
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), digits) + F.lit(0.0)
+
+
+def betweenness_sql(edges: str, pivots: str, depth: int = 10) -> str:
+    """CTEs that end in bw(id, betweenness), for graphs whose nodes are at most ``depth`` steps from a root."""
+    ctes = [f"be AS MATERIALIZED (SELECT DISTINCT src, dst FROM ({edges}) WHERE src <> dst)", "bl AS MATERIALIZED (SELECT src AS a, dst AS b FROM be UNION SELECT dst, src FROM be)", f"pt0 AS MATERIALIZED (SELECT id AS root, id, 1.0::DOUBLE AS paths FROM ({pivots}))", "seen0 AS MATERIALIZED (SELECT root, id FROM pt0)"]
+    for i in range(1, depth + 1):
+        ctes.append(f"pt{i} AS MATERIALIZED (SELECT p.root, b AS id, sum(p.paths) AS paths FROM pt{i - 1} p JOIN bl ON p.id = a WHERE NOT EXISTS (SELECT 1 FROM seen{i - 1} s WHERE s.root = p.root AND s.id = b) GROUP BY ALL)")
+        ctes.append(f"seen{i} AS MATERIALIZED (SELECT * FROM seen{i - 1} UNION ALL SELECT root, id FROM pt{i})")
+    ctes.append(f"ow{depth} AS MATERIALIZED (SELECT root, id, paths, 0.0::DOUBLE AS owed FROM pt{depth})")
+    for i in range(depth - 1, -1, -1):
+        ctes.append(f"ow{i} AS MATERIALIZED (SELECT p.root, p.id, p.paths, p.paths * coalesce(sum((1 + c.owed) / c.paths), 0) AS owed FROM pt{i} p LEFT JOIN (bl JOIN ow{i + 1} c ON c.id = b) ON c.root = p.root AND a = p.id GROUP BY p.root, p.id, p.paths)")
+    every = " UNION ALL ".join(f"SELECT root, id, owed FROM ow{i}" for i in range(depth + 1))
+    ctes.append(f"bw AS MATERIALIZED (SELECT n.id, coalesce(s, 0) / 2 AS betweenness FROM (SELECT DISTINCT a AS id FROM bl) n LEFT JOIN (SELECT id, sum(owed) AS s FROM ({every}) WHERE id <> root GROUP BY id) o ON n.id = o.id)")
+    return ", ".join(ctes)

@@ -10,6 +10,8 @@ from tallyflow.functions import scalars
 from tallyflow.functions.tables import load, shared_dir
 from tallyflow.operators import generate, metrics, models, serving
 from tallyflow.plans.base import PAYMENTS, SCORES, events, payments, query, r6, scores
+from tallyflow.plans.records import RAW, _order_rules, _raw_orders
+from tallyflow.sources.records import split
 from tallyflow.streaming import streams
 
 # ---------------------------------------------------------------- evaluation
@@ -113,12 +115,7 @@ def a19_label_histogram(spark, d):
 
 @query("a17_lognormal_fit", "SELECT o_orderstatus, round(avg(ln(o_totalprice)), 6) AS mu, round(stddev_pop(ln(o_totalprice)), 6) AS sigma FROM orders WHERE o_totalprice > 0 GROUP BY 1")
 def a17_lognormal_fit(spark, d):
-    o = load(spark, d, "orders")
-    out = None
-    for s in ("F", "O", "P"):
-        one = metrics.fit_lognormal(o.where(F.col("o_orderstatus") == s), "o_totalprice").select(F.lit(s).alias("o_orderstatus"), r6("mu").alias("mu"), r6("sigma").alias("sigma"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return metrics.fit_lognormal(load(spark, d, "orders"), "o_totalprice", ["o_orderstatus"]).select("o_orderstatus", r6("mu").alias("mu"), r6("sigma").alias("sigma"))
 
 
 @query(
@@ -154,6 +151,11 @@ def m7_stratified_sizes(spark, d):
     return metrics.stratified_split(scores(spark, d).select("id", "y"), "y", "id").groupBy("y", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("m9_random_split_sizes", f"WITH {SCORES} SELECT 'train' AS part, floor(count(*) * 0.7)::BIGINT AS n FROM sc UNION ALL SELECT 'test', count(*) - floor(count(*) * 0.7)::BIGINT FROM sc")
+def m9_random_split_sizes(spark, d):
+    return metrics.random_split(scores(spark, d).select("id"), "id").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("k9_pseudo_labels", f"WITH {SCORES} SELECT id, (row_number() OVER (ORDER BY p DESC, id) <= floor(count(*) OVER () * 0.02))::INT AS y FROM sc")
 def k9_pseudo_labels(spark, d):
     return models.pseudo_labels(scores(spark, d).select("id", "p"), "p", "id").select("id", "y")
@@ -224,24 +226,70 @@ def f12_text_search(spark, d):
     return serving.search(load(spark, d, "customer"), "AUTO", ["c_name", "c_mktsegment"]).select("c_custkey")
 
 
-@query("f6_validation_report", "SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+@query(
+    "f6_validation_report",
+    f"""WITH {RAW}, e AS (SELECT id, concat_ws('; ', CASE WHEN e1 THEN 'port: out of range' END, CASE WHEN e2 THEN 'fee: not a float' END, CASE WHEN e3 THEN 'script: unknown name' END) AS error FROM raw WHERE e1 OR e2 OR e3)
+    SELECT id AS row, error FROM e WHERE id % 3 <> 2""",
+)
 def f6_validation_report(spark, d):
-    """Rows of a quarantine whose file is named by its last part or by a piece of its path."""
-    k = F.col("o_orderkey")
-    file = F.when(k % 2 == 0, "/in/a/batch.csv").when(k % 3 == 0, "/in/batch.csv.d/b.csv").otherwise("/in/c.csv")
-    return serving.validation_report(load(spark, d, "orders").select("o_orderkey", file.alias("file")), "batch.csv").select("o_orderkey")
+    """The quarantined rows of the files that a report on batch.csv covers: by their last part or a piece of their path."""
+    k = F.col("id")
+    file = F.when(k % 3 == 0, "/in/a/batch.csv").when(k % 3 == 1, "/in/batch.csv.d/b.csv").otherwise("/in/c.csv")
+    _, bad = split(_raw_orders(spark, d).withColumn("_file", file).withColumn("_row", k), _order_rules())
+    return serving.validation_report(bad, "batch.csv").select("row", "error")
+
+
+@query("f13_of_wallet", f"WITH {PAYMENTS} SELECT txid FROM pay WHERE wallet = (SELECT min(wallet) FROM pay) OR list_contains(outputs, (SELECT min(wallet) FROM pay))")
+def f13_of_wallet(spark, d):
+    """Orders whose customer or one of whose suppliers has the number of the first customer with an order."""
+    p = payments(spark, d).select("txid", F.array(F.col("wallet").cast("string")).alias("input_addresses"), F.transform("outputs", lambda x: x.cast("string")).alias("output_addresses"), "wallet")
+    return serving.of_wallet(p, str(p.agg(F.min("wallet")).first()[0])).select("txid")
 
 
 # ---------------------------------------------------------------- generators
 
 
-@query("n3_conservation", "SELECT 5000::BIGINT AS n, 0::BIGINT AS unbalanced, 0::BIGINT AS fee_too_high, 0::BIGINT AS not_positive")
+LABELLED = """('0x' || substr(sha256('42|' || {k}), 1, 13))::UBIGINT::BIGINT / 4503599627370496::DOUBLE AS u"""
+LABEL = "CASE WHEN u < 0.04 THEN ['peel_chain', 'mixer', 'coinjoin', 'structuring', 'fan_out', 'fan_in', 'burst', 'geo_hop'][floor(u / 0.04::DOUBLE * 8)::INT + 1] ELSE 'normal' END"
+
+
+@query(
+    "n3_conservation",
+    f"""WITH h AS (SELECT {LABELLED.format(k='range')} FROM range(5000)), l AS (SELECT {LABEL} AS label FROM h), s(label, n_in, n_out) AS (VALUES {", ".join(f"('{k}', {v[2]}, {v[3]})" for k, v in generate.LABELS.items())})
+    SELECT label, count(*) AS n, sum(n_in)::BIGINT AS inputs, sum(n_out)::BIGINT AS outputs, 0::BIGINT AS unbalanced, 0::BIGINT AS fee_too_high, 0::BIGINT AS not_positive FROM l JOIN s USING (label) GROUP BY label""",
+)
 def n3_conservation(spark, d):
+    """5000 generated records by label: their lists' sizes, and that none breaks the rules of amounts."""
     r = generate.records(spark, 5000)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     gap = F.abs(total("input_amounts") - total("output_amounts") - F.col("fee"))
     bad = lambda c: F.count(F.when(c, 1))
-    return r.agg(F.count(F.lit(1)).alias("n"), bad(gap > 1e-7).alias("unbalanced"), bad(F.col("fee") > 0.2 * total("input_amounts") + 1e-7).alias("fee_too_high"), bad((F.array_min("output_amounts") <= 0) | (F.array_min("input_amounts") <= 0)).alias("not_positive"))
+    sizes = [F.sum(F.size(f"{c}_amounts")).cast("bigint").alias(f"{c}s") for c in ("input", "output")]
+    return r.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *sizes, bad(gap > 1e-7).alias("unbalanced"), bad(F.col("fee") > 0.2 * total("input_amounts") + 1e-7).alias("fee_too_high"), bad((F.array_min("output_amounts") <= 0) | (F.array_min("input_amounts") <= 0)).alias("not_positive"))
+
+
+@query(
+    "n2_uniform_amounts",
+    f"""WITH h AS (SELECT {LABELLED.format(k='o_orderkey')} FROM orders), l AS (SELECT {LABEL} AS label FROM h), s(label, n_in, n_out) AS (VALUES {", ".join(f"('{k}', {v[2]}, {v[3]})" for k, v in generate.LABELS.items())})
+    SELECT label, count(*) AS n, sum(n_in)::BIGINT AS inputs, sum(n_out)::BIGINT AS outputs, 0::BIGINT AS unbalanced, 0::BIGINT AS out_of_bounds FROM l JOIN s USING (label) GROUP BY label""",
+)
+def n2_uniform_amounts(spark, d):
+    """Even amounts for every order by its planted label: lists' sizes, balance, and means within the label's bounds."""
+    plan = generate.injection_plan(load(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    ins, outs = generate.uniform_amounts(F.col("label"), F.lit(7), F.col("o_orderkey"))
+    r = plan.select("label", ins.alias("i"), outs.alias("o"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    mean = total("o") / F.size("o")
+    low, high = (F.create_map(*[F.lit(x) for n, v in generate.UNIFORM.items() for x in (n, v[k])])[F.col("label")] for k in (0, 1))
+    bad = lambda c: F.count(F.when(c, 1))
+    return r.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("i")).cast("bigint").alias("inputs"), F.sum(F.size("o")).cast("bigint").alias("outputs"), bad(F.abs(total("i") - total("o")) > 1e-6).alias("unbalanced"), bad((mean < low - 1e-6) | (mean > high + 1e-6)).alias("out_of_bounds"))
+
+
+@query("n7_address_pools", "SELECT n_nationkey AS community, least(800, greatest(20, count(c_custkey)))::BIGINT AS n, 8::BIGINT AS countries FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+def n7_address_pools(spark, d):
+    """The sizes of the nations' pools, and the countries in each."""
+    c = load(spark, d, "customer").groupBy(F.col("c_nationkey").alias("community")).agg(F.count(F.lit(1)).alias("n"))
+    return generate.address_pools(c).groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("country").alias("countries"))
 
 
 @query("n1_generated_records")
@@ -258,10 +306,15 @@ def n8_injection_plan(spark, d):
     return generate.injection_plan(load(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "label")
 
 
-@query("n9_chain_edges", "SELECT n_nationkey AS src, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS dst FROM nation QUALIFY dst IS NOT NULL")
+@query(
+    "n9_chain_edges",
+    f"""WITH h AS (SELECT o_orderkey AS id, {LABELLED.format(k='o_orderkey')}, lead(o_orderkey) OVER w AS one, lead(o_orderkey, 2) OVER w AS two FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+    SELECT id AS src, one AS dst FROM h WHERE one IS NOT NULL UNION ALL SELECT id, two FROM h WHERE two IS NOT NULL AND u < 0.12""",
+)
 def n9_chain_edges(spark, d):
-    n = load(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("chain"), F.col("n_nationkey").alias("step"))
-    return generate.chain_edges(n, skip=0.0).select("src", "dst")
+    """Each customer's orders as a chain, with its skip edges."""
+    n = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("step"))
+    return generate.chain_edges(n).select("src", "dst")
 
 
 # ---------------------------------------------------------------- models
@@ -277,13 +330,13 @@ def _lines(spark, d):
 @query("m1_isolation_forest")
 def m1_isolation_forest(spark, d):
     li = _lines(spark, d)
-    return models.fit_forest(li, _MODEL_COLUMNS, "id", trees=100).transform(li).select("id", r6("anomaly").alias("anomaly"))
+    return models.fit_forest(li, _MODEL_COLUMNS, "id").transform(li).select("id", r6("anomaly").alias("anomaly"))
 
 
 @query("m13_forest_attribution")
 def m13_forest_attribution(spark, d):
     s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("double").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
-    return models.fit_forest(s, ["balance", "nation"], "id", trees=50).attribute(s, "id", 2).select("id", "rank", "feature", r6("value").alias("value"))
+    return models.fit_forest(s, ["balance", "nation"], "id").attribute(s, "id", 2).select("id", "rank", "feature", r6("value").alias("value"))
 
 
 @query("m2_local_outlier_factor")
@@ -317,6 +370,12 @@ def m12_sigma_sweep(spark, d):
     return out
 
 
+@query("m12_sigma_decision")
+def m12_sigma_decision(spark, d):
+    """The largest difference of the sweep, and whether jitter is to be dropped for it."""
+    return metrics.sweep_decision(m12_sigma_sweep(spark, d), "sigma", "average_precision").select("n", r6("largest_difference").alias("largest_difference"), "drop")
+
+
 # ---------------------------------------------------------------- streams
 
 

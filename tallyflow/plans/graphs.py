@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.tables import load
 from tallyflow.operators import graph, iterative
-from tallyflow.plans.base import NATIONS, PAYMENTS, WALLETS, events, nation_edges, payments, query, r6, wallet_edges
+from tallyflow.plans.base import NATIONS, PAYMENTS, WALLETS, betweenness_sql, events, nation_edges, payments, query, r6, wallet_edges
 
 TEMPORAL = """g AS (SELECT user_id, ts, event_id, lag(event_id) OVER w AS src, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 te AS (SELECT src, event_id AS dst, user_id, ts, gap, exp(-abs(gap) / 300) AS weight FROM g WHERE gap >= 0 AND gap <= 3600)"""
@@ -192,24 +192,23 @@ def g23_simple_graph(spark, d):
 
 
 def _pagerank_sql(steps: int) -> str:
-    ctes = [NATIONS, "w AS (SELECT src, dst, sum(amount) AS w FROM ne GROUP BY ALL)", "s AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM w)", "n AS (SELECT src AS id FROM s UNION SELECT dst FROM s)", "c AS (SELECT count(*)::DOUBLE AS n FROM n)", "r0 AS (SELECT id, 1 / c.n AS rank FROM n, c)"]
+    ctes = [WALLETS, "s AS MATERIALIZED (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM we)", "n AS MATERIALIZED (SELECT src AS id FROM s UNION SELECT dst FROM s)", "c AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM n)", "r0 AS MATERIALIZED (SELECT id, 1 / c.n AS rank FROM n, c)"]
     for i in range(1, steps + 1):
-        ctes.append(f"l{i} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} WHERE id NOT IN (SELECT src FROM s))")
-        ctes.append(f"g{i} AS (SELECT dst, sum(rank * share) AS got FROM s JOIN r{i - 1} ON src = id GROUP BY dst)")
-        ctes.append(f"r{i} AS (SELECT n.id, 0.15::DOUBLE / c.n + 0.85::DOUBLE * (coalesce(got, 0) + lost / c.n) AS rank FROM n LEFT JOIN g{i} ON n.id = dst, c, l{i})")
-    return f"WITH {', '.join(ctes)} SELECT id, round(rank, 6) AS rank FROM r{steps}"
+        ctes.append(f"l{i} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} WHERE id NOT IN (SELECT src FROM s))")
+        ctes.append(f"g{i} AS MATERIALIZED (SELECT dst, sum(rank * share) AS got FROM s JOIN r{i - 1} ON src = id GROUP BY dst)")
+        ctes.append(f"r{i} AS MATERIALIZED (SELECT n.id, 0.15::DOUBLE / c.n + 0.85::DOUBLE * (coalesce(got, 0) + lost / c.n) AS rank FROM n LEFT JOIN g{i} ON n.id = dst, c, l{i})")
+    return f"WITH {', '.join(ctes)} SELECT id, round(rank, 9) AS rank FROM r{steps}"
 
 
 @query("g16_pagerank", _pagerank_sql(10))
 def g16_pagerank(spark, d):
-    e = nation_edges(spark, d).withColumnRenamed("amount", "weight")
-    return iterative.pagerank(e).select("id", r6("rank").alias("rank"))
+    return iterative.pagerank(wallet_edges(spark, d)).select("id", r6("rank", 9).alias("rank"))
 
 
 @query(
     "g17_bfs_levels",
     f"""WITH RECURSIVE {WALLETS}, und AS (SELECT src AS a, dst AS b FROM we UNION SELECT dst, src FROM we), s AS (SELECT min(src) AS id FROM we),
-    r(id, level) AS (SELECT id, 0 FROM s UNION SELECT b, level + 1 FROM r JOIN und ON id = a WHERE level < 6) SELECT id, min(level) AS level FROM r GROUP BY id""",
+    r(id, level) AS (SELECT id, 0 FROM s UNION SELECT b, level + 1 FROM r JOIN und ON id = a WHERE level < 14) SELECT id, min(level) AS level FROM r GROUP BY id""",
 )
 def g17_bfs_levels(spark, d):
     e = wallet_edges(spark, d)
@@ -227,17 +226,35 @@ def g20_dag_levels(spark, d):
     return iterative.dag_levels(a.join(b, "n_regionkey").where("src < dst").select("src", "dst"))
 
 
+PARTS = """u0 AS (SELECT l_orderkey AS o, min(l_partkey) AS f FROM lineitem GROUP BY 1), u AS (SELECT DISTINCT f AS a, l_partkey AS b FROM lineitem JOIN u0 ON o = l_orderkey WHERE l_partkey <> f),
+    g AS (SELECT id, count(*)::DOUBLE AS k FROM (SELECT a AS id FROM u UNION ALL SELECT b FROM u) GROUP BY id),
+    c AS (SELECT count(*) AS n, (sum(k) / 2)::BIGINT AS m, sum(k * (k - 1) / 2) AS w FROM g),
+    t AS (SELECT x.a AS i, x.b AS j, y.b AS l FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b),
+    tn AS (SELECT id, count(*) AS t FROM (SELECT i AS id FROM t UNION ALL SELECT j FROM t UNION ALL SELECT l FROM t) GROUP BY id),
+    lc AS (SELECT avg(CASE WHEN k > 1 THEN 2 * coalesce(tn.t, 0) / (k * (k - 1)) ELSE 0 END) AS cl, (coalesce(sum(tn.t), 0) / 3)::BIGINT AS tri FROM g LEFT JOIN tn USING (id)),
+    ab AS (SELECT x.k AS x, y.k AS y FROM u JOIN g x ON a = x.id JOIN g y ON b = y.id), asr AS (SELECT corr(x, y) AS r FROM (SELECT x, y FROM ab UNION ALL SELECT y, x FROM ab))"""
+
+
+def _part_links(spark, d):
+    """Parts tied to the least part of each order they are in."""
+    return graph.cospend_links(load(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+
+
 @query(
     "a28_graph_summary",
-    f"""WITH {NATIONS}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ne WHERE src <> dst),
-    g AS (SELECT id, count(*) AS k FROM (SELECT a AS id FROM u UNION ALL SELECT b FROM u) GROUP BY id),
-    c AS (SELECT count(*) AS n, (sum(k) / 2)::BIGINT AS m, sum(k * (k - 1) / 2) AS w FROM g),
-    t AS (SELECT count(*) AS triangles FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b)
-    SELECT n, m, round(2 * m / (n * (n - 1)), 6) AS density, round(2 * m / n, 6) AS average_degree, triangles, round(3 * triangles / w, 6) AS transitivity FROM c, t""",
+    f"WITH {PARTS} SELECT n, m, round(2 * m / (n * (n - 1)), 9) AS density, round(2 * m / n, 6) AS average_degree, tri AS triangles, round(3 * tri / w, 6) AS transitivity, round(cl, 6) AS clustering, round(r, 6) AS assortativity FROM c, lc, asr",
 )
 def a28_graph_summary(spark, d):
-    s = graph.summary(nation_edges(spark, d))
-    return s.select("n", "m", r6("density").alias("density"), r6("average_degree").alias("average_degree"), "triangles", r6("transitivity").alias("transitivity"))
+    s = graph.summary(_part_links(spark, d))
+    return s.select("n", "m", r6("density", 9).alias("density"), r6("average_degree").alias("average_degree"), "triangles", *[r6(c).alias(c) for c in ("transitivity", "clustering", "assortativity")])
+
+
+@query(
+    "a28_summary_vector",
+    f"WITH {PARTS}, v AS (SELECT n / 1000 AS v0, m / 1000 AS v1, 2 * m / (n * (n - 1)) AS v2, 2 * m / n / 10 AS v3, cl AS v4, (r + 1) / 2 AS v5, 3 * tri / n / 10 AS v6 FROM c, lc, asr) SELECT {', '.join(f'round(least(5.0, greatest(0.0, v{i}))::DOUBLE, 6) AS v{i}' for i in range(7))} FROM v",
+)
+def a28_summary_vector(spark, d):
+    return graph.summary_vector(graph.summary(_part_links(spark, d))).select(*[r6(f"v{i}").alias(f"v{i}") for i in range(7)])
 
 
 @query("g10_communities")
@@ -251,17 +268,66 @@ def g10_modularity(spark, d):
     return iterative.modularity(e, iterative.modularity_communities(e)).select(r6("modularity").alias("modularity"))
 
 
-@query("g15_betweenness")
+@query(
+    "g10_modularity_gains",
+    f"""WITH {WALLETS}, lk AS (SELECT src AS a, dst AS b, weight AS w FROM we UNION ALL SELECT dst, src, weight FROM we), mem AS (SELECT 'c' || c_custkey AS id, c_nationkey AS com FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey FROM supplier),
+    own AS (SELECT a AS id, sum(w) AS k, any_value(com) AS com FROM lk JOIN mem ON a = id GROUP BY 1), tot AS (SELECT com, sum(k) AS total FROM own GROUP BY 1), mm AS (SELECT sum(w) AS mm FROM lk),
+    ins AS (SELECT a AS id, sum(w) AS w_in FROM lk JOIN mem x ON a = x.id JOIN mem y ON b = y.id WHERE x.com = y.com GROUP BY 1)
+    SELECT own.id, round(2 * coalesce(w_in, 0) / mm - 2 * k * (total - k) / (mm * mm), 9) AS gain FROM own JOIN tot USING (com) LEFT JOIN ins ON own.id = ins.id, mm""",
+)
+def g10_modularity_gains(spark, d):
+    c = load(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
+    s = load(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_nationkey").alias("community"))
+    return iterative.modularity_gains(wallet_edges(spark, d), c.unionByName(s)).select("id", r6("gain", 9).alias("gain"))
+
+
+@query("g13_fresh_communities", "SELECT c_custkey AS id, coalesce(s_nationkey::BIGINT, 1000000 + c_custkey) AS community FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
+def g13_fresh_communities(spark, d):
+    """Customers that are suppliers too have their nation as community, others one of their own."""
+    m = load(spark, d, "supplier").select((F.col("s_suppkey") + 1_000_000).alias("id"), F.col("s_nationkey").cast("bigint").alias("community"))
+    nodes = load(spark, d, "customer").select((F.col("c_custkey") + 1_000_000).alias("id"))
+    return graph.with_fresh_communities(nodes, m).select((F.col("id") - 1_000_000).alias("id"), "community")
+
+
+@query("g23_without_dangling", f"WITH {WALLETS}, k AS (SELECT dst AS id FROM we GROUP BY 1 HAVING count(*) % 2 = 0 UNION ALL SELECT DISTINCT src FROM we WHERE src LIKE '%1') SELECT src, dst, 1::BIGINT AS n FROM we WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
+def g23_without_dangling(spark, d):
+    e = wallet_edges(spark, d)
+    some = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0").select("id")
+    return graph.without_dangling(e, some.unionByName(e.select(F.col("src").alias("id")).where("id LIKE '%1'").distinct())).select("src", "dst", "n")
+
+
+@query("k6_edge_cap", f"WITH {WALLETS} SELECT src, dst FROM we ORDER BY src, dst LIMIT 500")
+def k6_edge_cap(spark, d):
+    """The feature is the cap: twice as many edges as a page of 250 nodes has."""
+    return graph.capped_edges(wallet_edges(spark, d), 250).select("src", "dst")
+
+
+@query("g17_bfs_sample", f"WITH {WALLETS} SELECT least(400, count(DISTINCT id)) AS n FROM (SELECT src AS id FROM we UNION ALL SELECT dst FROM we)")
+def g17_bfs_sample(spark, d):
+    """The size of a sample of 400 nodes round the first customer."""
+    e = wallet_edges(spark, d)
+    return iterative.bfs_sample(e, e.agg(F.min("src").alias("id")), 400).agg(F.countDistinct("id").alias("n"))
+
+
+@query(
+    "g15_betweenness",
+    f"WITH {WALLETS}, {betweenness_sql('SELECT src, dst FROM we', 'SELECT DISTINCT dst AS id FROM we ORDER BY dst LIMIT 4')} SELECT id, round(betweenness, 4) AS betweenness FROM bw",
+)
 def g15_betweenness(spark, d):
-    """Over the nations' graph of trades above the average amount, every node a pivot."""
-    e = nation_edges(spark, d).groupBy("src", "dst").agg(F.sum("amount").alias("weight"))
-    mean = e.agg(F.avg("weight").alias("m"))
-    strong = e.crossJoin(F.broadcast(mean)).where("weight > m").select("src", "dst")
-    return iterative.betweenness(strong, graph.node_set(strong)).select("id", r6("betweenness").alias("betweenness"))
+    """Paths from the first four suppliers through the graph of customers and suppliers."""
+    e = wallet_edges(spark, d)
+    pivots = e.select(F.col("dst").alias("id")).distinct().orderBy("id").limit(4)
+    return iterative.betweenness(e.select("src", "dst"), pivots).select("id", r6("betweenness", 4).alias("betweenness"))
 
 
-@query("g24_graph_convolution")
+@query(
+    "g24_graph_convolution",
+    f"""WITH {WALLETS}, n AS (SELECT DISTINCT id FROM (SELECT src AS id FROM we UNION ALL SELECT dst FROM we)), x AS (SELECT id, CASE WHEN id LIKE 'c%' THEN 1.0 ELSE 0.0 END::DOUBLE AS x0, length(id)::DOUBLE AS x1 FROM n),
+    a AS (SELECT src, dst FROM we UNION SELECT dst, src FROM we UNION SELECT id, id FROM n), g AS (SELECT src AS id, count(*)::DOUBLE AS d FROM a GROUP BY 1)
+    SELECT a.src AS id, round(sum(x0 / sqrt(p.d * q.d)), 6) AS x0, round(sum(x1 / sqrt(p.d * q.d)), 6) AS x1 FROM a JOIN g p ON a.src = p.id JOIN g q ON a.dst = q.id JOIN x ON a.dst = x.id GROUP BY 1""",
+)
 def g24_graph_convolution(spark, d):
-    x = load(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.array(F.col("n_regionkey").cast("double"), F.lit(1.0)).alias("x"))
-    out = iterative.graph_convolution(nation_edges(spark, d), x, 2)
+    e = wallet_edges(spark, d)
+    x = graph.node_set(e).select("id", F.array(F.when(F.startswith("id", F.lit("c")), 1.0).otherwise(0.0), F.length("id").cast("double")).alias("x"))
+    out = iterative.graph_convolution(e, x, 2)
     return out.select("id", r6(F.col("x")[0]).alias("x0"), r6(F.col("x")[1]).alias("x1"))

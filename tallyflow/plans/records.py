@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions import aggregates, scalars
 from tallyflow.functions.tables import load
-from tallyflow.operators import features, geo
-from tallyflow.plans.base import NATIONS, PAYMENTS, events, nation_edges, payments, query, r6
+from tallyflow.operators import features, geo, iterative, metrics
+from tallyflow.plans.base import NATIONS, PAYMENTS, betweenness_sql, events, nation_edges, payments, query, r6, wallet_edges
 from tallyflow.sources.records import Rule, checked, contract_projection, schema_difference
 
 # ---------------------------------------------------------------- validation
@@ -277,25 +277,112 @@ def feat_port_anomaly(spark, d):
 
 
 def order_records(spark, d):
-    """Orders as records of the contract: customers and suppliers as addresses."""
-    p = payments(spark, d)
-    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("_s"), F.col("s_nationkey").alias("geo_asn"))
-    c = load(spark, d, "customer").select(F.col("c_custkey").alias("_c"), F.col("c_nationkey").cast("string").alias("geo_country"))
-    first = F.get("outputs", F.lit(0))
-    both = p.join(c, p["wallet"] == c["_c"]).join(s, first == s["_s"])
-    ip = lambda k: F.concat_ws(".", F.lit("10"), *[(F.floor(k / n) % 256).cast("string") for n in (65536, 256, 1)])
+    """Orders as records of the contract: customers and suppliers as addresses, at the places of their nations."""
+    p, at = payments(spark, d), _places(spark, d)
+    src = at.select(F.col("k").alias("_a"), F.col("lat").alias("src_lat"), F.col("lng").alias("src_lng"))
+    dst = at.select(F.col("k").alias("_b"), F.col("lat").alias("dst_lat"), F.col("lng").alias("dst_lng"))
+    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("_s"), F.col("s_nationkey").alias("geo_asn")).join(F.broadcast(dst), F.col("geo_asn") == F.col("_b"))  # a row a nation
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("_c"), F.col("c_nationkey").alias("_n")).join(F.broadcast(src), F.col("_n") == F.col("_a"))
+    both = p.join(c, p["wallet"] == c["_c"]).join(s, F.get("outputs", F.lit(0)) == s["_s"])
     return both.select(
-        F.col("ts").cast("timestamp").alias("timestamp"), ip(F.col("wallet")).alias("src_ip"), ip(F.col("_s")).alias("dst_ip"), (F.col("txid") % 65536).cast("int").alias("src_port"), F.lit(8333).alias("dst_port"),
+        F.col("ts").cast("timestamp").alias("timestamp"), _address(F.col("wallet")).alias("src_ip"), _address(F.col("_s")).alias("dst_ip"), (F.col("txid") % 65536).cast("int").alias("src_port"), F.lit(8333).alias("dst_port"),
         F.col("txid").cast("string").alias("txid"), F.array(F.concat(F.lit("w"), "wallet")).alias("input_addresses"), F.transform("outputs", lambda x: F.concat(F.lit("s"), x)).alias("output_addresses"),
-        F.array("amount").alias("input_amounts"), F.col("amounts").alias("output_amounts"), "fee", F.lit("P2WPKH").alias("script_type"), "geo_country", F.col("geo_asn").cast("bigint").alias("geo_asn"),
+        F.array("amount").alias("input_amounts"), F.col("amounts").alias("output_amounts"), "fee", F.lit("P2WPKH").alias("script_type"), F.col("_n").cast("string").alias("geo_country"), F.col("geo_asn").cast("bigint").alias("geo_asn"),
+        "src_lat", "src_lng", "dst_lat", "dst_lng",
     )
 
 
-@query("features_all")
+def _address(k):
+    return F.concat_ws(".", F.lit("10"), *[(F.floor(k / n) % 256).cast("string") for n in (65536, 256, 1)])
+
+
+#: The numbers behind the addresses that are pivots of the orders' address graph.
+PIVOTS = (1, 2, 4, 5)
+
+
+def order_graph(spark, d, r):
+    """(communities, centrality, gains) of the orders' wallets: nations as communities, betweenness of addresses from PIVOTS."""
+    edges = wallet_edges(spark, d).select(F.concat(F.lit("w"), F.substring("src", 2, 20)).alias("src"), "dst", "weight")
+    c = load(spark, d, "customer").select(F.concat(F.lit("w"), "c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
+    s = load(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_nationkey").alias("community"))
+    members = c.unionByName(s)
+    pivots = spark.createDataFrame([(k,) for k in PIVOTS], "k int").select(_address(F.col("k")).alias("id"))
+    return members, iterative.betweenness(r.select(F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst")), pivots), iterative.modularity_gains(edges, members)
+
+
+FEATURE_DIGITS = {"geo_distance_variance_km": 1, "inv_jitter_std": 3, "inter_tx_interval_std": 3, "output_amount_variance": 2, "fee_sat_per_vb": 2, "value_median": 4, "modularity_delta": 9}
+
+
+@query(
+    "features_all",
+    f"""WITH {PAYMENTS}, {PLACES},
+    rec AS (SELECT txid, wallet, fee, amount, outputs, amounts, epoch_us(ts) AS tm, ts, outputs[1] AS s1, s_nationkey AS asn, c_nationkey AS nat, txid % 65536 AS sp, {HAVERSINE.format(a='a.', b='b.')} AS km
+      FROM pay JOIN customer ON wallet = c_custkey JOIN supplier ON outputs[1] = s_suppkey JOIN pl a ON a.k = c_nationkey JOIN pl b ON b.k = s_nationkey),
+    sq AS (SELECT wallet, tm, (tm - lag(tm) OVER o) / 1e6 AS gap, CASE WHEN lag(tm) OVER o IS NOT NULL THEN (asn <> lag(asn) OVER o)::INT::DOUBLE END AS hop FROM rec WINDOW o AS (PARTITION BY wallet ORDER BY tm, txid::VARCHAR)),
+    sr AS (SELECT wallet, CASE WHEN count(gap) < 2 THEN 0 ELSE stddev_pop(gap) END AS jitter, (max(tm) - min(tm)) / 3.6e9 AS uptime, coalesce(avg(hop), 0) AS hop FROM sq GROUP BY 1),
+    vals AS (SELECT wallet, 'asn' AS kind, asn::BIGINT AS v FROM rec UNION ALL SELECT wallet, 'port', sp FROM rec UNION ALL SELECT wallet, 'both', sp FROM rec UNION ALL SELECT wallet, 'both', 8333 FROM rec
+      UNION ALL SELECT wallet, 'hour', hour(ts) FROM rec UNION ALL SELECT wallet, 'day', isodow(ts) FROM rec),
+    cnt AS (SELECT wallet, kind, v, count(*)::DOUBLE AS c FROM vals GROUP BY ALL),
+    ent AS (SELECT wallet, kind, sum(c) AS n, count(*) AS d, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS e FROM cnt GROUP BY ALL),
+    pe AS (SELECT x.wallet, CASE WHEN x.d > 1 THEN x.e WHEN x.n <= 1 OR y.d > 1 THEN y.e ELSE x.e END AS e FROM ent x JOIN ent y ON x.wallet = y.wallet AND x.kind = 'port' AND y.kind = 'both'),
+    g AS (SELECT wallet, CASE WHEN count(*) < 2 THEN 0 ELSE var_pop(km) END AS km_var, count(DISTINCT s1) AS peers, count(DISTINCT nat) AS countries FROM rec GROUP BY 1),
+    dg AS (SELECT id, count(*) AS degree FROM (SELECT wallet AS id FROM rec UNION ALL SELECT s1 FROM rec) GROUP BY 1),
+    br AS (SELECT txid, count(*) OVER (PARTITION BY wallet ORDER BY tm RANGE BETWEEN 300000000 PRECEDING AND 300000000 FOLLOWING) AS b5, count(*) OVER (PARTITION BY wallet ORDER BY tm RANGE BETWEEN 3600000000 PRECEDING AND 3600000000 FOLLOWING) AS b60 FROM rec),
+    mem AS (SELECT 'w' || c_custkey AS id, c_nationkey AS com FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey FROM supplier), cs AS (SELECT com, count(*) AS size FROM mem GROUP BY 1),
+    we AS (SELECT 'w' || o_custkey AS a, 's' || l_suppkey AS b, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), lk AS (SELECT a, b, w FROM we UNION ALL SELECT b, a, w FROM we),
+    own AS (SELECT a AS id, sum(w) AS k, any_value(com) AS com FROM lk JOIN mem ON a = id GROUP BY 1), tot AS (SELECT com, sum(k) AS total FROM own GROUP BY 1), mm AS (SELECT sum(w) AS mm FROM lk),
+    ins AS (SELECT a AS id, sum(w) AS w_in FROM lk JOIN mem x ON a = x.id JOIN mem y ON b = y.id WHERE x.com = y.com GROUP BY 1),
+    gn AS (SELECT own.id, 2 * coalesce(w_in, 0) / mm - 2 * k * (total - k) / (mm * mm) AS gain FROM own JOIN tot USING (com) LEFT JOIN ins ON own.id = ins.id, mm),
+    {betweenness_sql("SELECT wallet AS src, s1 AS dst FROM rec", "SELECT unnest(" + str(list(PIVOTS)) + ") AS id")}, bz AS (SELECT avg(betweenness) AS m, stddev_pop(betweenness) AS sd FROM bw),
+    am AS (SELECT txid, len(amounts) AS n_out, amounts, list_sort(amounts) AS so, list_sum(amounts) AS total, list_max(amounts) AS hi, list_min(amounts) AS lo, list_avg(amounts) AS mean, list_sort(list_concat(amounts, [amount])) AS al FROM rec),
+    av AS (SELECT *, CASE WHEN n_out < 2 THEN 0 ELSE list_sum(list_transform(amounts, lambda x: pow(x - total / n_out, 2))) / n_out END AS var, list_sum(list_transform(so, lambda x, i: i * x)) AS ranked, coalesce(n_out >= 2 AND mean <> 0 AND (hi - lo) / abs(mean) < 0.01, false) AS eq FROM am)
+    SELECT r.txid::VARCHAR AS txid, peers::DOUBLE AS unique_peers, round(ea.e, 6) AS asn_entropy, round(pe.e, 6) AS port_entropy, round(km_var, 1) AS geo_distance_variance_km, round(jitter, 3) AS inv_jitter_std, (d1.degree + d2.degree)::DOUBLE AS peer_degree, round(hop, 6) AS asn_hopping_rate,
+    round(abs(sp - 8333) / 8333, 6) AS port_anomaly_score, countries::DOUBLE AS country_diversity, b5::DOUBLE AS p2p_burst_count, 0.0::DOUBLE AS rtt_proxy_ms, round(uptime, 6) AS uptime_hours, 1.0::DOUBLE AS tor_flag,
+    (50 + ('0x' || substr(sha256('10.' || (r.wallet // 65536) % 256 || '.' || (r.wallet // 256) % 256 || '.' || r.wallet % 256), 1, 8))::UBIGINT % 251)::DOUBLE AS accuracy_radius_mean, 0.0::DOUBLE AS ws_reconnects, 1.0::DOUBLE AS fan_in, n_out::DOUBLE AS fan_out, round(var, 2) AS output_amount_variance,
+    round(fee * 1e8 / 250, 2) AS fee_sat_per_vb, 1.0::DOUBLE AS "script_type_hist_P2WPKH_ratio", 1.0::DOUBLE AS input_count, round(CASE WHEN n_out <= 1 OR total = 0 THEN 0 ELSE 2 * ranked / (n_out * total) - (n_out + 1) / n_out END, 6) AS output_dispersion_gini, 0.0::DOUBLE AS utxo_age_blocks,
+    CASE WHEN n_out = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS peel_depth, 0.0::DOUBLE AS mixer_score, CASE WHEN coalesce(fee / nullif(r.amounts[1], 0) BETWEEN 0.4 AND 0.7, false) AND eq THEN 1.0 ELSE 0.0 END::DOUBLE AS coinjoin_prob,
+    CASE WHEN n_out = 2 AND hi > 0 AND (hi - lo) / hi > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS change_addr_likelihood, len(list_filter(r.amounts, lambda x: x < 0.00005))::DOUBLE AS dust_outputs, 0.0::DOUBLE AS op_return_flag, round((al[(len(al) + 1) // 2] + al[len(al) // 2 + 1]) / 2, 4) AS value_median,
+    b5::DOUBLE AS burst_5m_count, b60::DOUBLE AS burst_1h_count, round(jitter, 3) AS inter_tx_interval_std, round(coalesce(gain, 0), 9) AS modularity_delta, round(eh.e, 6) AS hour_entropy, round(ed.e, 6) AS day_of_week_entropy, size::DOUBLE AS community_size,
+    round(CASE WHEN sd > 0 THEN coalesce((betweenness - m) / sd, 0) ELSE 0 END, 6) AS betweenness_z
+    FROM rec r JOIN sr USING (wallet) JOIN g USING (wallet) JOIN pe USING (wallet) JOIN br USING (txid) JOIN av ON av.txid = r.txid JOIN ent ea ON ea.wallet = r.wallet AND ea.kind = 'asn' JOIN ent eh ON eh.wallet = r.wallet AND eh.kind = 'hour'
+    JOIN ent ed ON ed.wallet = r.wallet AND ed.kind = 'day' JOIN dg d1 ON d1.id = r.wallet JOIN dg d2 ON d2.id = s1 JOIN cs ON cs.com = nat LEFT JOIN gn ON gn.id = 'w' || r.wallet LEFT JOIN bw ON bw.id = r.wallet, bz""",
+)
 def features_all(spark, d):
-    """All 38 features of orders."""
-    f = features.features(order_records(spark, d))
-    return f.select("txid", *[r6(n).alias(n) for n in features.FEATURES])
+    """All 38 features of orders, with what the graphs of their wallets and addresses give."""
+    r = order_records(spark, d)
+    f = features.features(r, *order_graph(spark, d, r))
+    return f.select("txid", *[r6(n, FEATURE_DIGITS.get(n, 6)).alias(n) for n in features.FEATURES])
+
+
+@query(
+    "a31_first_addresses",
+    "WITH e AS (SELECT user_id AS wallet, ts, event_id::VARCHAR AS txid, event_type AS src_ip FROM events) SELECT wallet, src_ip AS address FROM (SELECT *, row_number() OVER (PARTITION BY wallet ORDER BY ts, txid) AS k FROM e) WHERE k = 1",
+)
+def a31_first_addresses(spark, d):
+    e = events(spark, d).select(F.col("user_id").alias("wallet"), "ts", F.col("event_id").cast("string").alias("txid"), F.col("event_type").alias("src_ip"))
+    return features.first_addresses(e)
+
+
+@query(
+    "j12_wallet_centrality",
+    "WITH c AS (SELECT event_type AS id, count(*)::DOUBLE AS v FROM events GROUP BY 1), f AS (SELECT user_id, arg_min(event_type, (ts, event_id)) AS a FROM events GROUP BY 1) SELECT id, v AS betweenness FROM c UNION ALL SELECT 'u' || user_id, v FROM f JOIN c ON a = c.id",
+)
+def j12_wallet_centrality(spark, d):
+    """A count of each event type stands in for centrality; users get that of their first event's type."""
+    e = events(spark, d).select(F.concat(F.lit("u"), "user_id").alias("wallet"), "ts", F.col("event_id").alias("txid"), F.col("event_type").alias("src_ip"))
+    c = e.groupBy(F.col("src_ip").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("betweenness"))
+    return features.carried_to_wallets(c, e)
+
+
+@query(
+    "feat_output_ages",
+    f"""WITH {PAYMENTS}, p AS (SELECT DISTINCT unnest(outputs) AS k, epoch_us(ts) AS t FROM pay), w AS (SELECT txid, outputs[1] AS k, epoch_us(ts) AS t FROM pay)
+    SELECT w.txid::VARCHAR AS txid, round(min(w.t - p.t) / 600000000, 6) AS age FROM w JOIN p ON w.k = p.k AND p.t < w.t GROUP BY 1""",
+)
+def feat_output_ages(spark, d):
+    """Blocks since an order's first supplier was last paid by another, as if it were the one who pays now."""
+    p = payments(spark, d).select(F.col("txid").cast("string").alias("txid"), "ts", F.get("outputs", F.lit(0)).alias("wallet"), F.col("outputs").alias("output_addresses"))
+    return features.output_ages(p).select("txid", r6("age").alias("age"))
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -352,15 +439,27 @@ def x21_heuristic_scores(spark, d):
 
 @query(
     "x22_stretched_scores",
-    """WITH m AS (SELECT min(s_acctbal) AS lo, max(s_acctbal) AS hi, avg(s_acctbal) AS mean, stddev_pop(s_acctbal) AS sd FROM supplier)
-    SELECT s_suppkey, round(0.2::DOUBLE + 0.6::DOUBLE * (s_acctbal - lo) / (hi - lo), 6) AS stretched, round((s_acctbal - mean) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END, 6) AS z FROM supplier, m""",
+    """WITH p AS (SELECT s_suppkey, s_acctbal, 0.5 + s_acctbal / CASE WHEN s_nationkey % 2 = 0 THEN 1e6 ELSE 1e4 END AS v, s_nationkey % 2 AS g FROM supplier), m AS (SELECT g, min(v) AS lo, max(v) AS hi FROM p GROUP BY g), z AS (SELECT avg(s_acctbal) AS mean, stddev_pop(s_acctbal) AS sd FROM supplier)
+    SELECT s_suppkey, round(CASE WHEN hi - lo >= 0.05 THEN v WHEN hi > lo THEN 0.2 + 0.6 * (v - lo) / (hi - lo) ELSE 0.5 END, 6) AS stretched, round((s_acctbal - mean) / CASE WHEN sd < 1e-9 THEN 1 ELSE sd END, 6) AS z FROM p JOIN m USING (g), z""",
 )
 def x22_stretched_scores(spark, d):
-    s = load(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("b"))
-    m = s.agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.avg("b").alias("mean"), F.stddev_pop("b").alias("sd"))
-    x = s.crossJoin(F.broadcast(m))
-    z = (F.col("b") - F.col("mean")) / F.when(F.col("sd") < 1e-9, 1.0).otherwise(F.col("sd"))
-    return x.select("s_suppkey", r6(0.2 + 0.6 * (F.col("b") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("stretched"), r6(z).alias("z"))
+    """Two groups of scores, of which only the narrow one is drawn out."""
+    s = load(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("b"), (F.col("s_nationkey") % 2).alias("g"))
+    p = s.withColumn("v", 0.5 + F.col("b") / F.when(F.col("g") == 0, 1e6).otherwise(1e4))
+    m = p.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    z = metrics.standardised(s.select("s_suppkey", "b"), ["b"]).withColumnRenamed("b", "z")
+    return p.join(m, "g").join(z, "s_suppkey").select("s_suppkey", r6(scalars.stretched(F.col("v"), F.col("lo"), F.col("hi"))).alias("stretched"), r6("z").alias("z"))
+
+
+@query(
+    "x15_geo_tiers",
+    """WITH RECURSIVE n AS (SELECT n_nationkey AS k, n_name || '-' || coalesce((CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey END)::VARCHAR, '0') AS s FROM nation),
+    h(k, s, i, v) AS (SELECT k, s, 0, 0::BIGINT FROM n UNION ALL SELECT k, s, i + 1, (v * 31 + ascii(substr(s, i + 1, 1))) & 4294967295 FROM h WHERE i < length(s))
+    SELECT k, ['tier1', 'tier2', 'tier3'][(v % 3)::INT + 1] AS by_place, CASE WHEN k / 25 >= 0.8 THEN 'tier1' WHEN k / 25 >= 0.5 THEN 'tier2' ELSE 'tier3' END AS by_score FROM h WHERE i = length(s)""",
+)
+def x15_geo_tiers(spark, d):
+    k = F.col("n_nationkey")
+    return load(spark, d, "nation").select(k.alias("k"), scalars.place_tier(F.col("n_name"), F.when(k % 4 != 0, F.col("n_regionkey"))).alias("by_place"), scalars.geo_tier(k / 25).alias("by_score"))
 
 
 @query(

@@ -105,14 +105,15 @@ def test_detect_format(spark, tmp_path, text, name, kind):
 
 def test_json_shapes(spark, tmp_path):
     row = '{"txid": "t", "fee": 0.5, "input_amounts": [1.0, 2.0]}'
-    shapes = [f"[{row}, {row}]", f'{{"records": [{row}]}}', f'{{"data": [{row}]}}', row, f"{row}\n{row}\n"]
+    other = f'{{"total": 2, "items": [{row}, {row}], "more": []}}'
+    shapes = [f"[{row}, {row}]", f'{{"records": [{row}]}}', f'{{"data": [{row}]}}', row, f"{row}\n{row}\n", other, f'{{"one": {row}}}', ""]
     counts = []
     for i, s in enumerate(shapes):
         (tmp_path / f"{i}.json").write_text(s)
         rows = files.read_json(spark, str(tmp_path / f"{i}.json")).collect()
         assert all(r.txid == "t" and r.fee == "0.5" for r in rows)
         counts.append(len(rows))
-    assert counts == [2, 1, 1, 1, 2]
+    assert counts == [2, 1, 1, 1, 2, 2, 1, 0]
 
 
 def test_folder_and_quarantine(spark, tmp_path):
@@ -144,6 +145,7 @@ def test_stream_ingest_reads_each_file_once(spark, tmp_path):
         (tmp_path / "in" / f"{i}.csv").write_text(next((tmp_path / f"d{i}").glob("part-*.csv")).read_text())
         streams.ingest(streams.watch_csv(spark, f"{tmp_path}/in"), f"{tmp_path}/clean", f"{tmp_path}/bad", f"{tmp_path}/cp").awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/clean").count() == i + 1
+        assert {p.name for p in (tmp_path / "clean").iterdir() if p.is_dir()} == {f"batch={k}" for k in range(i + 1)}
         assert files.read_quarantine(spark, f"{tmp_path}/bad").count() == i + 1
 
 
@@ -228,6 +230,7 @@ def test_searches_go_to_the_end_of_long_paths(spark):
     got = {r.id: r.betweenness for r in iterative.betweenness(line(33), first).collect()}
     assert got == {0: 0.0, **{i: (33 - i) / 2 for i in range(1, 34)}}
     assert iterative.bfs_levels(line(9), first, 3).count() == 4
+    assert {r.id: r.level for r in iterative.dag_levels(line(104)).collect()} == {i: i for i in range(105)}
 
 
 def test_communities_of_two_cliques(spark):
@@ -244,11 +247,160 @@ def test_dag_levels_find_cycles(spark):
     levels = iterative.dag_levels(df)
     assert {r.id: r.level for r in levels.collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
     with pytest.raises(ValueError, match="cycle"):
-        iterative.dag_levels(df.unionByName(spark.createDataFrame([(4, 1)], "src int, dst int")), most=8)
+        iterative.dag_levels(df.unionByName(spark.createDataFrame([(4, 1)], "src int, dst int")))
     t = {r.id: r.timestamp for r in generate.dag_times(levels, 1 / 600, 30.0, F.lit("2024-01-01").cast("timestamp")).collect()}
     assert t[1] < t[2] < t[3] < t[4]
 
 
+def test_cycles_are_broken_by_one_edge_each(spark):
+    rng = random.Random(8)
+    rings = [(i, (i + 1) % 5) for i in range(5)] + [(10 + i, 10 + (i + 1) % 3) for i in range(3)] + [(20, 20), (4, 10), (12, 30), (30, 31)]
+    kept = {(r.src, r.dst) for r in iterative.without_cycles(spark.createDataFrame(rings, "src int, dst int")).collect()}
+    assert len(kept) == len(rings) - 3 and {(4, 10), (12, 30), (30, 31)} <= kept
+    mixed = sorted({(rng.randrange(25), rng.randrange(25)) for _ in range(60)})
+    df = spark.createDataFrame(mixed, "src int, dst int")
+    left = iterative.without_cycles(df)
+    assert iterative.dag_levels(left).count() > 0  # raises where a cycle is left
+    assert len(left.collect()) > 0.6 * len(mixed)
+
+
+def test_samples_are_filled_and_repaired(spark):
+    edges = [(i, i + 1) for i in range(6)] + [(10 + i, 11 + i) for i in range(3)] + [(20, 21), (30, 31), (40, 41)] + [(6, 50), (13, 51)]
+    df = spark.createDataFrame(edges, "src int, dst int")
+    seeds = spark.createDataFrame([(0,)], "id int")
+    near = {r.id for r in iterative.bfs_sample(df, seeds, 5).collect()}
+    assert near == {0, 1, 2, 3, 4} and iterative.bfs_sample(df, seeds, 12).count() == 12 and iterative.bfs_sample(df, seeds, 100).count() == 19
+    sample = spark.createDataFrame([(i,) for i in (*range(7), *range(10, 14), 20, 21, 30, 40)], "id int")
+    fixed = {r.id for r in iterative.repaired_sample(df, sample).collect()}
+    assert len(fixed) == 15 and {*range(7), *range(10, 14), 20, 21, 50, 51} == fixed
+
+
+def test_graph_network_forward_pass(spark):
+    pairs = random_graph(5, 12, 20)
+    nodes = sorted({x for p in pairs for x in p})
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(len(nodes), 5))
+    layers = [(rng.normal(size=(a, b)), rng.normal(size=b)) for a, b in ((5, 7), (7, 4), (4, 2))]
+    a = np.eye(len(nodes))
+    for p, q in pairs:
+        a[nodes.index(p), nodes.index(q)] = a[nodes.index(q), nodes.index(p)] = 1
+    d = 1 / np.sqrt(a.sum(axis=1))
+    want = x
+    for i, (w, b) in enumerate(layers):
+        want = (a * d[:, None] * d[None]) @ (want @ w) + b
+        want = want if i == 2 else np.maximum(want, 0)
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in zip(nodes, x, strict=True)], "id int, x array<double>")
+    got = {r.id: r.x for r in iterative.graph_network(spark.createDataFrame(pairs, "src int, dst int"), df, [(w.tolist(), b.tolist()) for w, b in layers]).collect()}
+    assert np.allclose([got[n] for n in nodes], want)
+
+
+def test_graph_is_stored_and_read_by_type(spark, tmp_path):
+    made = generate.records(spark, 30)
+    nodes, edges = graph.display_graph(made)
+    serving.store_graph(nodes, edges, str(tmp_path))
+    n, e = serving.read_graph(spark, str(tmp_path), ["p2p"])
+    assert n.count() == nodes.count() and e.count() == 30 and {r.type for r in n.select("type").distinct().collect()} == {"ip", "wallet", "txid"}
+    assert serving.read_graph(spark, str(tmp_path))[1].count() == edges.count()
+
+
+def test_ranges_on_skewed_rows(spark):
+    """All scores equal, one class, many ties at the cut: ranks and shares are exact."""
+    from tallyflow.functions import ranges
+
+    tied = spark.range(1000).select("id", F.lit(0.5).alias("p"), F.lit(1).alias("y")).repartition(5)
+    assert [r["rank"] for r in serving.ranked(tied, "p", "id").orderBy("id").collect()] == list(range(1, 1001))
+    assert {r.id for r in models.pseudo_labels(tied.drop("y"), "p", "id", 0.1).where("y = 1").collect()} == set(range(100))
+    split = metrics.stratified_split(tied, "y", "id")
+    assert split.where("part = 'train'").count() == 700 and metrics.random_split(tied, "id").where("part = 'train'").count() == 700
+    assert sorted(r.id for r in metrics.temporal_split(tied, "p", "id").where("part = 'test'").collect()) == list(range(700, 1000))
+    mixed = spark.range(500).select(F.when(F.col("id") % 7 == 0, None).otherwise((F.col("id") * 37) % 101).cast("double").alias("v"))
+    values = sorted(r.v for r in mixed.collect() if r.v is not None)
+    for level in (0.0, 0.3, 0.5, 0.95, 1.0):
+        assert ranges.percentile(mixed, "v", level, "q").first()[0] == pytest.approx(np.quantile(values, level))
+    assert ranges.percentile(mixed.where("v < 0"), "v", 0.5, "q").first()[0] is None
+    assert serving.ranked(tied.where("id < 0"), "p", "id").count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one partition
+    parts = ranges.placed(tied, [F.asc("p"), F.asc("id")])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts.groupBy("_part").count().agg(F.max("count")).first()[0] < 800  # ties don't make one task
+
+
+def test_series_across_days_is_that_of_all_rows(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(6):
+        t = 0
+        for _ in range(rng.randrange(1, 60)):
+            t += rng.choice([0, 1, 60, 299, 300, 301, 3600, 3599, 40_000, 86_400, 300_000])
+            rows.append((k, len(rows), t, rng.randrange(3), rng.choice([10.0, 10.1, 40.0]), 5.0))
+    df = spark.createDataFrame(rows, "k int, i bigint, t bigint, asn bigint, lat double, lng double").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r.k: r for r in features.series_features(df, "k", "ts", "i", "asn", "lat", "lng").collect()}
+    near = {r.i: (r.a, r.b) for r in features.burst_counts(df.select("k", "i", "ts"), "k", "ts", {"a": 300, "b": 3600}).collect()}
+    for k in range(6):
+        mine = sorted((t, i, asn, lat) for kk, i, t, asn, lat, _ in rows if kk == k)
+        gaps = [b[0] - a[0] for a, b in zip(mine, mine[1:], strict=False)]
+        hops = [a[2] != b[2] or abs(a[3] - b[3]) > 9 for a, b in zip(mine, mine[1:], strict=False)]
+        assert got[k].n == len(mine) and got[k].uptime_hours == pytest.approx((mine[-1][0] - mine[0][0]) / 3600)
+        assert got[k].interval_std == pytest.approx(np.std(gaps) if len(gaps) > 1 else 0) and got[k].hop_rate == pytest.approx(np.mean(hops) if hops else 0)
+        for t, i, *_ in mine:
+            assert near[i] == tuple(sum(abs(u[0] - t) <= s for u in mine) for s in (300, 3600))
+
+
+def test_union_sizes_and_output_ages(spark):
+    rng = random.Random(9)
+    a, b = ([(k, rng.randrange(2), f"v{rng.randrange(8)}") for k in range(5) for _ in range(rng.randrange(12))] for _ in range(2))
+    pairs = [(x, y) for x in range(6) for y in range(6)]
+    kind = "key int, kind int, value string"
+    got = {(r.x, r.y, r.kind): r["size"] for r in features.union_sizes(spark.createDataFrame(pairs, "x int, y int"), spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)).collect()}
+    assert got == {(x, y, k): len({v for key, kk, v in a if key == x and kk == k} | {v for key, kk, v in b if key == y and kk == k}) for x, y in pairs for k in range(2)}
+    day = 86_400
+    rows = [("t1", 0, "w1", ["w2"]), ("t2", 600, "w2", ["w1", "w3"]), ("t3", 600, "w1", ["w1"]), ("t4", 5 * day, "w1", []), ("t5", 5 * day + 60, "w2", ["w9"])]
+    df = spark.createDataFrame(rows, "txid string, t bigint, wallet string, output_addresses array<string>").withColumn("ts", F.timestamp_seconds("t"))
+    assert {r.txid: r.age for r in features.output_ages(df).collect()} == {"t2": 1.0, "t4": (5 * day - 600) / 600, "t5": (5 * day + 60) / 600}
+
+
+def test_anchored_records_follow_the_graph(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)], "src int, dst int")
+    members = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "id int, community int")
+    made = {r.node: r for r in generate.anchored_records(iterative.dag_levels(edges), edges, members).collect()}
+    assert len(made) == 5 and all(made[a].timestamp < made[b].timestamp for a, b in ((1, 2), (1, 3), (2, 4), (3, 4), (4, 5)))
+    assert len(made[4].input_amounts) == 2 and len(made[1].output_amounts) == 2
+    assert all(abs(sum(r.input_amounts) - sum(r.output_amounts) - r.fee) < 1e-7 for r in made.values())
+
+
+def test_stream_of_all_kinds_is_not_doubled_by_a_retry(spark, tmp_path):
+    made = generate.records(spark, 12).drop("label").withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    (tmp_path / "in").mkdir()
+    for kind in files.EXTENSIONS:
+        files.write_records(made.coalesce(1), f"{tmp_path}/{kind}", kind)
+        part = next(p for p in (tmp_path / kind).iterdir() if p.name.startswith("part-"))
+        (tmp_path / "in" / f"a.{kind}").write_text(part.read_text())
+    run = lambda checkpoint: streams.ingest_files(streams.watch_files(spark, f"{tmp_path}/in"), f"{tmp_path}/clean", f"{tmp_path}/bad", f"{tmp_path}/{checkpoint}").awaitTermination()
+    run("one")
+    assert spark.read.parquet(f"{tmp_path}/clean").count() == 36
+    run("two")  # as after a batch whose end was not recorded: the same batch number again
+    assert spark.read.parquet(f"{tmp_path}/clean").count() == 36 and spark.read.parquet(f"{tmp_path}/clean").select("txid").distinct().count() == 12
+
+
+def test_evidence_bundles(spark):
+    made = generate.records(spark, 60)
+    table = features.features(made)
+    forest = models.fit_forest(table, list(features.FEATURES), "txid", trees=20)
+    found = alerts.infer(made, forest, table=table)
+    lines = made.select(F.get("input_addresses", F.lit(0)).alias("wallet"), "timestamp", F.aggregate("input_amounts", F.lit(0.0), lambda s, x: s + x).alias("amount"), F.col("geo_country").alias("country"), F.lit(120.0).alias("radius"))
+    bundles = serving.evidence(found, forest.attribute(table, "txid", 38), lines, text=alerts.explain(found, table, forest)).cache()
+    rows = bundles.collect()
+    assert len(rows) == 60 and all(len(r["values"]) == 38 and len(r.top) == 3 and r.text and r.inaccurate for r in rows)
+    assert all(len(r.amount_flow) == len(r.geo_timeline) == r.n_records and r.amount_flow == sorted(r.amount_flow) for r in rows)
+    one = rows[0].txid
+    assert serving.find_evidence(bundles, one).count() == 1 and serving.find_evidence(bundles, "0" * 64).count() == 0
+    with pytest.raises(ValueError, match="no id"):
+        serving.find_evidence(bundles, "xyz")
+    assert serving.selected(found, one).first().txid == one and serving.selected(found, "ranked:2").first()["rank"] == 3
+    short = serving.evidence(found, forest.attribute(table, "txid", 3), lines, kept=1).collect()
+    assert all(len(r.amount_flow) == 1 and r.amount_flow[0].timestamp == r.last_seen for r in short)
+
+
 def test_guarded_communities(spark):
     m = spark.createDataFrame([(i, i // 30) for i in range(100)], "id int, community int")
     assert graph.guarded_communities(m).select("community").distinct().count() == 100

@@ -11,8 +11,8 @@ import pytest
 from tallyflow.plans.registry import FLAGSHIP, QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-#: Iterating queries that tests/test_iterative.py holds against brute force.
-SLOW = {"m12_sigma_sweep", "g10_communities"}
+#: What runs here within another query; tests/test_operators.py holds it against brute force.
+WITHIN = {"m12_sigma_sweep", "g10_communities"}
 
 
 def plain(v):
@@ -50,7 +50,7 @@ def test_query_matches_sql(spark, duck, name):
     same_rows(QUERIES[name](spark, SF), duck, SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - WITHIN))
 def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, SF).limit(1).count() == 1
 
