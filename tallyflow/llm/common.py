@@ -1,69 +1,34 @@
-"""Helpers shared by the text operators: shared storage for cut lineage, salted ranks, text columns."""
+"""Helpers shared by the text operators: shared storage for cut lineage, salted ranks, row hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for written intermediate tables: ``spark.checkpoint.dir``.
-
-    Where the setting is missing, a local master gets a temporary folder of its own; on a cluster that is an
-    error, as executors would not see a folder of the driver.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if path is None:
-        known = sc.getCheckpointDir()
-        if known is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyflow-"))
-            known = sc.getCheckpointDir()
-        path = known
-    return path.rstrip("/")
-
-
-_WRITTEN: list[str] = []
-
-
-def drop_cuts(spark: SparkSession) -> None:
-    """Delete the tables that cut() wrote in this session; call it when what was built from them is stored."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    while _WRITTEN:
-        path = hadoop.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
+from tallyflow.functions.tables import cut, drop_cuts, shared_dir
+from tallyflow.functions.tables import load as table
 
-def cut(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a short lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["ROWS_A_SALT", "cut", "drop_cuts", "row_hash", "salted_rank", "shared_dir", "table"]
 
+#: A range of a group's rows that one task ranks holds about so many rows of the whole table at most.
+ROWS_A_SALT = 250_000
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def row_hash(df: DataFrame, struct: str) -> Column:
+    """A hash of all columns of ``df`` that can be hashed, held in the column ``struct``."""
+    return F.xxhash64(*[F.col(struct).getField(f.name) for f in df.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))])
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank", salts: int = 64) -> DataFrame:
+def salted_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank", salts: int | None = None) -> DataFrame:
     """Add ``rank``: 0, 1, 2 ... within each group of ``keys``, in an order drawn from ``order``'s hash.
 
-    A hot group is spread over ``salts`` ranges of that hash. Rows are ranked inside a range, and a range's first
-    rank is the count of the rows in the ranges below it, so no task sees a whole group and the order is the same
-    on every run. Rows that agree in all of ``order`` are interchangeable.
+    A hot group is spread over ``salts`` ranges of that hash, as many as the table has ROWS_A_SALT rows (64 at least).
+    Rows are ranked inside a range, and a range's first rank is the count of the rows in the ranges below it, so no
+    task sees a whole group and the order is the same on every run. Rows that agree in all of ``order`` are
+    interchangeable. ``df`` should be a written table: it is counted first.
     """
-    salted = df.withColumn("_h", F.xxhash64(*order)).withColumn("_s", F.pmod(F.shiftrightunsigned("_h", 32), F.lit(salts)))
+    salts = salts or max(64, -(-df.count() // ROWS_A_SALT))
+    salted = df.withColumn("_h", F.xxhash64(*order)).withColumn("_s", F.pmod(F.shiftrightunsigned("_h", 16), F.lit(salts)))
     counts = salted.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_n"))
     below = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(*keys, "_s", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_first"))
