@@ -1,14 +1,14 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Token log-odds between toxic and other labelled documents carry an informative Dirichlet prior (the pooled
-frequencies). Tokens are words and their stems of four to six bytes, as slurs are inflected; those whose log-odds
-stand out in units of their own deviation form the lexicon. A word scores as the strongest of its tokens there, and
+frequencies); a document counts once for a token, however often it repeats it. Tokens are words and their stems of four
+to six bytes, as slurs are inflected; those whose log-odds stand out in units of their own deviation form the lexicon. A word scores as the strongest of its tokens there, and
 any other word gets the common log-odds of not being in it, a small negative. In each text a linear-time scan finds every maximal
 scoring segment. Scores of the best segment in clean text follow an extreme-value law with parameters lambda and K;
 they turn a segment's score into a normalised one, and a document's is the sum over its significant segments. A
 logistic curve, fitted on labelled documents that the lexicon hasn't seen, maps that to a score from 0 to 1.
 
-Bounds: at most about LABELLED documents of each class are learnt from, and LEXICON tokens are kept (the strongest).
+Bound: at most about LABELLED documents of each class are learnt from.
 
 Defined cases: a null or empty text has no segment and the score of a text without any; without labels of both
 classes every score is 0; repeated rows get a row each; an empty table gives an empty result; texts are read whole;
@@ -32,10 +32,10 @@ from tallyflow.llm.common import cut, table
 from tallyflow.llm.quality_model import fold, logistic_differences, sample_labels
 
 LABELLED = 10_000
-LEXICON = 50_000
-#: Weight of the prior in documents, least deviations from zero, and least toxic documents with a token.
+#: Weight of the prior in documents; least deviations from zero, least log-odds and least toxic documents of a token.
 PRIOR_DOCS = 20.0
 STANDS_OUT = 2.4
+LEAST_ODDS = 0.7
 LEAST_DOCS = 3
 #: A segment counts as significant below this expected number in clean text.
 EXPECTED = 0.05
@@ -49,19 +49,12 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 STEMS = (4, 5, 6)
-#: Times that a token counts within one document at most.
-MOST_TIMES = 3
 
 
-def features(words: list[bytes]) -> Counter:
-    """Words and stems with their counts; a stem ends in a hyphen, which no word holds."""
-    seen = Counter(words)
-    out = Counter(seen)
-    for w, n in seen.items():
-        for k in STEMS:
-            if len(w) > k:
-                out[w[:k] + b"-"] += n
-    return out
+def features(words: list[bytes]) -> set[bytes]:
+    """The words and stems of a text; a stem ends in a hyphen, which no word holds."""
+    seen = set(words)
+    return seen | {w[:k] + b"-" for w in seen for k in STEMS if len(w) > k}
 
 
 class Values(dict):
@@ -72,7 +65,7 @@ class Values(dict):
         self.lexicon = lexicon
 
     def __missing__(self, w: bytes) -> float:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         get = self.lexicon.get
         value = max(get(w, 0.0), *(get(w[:k] + b"-", 0.0) for k in STEMS if len(w) > k), 0.0)
@@ -84,25 +77,27 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
     """All maximal scoring segments (first, last, score) in linear time.
 
     ``hits`` are (position, positive score); each token between two hits scores -``drift``. Candidates keep the
-    cumulative score before and after them; a new one absorbs earlier ones as long as that makes a better segment.
+    cumulative score before and after them and point to the nearest earlier one with a smaller score before it, so
+    candidates once passed over are never walked again; a new one absorbs earlier ones while that makes a better segment.
     """
-    found: list[list] = []  # first, last, score before, score after
-    total, before = 0.0, None
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, score before, score after, pointer
+    total, before = 0.0, -1
     for at, s in hits:
-        total -= drift * (at - before - 1 if before is not None else at)
+        total -= drift * (at - before - 1)
         before = at
-        k = [at, at, total, total + s]
+        first, left = at, total
         total += s
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= k[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= k[3]:
+            while j >= 0 and found[j][2] >= left:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
                 break
-            k = [found[j][0], k[1], found[j][2], k[3]]
-            del found[j:]
-        found.append(k)
-    return [(a, b, r - left) for a, b, left, r in found]
+            first, left = found[j][0], found[j][2]
+            del found[j + 1 :]
+            j = found.pop()[4]
+        found.append((first, at, left, total, j))
+    return [(a, b, r - left) for a, b, left, r, _ in found]
 
 
 @dataclass
@@ -140,35 +135,35 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * evidence + self.shift))))
 
 
-def log_odds(counts: list[tuple[bytes, int, int]], docs: tuple[int, int]) -> dict[bytes, float]:
-    """The lexicon from (token, its count in documents of class 0, in those of class 1) and the documents of each."""
+def log_odds(counts: DataFrame, docs: tuple[int, int]) -> DataFrame:
+    """(w, value): the lexicon from (w, a, b), the documents of class 0 and of class 1 with a token, and all of each."""
     n0, n1 = docs
-    scored = []
-    for w, a, b in counts:
-        rate = (a + b) / (n0 + n1)
-        prior = PRIOR_DOCS * rate
-        p0, p1 = (a + prior) / (n0 + PRIOR_DOCS), (b + prior) / (n1 + PRIOR_DOCS)
-        value = math.log(p1 / p0)
-        z = value / math.sqrt(1 / (a + prior) + 1 / (b + prior))
-        if b >= LEAST_DOCS and z >= STANDS_OUT and value > 0.7:
-            scored.append((z, w, value))
-    scored.sort(reverse=True)
-    kept = scored[:LEXICON]
-    return {w: v for _, w, v in kept}
+    prior = PRIOR_DOCS * (F.col("a") + F.col("b")) / (n0 + n1)
+    value = F.ln((F.col("b") + prior) / (n1 + PRIOR_DOCS)) - F.ln((F.col("a") + prior) / (n0 + PRIOR_DOCS))
+    scored = counts.select("w", "b", value.alias("value"), F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior)).alias("deviation"))
+    return scored.where((F.col("b") >= LEAST_DOCS) & (F.col("value") >= STANDS_OUT * F.col("deviation")) & (F.col("value") > LEAST_ODDS)).select("w", "value")
 
 
 def root(values: np.ndarray, share: np.ndarray, rest: float, drift: float) -> float:
-    """The lambda at which the mean of exp(lambda * score) over clean tokens is one; 1 where there is none above zero."""
+    """The lambda above zero at which the mean of exp(lambda * score) over clean tokens is one.
+
+    It exists where clean tokens score below zero on average and some of them above; else it is taken as 1.
+    """
+    if not len(values) or float((share * values).sum()) >= rest * drift:
+        return 1.0
     f = lambda x: float((share * np.exp(np.minimum(x * values, 700))).sum() + rest * math.exp(-x * drift) - 1)
-    low, high = 1e-6, 1e-6
-    while f(high) < 0 and high < 8:
+    low = high = 1e-6
+    while f(high) < 0:
         high = high * 2 + 0.01
-    if f(high) < 0 or float((share * values).sum()) >= rest * drift:
-        return 1.0
-    for _ in range(60):
+    for _ in range(80):
         mid = (low + high) / 2
         low, high = (mid, high) if f(mid) < 0 else (low, mid)
-    return max(0.2, min(2.0, high))
+    return high
+
+
+def scale(best: list[tuple[int, float]], lam: float) -> float:
+    """K by maximum likelihood, from clean texts' sizes and best scores: P(best < s) = exp(-K n exp(-lambda s))."""
+    return len(best) / max(1e-300, sum(n * math.exp(-min(700.0, lam * s)) for n, s in best)) if best else 1.0
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
@@ -183,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         seen = {0: Counter(), 1: Counter()}
         for b in batches:
             for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                seen[y].update({w: min(n, MOST_TIMES) for w, n in features(tokens(t.as_py())).items()})
+                seen[y].update(features(tokens(t.as_py())))
         words = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([seen[y][w] for w in words], pa.int64()) for y in (0, 1))], ["w", "a", "b"])
 
@@ -191,9 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     if len(n) < 2:
         return Model()
     counts = learn.select("text", "y").mapInArrow(count, "w binary, a bigint, b bigint").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # Only tokens that can stand out are brought together: those of LEAST_DOCS toxic documents with a higher rate there.
-    rows = counts.where((F.col("b") >= LEAST_DOCS) & (F.col("b") * n[0] > 2 * F.col("a") * n[1])).orderBy(F.desc(F.col("b") * n[0] / (F.col("a") + 1)), "w").limit(4 * LEXICON).collect()
-    lexicon = log_odds([(bytes(r[0]), r[1], r[2]) for r in rows], (n[0], n[1]))
+    # What stands out among a bounded number of documents, found by Spark, is all that comes to the driver.
+    lexicon = {bytes(r[0]): r[1] for r in log_odds(counts, (n[0], n[1])).collect()}
     model = Model(lexicon)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -216,10 +210,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     clean = [r for r in held if r.y == 0]
     values = np.array([v for r in clean for v in r.value])
     total = max(1, sum(r.n for r in clean))
-    model.lam = root(values, np.full(len(values), 1 / total), 1 - len(values) / total, model.drift) if len(values) else 1.0
+    model.lam = root(values, np.full(len(values), 1 / total), 1 - len(values) / total, model.drift)
     found = [(r.n, segments(list(zip(r.at, r.value, strict=True)), model.drift), r.y) for r in held]
-    best = [(n_, max((s for _, _, s in f), default=0.0)) for n_, f, y in found if y == 0]
-    model.k = len(best) / max(1e-9, sum(n_ * math.exp(-model.lam * s) for n_, s in best)) if best else 1.0
+    model.k = scale([(n_, max((s for _, _, s in f), default=0.0)) for n_, f, y in found if y == 0], model.lam)
     x = np.array([model.evidence(n_, f) for n_, f, _ in found])
     y = np.array([y for _, _, y in found])
     if len(set(y.tolist())) == 2:
