@@ -8,7 +8,7 @@ A log of events (conv_id, seq, turn, kind, role, text) is folded into final mess
 * ``regenerate`` does the same and discards what later turns had said before it; deltas then refill the message.
 
 Each turn is rendered as ``<|turn|>role\\n text <|end|>\\n``. In texts and roles ``&``, ``<`` and ``[`` are written
-as character references, so no control string of this or of another common template can occur inside a text, and
+as character references, and in roles line ends too, so no control string of this or of another common template can occur inside a text, and
 undoing the references gives the exact text back. ``loss`` lists the spans of assistant texts in the rendered string.
 
 Defined cases: a null text is empty and a null role is the empty role; events of one turn that tie in seq are ordered
@@ -26,16 +26,18 @@ from tallyflow.llm.common import table
 TURN, END = "<|turn|>", "<|end|>"
 #: Replaced in this order, and undone in the reverse order.
 REFERENCES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
+#: A role ends at the first line end.
+ROLE_REFERENCES = (*REFERENCES, ("\n", "&#10;"))
 
 
-def escape(c: Column) -> Column:
-    for raw, ref in REFERENCES:
+def escape(c: Column, references: tuple = REFERENCES) -> Column:
+    for raw, ref in references:
         c = F.replace(c, F.lit(raw), F.lit(ref))
     return c
 
 
-def unescape(c: Column) -> Column:
-    for raw, ref in reversed(REFERENCES):
+def unescape(c: Column, references: tuple = REFERENCES) -> Column:
+    for raw, ref in reversed(references):
         c = F.replace(c, F.lit(ref), F.lit(raw))
     return c
 
@@ -64,7 +66,7 @@ def messages(events: DataFrame) -> DataFrame:
 
 def render(said: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): loss is an array of (start, length) in code points, from 0."""
-    head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit("\n"))
+    head = F.concat(F.lit(TURN), escape(F.col("role"), ROLE_REFERENCES), F.lit("\n"))
     turns = said.select("conv_id", "turn", "nth", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("mine"))
     turns = turns.withColumn("size", F.length("head") + F.length("body") + len(END) + 1)
     before = Window.partitionBy("conv_id").orderBy("turn", "nth").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,7 +86,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     blocks = F.filter(F.split("formatted", r"<\|end\|>\n"), lambda b: b != "")
     body = lambda b: F.substr(b, F.lit(len(TURN) + 1))
     role = lambda b: F.substring_index(body(b), "\n", 1)
-    turns = F.transform(blocks, lambda b: F.struct(unescape(role(b)).alias("role"), unescape(F.substr(body(b), F.length(role(b)) + 2)).alias("text")))
+    turns = F.transform(blocks, lambda b: F.struct(unescape(role(b), ROLE_REFERENCES).alias("role"), unescape(F.substr(body(b), F.length(role(b)) + 2)).alias("text")))
     masked = F.transform("loss", lambda s: unescape(F.substr("formatted", s["start"].cast("int") + 1, s["length"])))
     return formatted.select("conv_id", turns.alias("turns"), F.array_join(masked, "").alias("loss_text"), F.length("formatted").alias("formatted_chars"))
 
@@ -110,7 +112,7 @@ SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS et,
-             replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS er FROM c)
+             replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;') AS er FROM c)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
