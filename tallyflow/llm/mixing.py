@@ -2,7 +2,7 @@
 
 Each source's target is a share of all words, held at three times its own size. Whole passes over the source come
 first; what is left of the target is fitted from the histogram of exact sizes: an even share of every size, then a
-bounded-knapsack dynamic program over the sizes for the remainder. Seeded documents are then drawn, so many of
+bounded-knapsack dynamic program over the sizes for the last words of the budget. Seeded documents are then drawn, so many of
 each size. Only histograms (rows of source, size, count) are ever grouped by source.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyflow.llm.arrowtext import parts, word_counts
-from tallyflow.llm.common import cut, salted_rank, table
+from tallyflow.llm.common import cut, row_hash, salted_rank, table
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
-#: Bounds: the remainder that the dynamic program fits, and the sources of one mix.
+#: Words of each budget that are left to the dynamic program, and a bound on the sources of one mix.
 DP_WORDS = 65_536
 MAX_SOURCES = 100_000
 
@@ -50,7 +50,12 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
 
 
 def fit(counts: list[tuple[int, int]], budget: int, limit: int = DP_WORDS) -> dict[int, int]:
-    """How many documents of each size to take so that their words come to ``budget`` or just below it."""
+    """How many documents of each size to take so that their words come to ``budget`` or just below it.
+
+    Every size gives an even share, rounded down. Of what the rounding leaves, all but ``limit`` words go on being
+    shared evenly: what a size should add and can't, as documents are whole, is carried to the next smaller size. The
+    rest, ``limit`` words and what was carried past the last size, is fitted by the bounded-knapsack program.
+    """
     counts = sorted((s, n) for s, n in counts if s > 0 and n > 0)
     total = sum(s * n for s, n in counts)
     if budget <= 0 or not total:
@@ -59,11 +64,12 @@ def fit(counts: list[tuple[int, int]], budget: int, limit: int = DP_WORDS) -> di
         return dict(counts)
     take = {s: n * budget // total for s, n in counts}
     rest = budget - sum(s * n for s, n in take.items())
-    for s, n in reversed(counts):  # large sizes first, until the program below can do the rest
-        if rest <= limit:
-            break
-        more = min(n - take[s], (rest - limit) // s + 1, rest // s)
+    spare, carried, unit = max(0, rest - limit), 0, total * max(1, rest)
+    for s, n in reversed(counts):
+        carried += s * (n * budget % total) * spare  # in units of 1 / unit words
+        more = min(n - take[s], carried // (s * unit))
         take[s] += more
+        carried -= more * s * unit
         rest -= more * s
     mask, reach, steps = (1 << rest + 1) - 1, 1, []
     for s, n in counts:
@@ -129,11 +135,13 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: i
     k1, k2 = F.xxhash64("doc_id", "text", "source"), F.xxhash64(F.lit(7), "source", "text", "doc_id")
     # The document's own columns stay in one, where no name can clash.
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    both = keyed.join(took.where("times > 0"), ["k1", "k2"])
-    # Rows with the same id, source and text share their total; the first of them get one more if it doesn't divide.
-    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("times")) - 1
-    more = (nth < F.col("times") % F.col("n_rows")).cast("bigint")
-    copies = both.withColumn("each", F.floor(F.col("times") / F.col("n_rows")) + more).where("each > 0")
+    # Equal rows become one with a count, before the shuffle too. Rows with the same id, source and text share their
+    # total, whatever their other columns; the first of them get one more if it doesn't divide.
+    one = keyed.groupBy("k1", "k2", "doc").agg(F.count(F.lit(1)).alias("n"))
+    both = one.join(took.where("times > 0"), ["k1", "k2"])
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("k1", "k2").orderBy(row_hash(docs, "doc")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.greatest(F.lit(0), F.least(F.col("n"), F.col("times") % F.col("n_rows") - before))
+    copies = both.withColumn("each", F.col("n") * F.floor(F.col("times") / F.col("n_rows")) + more).where("each > 0")
     repeated = copies.select("doc", F.explode(F.sequence(F.lit(1), F.col("each").cast("int"))).alias("copy"))
     return repeated.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
