@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import table
+from tallyflow.llm.common import cut, table
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -56,6 +56,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, id_col: st
     order = F.struct(F.length("rule").alias("n"), (F.col("verdict") == "block").alias("b"), F.col("rule"), F.col("verdict"))
     best = hits.groupBy("host", "path").agg(F.max(order).alias("best"))
     best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best.rule", "best.verdict")
+    # Written, so that both sides have a plain exchange and Spark can split the join of a url that many rows share.
+    best = cut(best, "url-best")
     both = urls.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
     return both.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
