@@ -15,7 +15,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +28,8 @@ from tokenizers import Tokenizer
 from tallyflow.llm.common import cut, salted_rank, table
 
 LENGTH = 1024
+#: Rows of the plan that are broadcast (40 bytes each).
+MOST_SLOTS = 100_000
 TOKENIZER = "byte_bpe_50k.json"
 #: The published split of byte-level BPE, and the same without its look-ahead, which only runs of white space need.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -44,7 +46,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         self.special = [t["content"] for t in model.get("added_tokens", [])]
@@ -55,6 +57,10 @@ class Encoder:
         self.fast = tiktoken.Encoding("fast", pat_str=FAST_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.full = tiktoken.Encoding("full", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def exact(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> list[int]:
         if any(s in text for s in self.special) or LONG_WORD.search(text):
             return self.exact.encode(text, add_special_tokens=False).ids
@@ -141,11 +147,12 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = 0) ->
             first[size] = low + packs
             offset += size
         sequence += packs
-    # A placement ends a length or a pattern's packs, so slots are a few thousand at most, whatever the input.
+    # A placement ends a length or a pattern's packs, so slots grow with the lengths and not with the input; Spark
+    # broadcasts them while they are few and joins by length otherwise.
     places = spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], "p_length bigint, low bigint, high bigint, shift bigint, offset bigint")
     ranked = salted_rank(cuts, ["length"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")])
     at = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    both = ranked.join(F.broadcast(places), at)
+    both = ranked.join(F.broadcast(places) if len(slots) <= MOST_SLOTS else places, at)
     return both.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("shift")).alias("sequence_id"), "offset")
 
 
