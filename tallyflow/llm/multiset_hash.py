@@ -1,16 +1,17 @@
 """Document fingerprints by a homomorphic multiset hash, with DataFrame functions only.
 
-A paragraph is a line, cut into segments of at most four words. Every segment is hashed to a wide vector, and a
-document's fingerprint is the sum of its segments' vectors modulo powers of two: the order of the segments doesn't
-matter, and adding or removing a paragraph adds or subtracts its own sum. The vector has 64 lanes modulo 2**16
-that count hash bits and four lanes modulo 2**32 of independent hashes for equality. The bit counts
-also tell likeness: a lane's distance from half the segments is a signed random projection of the multiset, so the
-cosine of two such vectors estimates the cosine of the multisets.
-
-Defined cases: a null text is empty and has the zero fingerprint; two empty texts are alike to 1, an empty and another
-to 0; equal ids are ordered by their texts; null ids come after all others; a single document is its own next; an empty
-table gives an empty result; other columns may have any name. Two lanes are summed in one long, 32 bits apart: a
-string has at most 2**30 segments, so no sum overflows.
+A paragraph is a line with a word. Every paragraph is hashed to a wide vector, and a document's fingerprint is the sum of
+its paragraphs' vectors modulo powers of two: the order of the paragraphs doesn't matter, and adding or removing one
+adds or subtracts its own vector. A paragraph's vector has four lanes modulo 2**32 of independent hashes of the whole
+paragraph, for equality, and a part for likeness that is itself a sum, over the paragraph's segments of at most four
+words: the number of segments and 64 lanes that count their hash bits, modulo 2**32. A lane's distance from half the
+segments is a signed random projection of the multiset, so the cosine of two such vectors, which the fingerprints hold
+whole, estimates the cosine of the multisets.
+
+Defined cases: a null text is empty and has the zero fingerprint, as has one of white space; two such texts are alike
+to 1, one and another to 0; equal ids are ordered by their texts; null ids come after all others; a single document is
+its own next; an empty table gives an empty result; other columns may have any name. Two lanes are summed in one long,
+32 bits apart: a string has at most 2**30 segments, so no sum overflows and no lane wraps.
 """
 
 from __future__ import annotations
@@ -26,45 +27,51 @@ SEGMENT = r"(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){1,4}"
 #: Longs of two lanes, 32 bits apart.
 LONGS, LANE = 32, 32
 ONES = 1 | 1 << LANE
-LANES_OUT = 0xFFFF
+LOW = 0xFFFFFFFF
 EQUAL = 4
 ROWS_A_BUCKET = 2048
 MAX_BUCKETS = 65_536
 
 
-def segments(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0))
+def paragraphs(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def hashes(segment: Column) -> list[Column]:
-    """Two hashes of a segment, null for none."""
-    return [F.when(segment.isNotNull(), F.xxhash64(segment)).alias("h"), F.when(segment.isNotNull(), F.xxhash64(F.lit(1), segment)).alias("g")]
+def parts(text: Column) -> Column:
+    """A text's paragraphs and segments, as (whole, t)."""
+    text = F.coalesce(text, F.lit(""))
+    marked = lambda items, whole: F.transform(items, lambda x: F.struct(F.lit(whole).alias("whole"), x.alias("t")))
+    return F.concat(marked(paragraphs(text), True), marked(F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(0)), False))
 
 
-def segment_sums() -> list[Column]:
-    """Aggregates over the columns h and g: the lanes' sums, the equality sums, the number of segments."""
+def hashes(whole: Column, t: Column) -> list[Column]:
+    """A segment's hash s; a paragraph's two hashes p and q; null where they don't belong."""
+    return [F.when(~whole, F.xxhash64(t)).alias("s"), F.when(whole, F.xxhash64(t)).alias("p"), F.when(whole, F.xxhash64(F.lit(1), t)).alias("q")]
+
+
+def vector_sums() -> list[Column]:
+    """Aggregates over the columns s, p and q: the lanes' sums, the equality sums, the number of segments."""
     total = lambda x: F.coalesce(F.sum(x), F.lit(0))
-    lanes = [total(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(ONES))).alias(f"s{k}") for k in range(LONGS)]
-    halves = [F.shiftrightunsigned("h", 32), F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("g", 32), F.col("g").bitwiseAND(F.lit(0xFFFFFFFF))]
-    return [*lanes, *[total(x).alias(f"e{j}") for j, x in enumerate(halves)], F.count("h").alias("n")]
+    lanes = [total(F.shiftrightunsigned("s", k).bitwiseAND(F.lit(ONES))).alias(f"s{k}") for k in range(LONGS)]
+    halves = [h for c in "pq" for h in (F.shiftrightunsigned(c, 32), F.col(c).bitwiseAND(F.lit(LOW)))]
+    return [*lanes, *[total(x).alias(f"e{j}") for j, x in enumerate(halves)], F.count("s").alias("n")]
 
 
 SUMS = [*(f"s{k}" for k in range(LONGS)), *(f"e{j}" for j in range(EQUAL)), "n"]
 
 
 def hexed(prefix: str = "") -> Column:
-    low = lambda c: c.bitwiseAND(F.lit(LANES_OUT))
-    pair = lambda c: F.shiftleft(low(F.shiftrightunsigned(c, LANE)), 16).bitwiseOR(low(c))
-    lanes = [F.lpad(F.hex(pair(F.col(f"{prefix}s{k}"))), 8, "0") for k in range(LONGS)]
-    equal = [F.lpad(F.hex(F.col(f"{prefix}e{j}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for j in range(EQUAL)]
-    return F.lower(F.concat(*lanes, *equal))
+    """The fingerprint: 64 lanes (lane k + 32, then lane k), the number of segments and the equality lanes, 8 digits each."""
+    lanes = [F.lpad(F.hex(F.col(f"{prefix}s{k}")), 16, "0") for k in range(LONGS)]
+    rest = [F.lpad(F.hex(F.col(f"{prefix}{c}").bitwiseAND(F.lit(LOW))), 8, "0") for c in ("n", *(f"e{j}" for j in range(EQUAL)))]
+    return F.lower(F.concat(*lanes, *rest))
 
 
 def likeness(a: str, b: str) -> Column:
-    """The cosine of the two sums' signed lanes, 0 to 1; 1 for equal fingerprints."""
+    """The cosine of the signed lanes of two fingerprints (as sums, which a fingerprint holds whole), 0 to 1; 1 for equal ones."""
 
     def lane(p: str, k: int, i: int) -> Column:
-        field = F.shiftrightunsigned(F.col(f"{p}s{k}"), LANE * i).bitwiseAND(F.lit((1 << LANE) - 1))
+        field = F.shiftrightunsigned(F.col(f"{p}s{k}"), LANE * i).bitwiseAND(F.lit(LOW))
         return (2 * field - F.col(f"{p}n")).cast("double")
 
     x = [lane(a, k, i) for k in range(LONGS) for i in range(2)]
@@ -73,13 +80,16 @@ def likeness(a: str, b: str) -> Column:
     start = F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy"))
     add = lambda s, v: F.struct((s["xy"] + v["x"] * v["y"]).alias("xy"), (s["xx"] + v["x"] * v["x"]).alias("xx"), (s["yy"] + v["y"] * v["y"]).alias("yy"))
     cosine = F.aggregate(vectors, start, add, lambda s: F.when((s["xx"] > 0) & (s["yy"] > 0), s["xy"] / F.sqrt(s["xx"] * s["yy"])).otherwise(0.0))
-    return F.when(hexed(a) == hexed(b), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
+    same = F.lit(True)
+    for c in SUMS:
+        same = same & (F.col(f"{a}{c}").bitwiseAND(F.lit(LOW)) == F.col(f"{b}{c}").bitwiseAND(F.lit(LOW)) if c[0] == "e" else F.col(f"{a}{c}") == F.col(f"{b}{c}"))
+    return F.when(same, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, sums ..., fingerprint) for ids that are unique."""
-    parts = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(segments(F.coalesce(F.col(text_col), F.lit("")))).alias("segment"))
-    return parts.select("doc_id", *hashes(F.col("segment"))).groupBy("doc_id").agg(*segment_sums()).withColumn("fingerprint", hexed())
+    each = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(parts(F.col(text_col))).alias("v"))
+    return each.select("doc_id", *hashes(F.col("v.whole"), F.col("v.t"))).groupBy("doc_id").agg(*vector_sums()).withColumn("fingerprint", hexed())
 
 
 def combine(a: DataFrame, b: DataFrame, sign: int = 1) -> DataFrame:
@@ -132,7 +142,7 @@ def edited_fingerprints(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) ->
     """Each document's fingerprint beside those of its edited text and of the next document.
 
     The edited text replaces the last half of a document's code points by the first as many of the next document's.
-    The texts are shuffled once, by bucket; segments are summed and neighbours compared within the same buckets.
+    The texts are shuffled once, by bucket; vectors are summed and neighbours compared within the same buckets.
     """
     dealt, _, order = with_next(docs, rows_a_bucket)
     half = F.floor(F.length("text") / 2).cast("int")
@@ -143,8 +153,8 @@ def edited_fingerprints(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) ->
     both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
     both = F.filter(both, lambda x: (x["kind"] == 0) | (F.col("ahead") == 0))
     keys = ["b", "at", "ahead", "doc_id", "n_chars", "edited_sha256"]
-    parts = rows.select(*keys, F.explode(both).alias("v")).select(*keys, "v.kind", F.explode_outer(segments(F.col("v.t"))).alias("segment"))
-    sums = parts.select(*keys, "kind", *hashes(F.col("segment"))).groupBy(*keys, "kind").agg(*segment_sums())
+    each = rows.select(*keys, F.explode(both).alias("v")).select(*keys, "v.kind", F.explode_outer(parts(F.col("v.t"))).alias("w"))
+    sums = each.select(*keys, "kind", *hashes(F.col("w.whole"), F.col("w.t"))).groupBy(*keys, "kind").agg(*vector_sums())
     # One row a document: its own sums (a_) and those of its edited text (b_).
     pick = [F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{p}_{c}") for k, p in ((0, "a"), (1, "b")) for c in SUMS]
     wide = sums.groupBy(*keys).agg(*pick)
