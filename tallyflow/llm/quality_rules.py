@@ -1,5 +1,8 @@
 """Line-first cleaning: rules for each line, failing lines removed, documents that lose too much rejected.
 
+A line fails when it doesn't end as a sentence, shouts, is navigation (separated items, or a short line repeated
+through the text), is symbol noise, or is boilerplate such as licence and cookie notices.
+
 Defined cases: a null text has no words and fails the base rule; lines without a word are neutral and stay; ties and
 repeated rows each get their own row; an empty table gives an empty result; only the id and the text are read, so
 other columns may have any name. Whole texts are read, however long.
@@ -7,6 +10,8 @@ other columns may have any name. Whole texts are read, however long.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,36 +23,52 @@ from tallyflow.llm.arrowtext import SPACE, parts, per_text, raw, word_starts
 from tallyflow.llm.common import table
 
 SYMBOLS = b"#*$%&|<>"
-#: Boilerplate: a line that holds one of these, in lower case, is page furniture rather than prose.
-PHRASES = (
-    "all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "click here",
-    "sign up for our newsletter", "subscribe to our newsletter", "enable javascript", "lorem ipsum",
-    "licensed under the", "spdx-license-identifier", "permission is hereby granted", "copyright (c)",
+#: A line ends as a sentence with one of these, before any closing marks and white space.
+TERMINAL = (".", "!", "?", "…", "。", "！", "？")
+CLOSING = ("\"", "'", ")", "]", "»", "”", "’")
+#: Separators of menu items; a line is navigation with this many or more, at least one for every so many words.
+SEPARATORS = ("|", "•", "·", "»", "›")
+LEAST_SEPARATORS, WORDS_A_SEPARATOR = 2, 4
+#: A line of fewer words than the first that the text has as often as the second is navigation too.
+ITEM_WORDS, ITEM_TIMES = 10, 3
+#: Boilerplate: a line with one of these, in lower case, is page furniture rather than prose.
+BOILERPLATE = (
+    r"licen[cs]ed under", r"(released|distributed|published|available) under", r"rights reserved", r"spdx-license-identifier", r"permission is hereby granted",
+    r"copyright (\(c\)|©|[0-9]{4})", r"(cookie|privacy) (policy|notice|settings)", r"(we|site) uses? cookies", r"accept (all )?cookies", r"terms of (service|use)",
+    r"(sign up|subscribe) (to|for) (our|the)", r"click here", r"enable javascript", r"lorem ipsum",
 )
-#: A line fails with more symbols than this share of its bytes in words, in percent.
+#: A line fails with more symbols than this share of its bytes in words, in percent, or more exclamation marks than words.
 SYMBOL_SHARE = 10
-#: A line fails with this many bars or more, and one bar for every so many words at least.
-BARS, WORDS_A_BAR = 4, 4
-#: A line fails with more exclamation marks than words.
 #: A document is rejected when less than this share of its words stays, in percent.
 KEEP_SHARE = 50
 
+_BOILERPLATE = re.compile("|".join(BOILERPLATE).encode())
+_TERMINAL = tuple(t.encode() for t in TERMINAL)
+_SEPARATORS = tuple(t.encode() for t in SEPARATORS)
+_CLOSING = b" \t\n\r\x0b\x0c" + "".join(c for c in CLOSING if c.isascii()).encode()
+_WIDE = tuple(c.encode() for c in CLOSING if not c.isascii())
+
+
+def ends_sentence(line: bytes) -> bool:
+    tail = line.rstrip(_CLOSING)
+    while tail.endswith(_WIDE):
+        tail = tail[: -len(next(w for w in _WIDE if tail.endswith(w)))].rstrip(_CLOSING)
+    return tail.endswith(_TERMINAL)
 
-def line_fails(line: bytes, n_words: int) -> bool:
-    """Whether a line with words is navigation, shouting, symbol noise or boilerplate."""
-    bars = line.count(b"|")
-    if bars >= BARS and bars * WORDS_A_BAR >= n_words:
+
+def line_fails(line: bytes, n_words: int, times: int = 1) -> bool:
+    """Whether a line with words, ``times`` in its text, fails by punctuation, as navigation, as symbol noise or as boilerplate."""
+    if not ends_sentence(line) or line.count(b"!") > n_words:
+        return True
+    if n_words < ITEM_WORDS and times >= ITEM_TIMES:
+        return True
+    separators = sum(line.count(c) for c in _SEPARATORS)
+    if separators >= LEAST_SEPARATORS and separators * WORDS_A_SEPARATOR >= n_words:
         return True
     symbols = sum(line.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))
     if symbols and 100 * symbols > SYMBOL_SHARE * len(line):
         return True
-    if line.count(b"!") > n_words:
-        return True
-    low = line.lower()
-    return any(p in low for p in _PHRASES)
-
-
-_PHRASES = tuple(p.encode() for p in PHRASES)
+    return _BOILERPLATE.search(line.lower()) is not None
 
 
 def repeated_words(words: list[bytes], size: int = 5) -> int:
@@ -86,20 +107,17 @@ def repeated_words(words: list[bytes], size: int = 5) -> int:
 
 def _clean(text: bytes) -> tuple[int, int, int, bytes]:
     """(duplicate lines, words, words kept, text of the lines that stay)."""
-    seen: set[bytes] = set()
-    dup = words = kept = 0
-    stay = []
-    for line in text.split(b"\n"):
-        n = len(line.split())
+    lines = text.split(b"\n")
+    counts = [len(x.split()) for x in lines]
+    times = Counter(x for x, n in zip(lines, counts, strict=True) if n)
+    kept, stay = 0, []
+    for line, n in zip(lines, counts, strict=True):
         if n:
-            dup += line in seen
-            seen.add(line)
-            words += n
-            if line_fails(line, n):
+            if line_fails(line, n, times[line]):
                 continue
             kept += n
         stay.append(line)
-    return dup, words, kept, b"\n".join(stay)
+    return sum(times.values()) - len(times), sum(counts), kept, b"\n".join(stay)
 
 
 OUT = "doc_id {id}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, n_words_kept bigint"
@@ -142,15 +160,16 @@ def op10_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents"))
 
 
-_LOW = " OR ".join(f"contains(low, '{p}')" for p in PHRASES)
+_ENDED = "[" + "".join(TERMINAL) + r"][\]\x20\x09-\x0D" + "".join(c for c in CLOSING if c not in "]'") + "'']*$"
 SQL = rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 l0 AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t),
 l AS (SELECT rid, line, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw, strlen(line) AS nb,
-        length(line) - length(replace(line, '|', '')) AS bars, length(line) - length(replace(line, '!', '')) AS bangs,
-        length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS syms, lower(line) AS low,
-        row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS occ FROM l0),
-r AS (SELECT *, (bars >= {BARS} AND bars * {WORDS_A_BAR} >= nw) OR (syms > 0 AND 100 * syms > {SYMBOL_SHARE} * nb) OR bangs > nw OR {_LOW} AS fails FROM l WHERE nw > 0),
+        length(line) - length(regexp_replace(line, '[{"".join(SEPARATORS)}]', '', 'g')) AS seps, length(line) - length(replace(line, '!', '')) AS bangs,
+        length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS syms, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+        row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS occ, count(*) OVER (PARTITION BY rid, line) AS times FROM l0),
+r AS (SELECT *, NOT regexp_matches(line, '{_ENDED}') OR bangs > nw OR (nw < {ITEM_WORDS} AND times >= {ITEM_TIMES}) OR (seps >= {LEAST_SEPARATORS} AND seps * {WORDS_A_SEPARATOR} >= nw)
+        OR (syms > 0 AND 100 * syms > {SYMBOL_SHARE} * nb) OR regexp_matches(low, '{"|".join(BOILERPLATE)}') AS fails FROM l WHERE nw > 0),
 a AS (SELECT rid, count(*) FILTER (occ > 1) AS n_dup_lines, sum(CASE WHEN fails THEN 0 ELSE nw END) AS kept_words FROM r GROUP BY rid),
 w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t)),
 g AS (SELECT rid, p, CASE WHEN lead(p, 4) OVER o IS NOT NULL THEN concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) END AS win FROM w WINDOW o AS (PARTITION BY rid ORDER BY p)),
