@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyflow.functions.scalars import hash_int, hash_normal, hash_unit
-from tallyflow.operators.geo import CENTROIDS
+from tallyflow.operators.geo import COUNTRIES
 
 #: The eight planted patterns, with log-normal priors (mu, sigma) and inputs and outputs of each.
 LABELS = {
@@ -58,7 +58,7 @@ def records(spark: SparkSession, n: int, seed: int = 42, sigma: float = 30.0) ->
     total = F.round(F.greatest(F.lit(1e-3), F.least(F.lit(1e4), F.exp(pick(0) + pick(1) * hash_normal(s, F.lit("amount"), i)))) * pick(3), 8)
     base = base.withColumn("txid", txid).withColumn("total", total).withColumn("n_in", pick(2)).withColumn("n_out", pick(3))
     base = base.withColumn("fee", capped_fee(F.col("total"), F.col("total") * 0.01 * hash_unit(s, F.lit("fee"), i)))
-    country = F.get(F.array(*[F.lit(c) for c in CENTROIDS]), (hash_int(s, F.lit("country"), i, digits=8) % len(CENTROIDS)).cast("int"))
+    country = F.get(F.array(*[F.lit(c) for c in COUNTRIES]), (hash_int(s, F.lit("country"), i, digits=8) % len(COUNTRIES)).cast("int"))
     address = lambda side, k: F.concat(F.lit("bc1q"), F.substring(F.sha2(F.concat_ws("|", s, F.lit(side), F.floor(i / 3), k), 256), 1, 38))
     ip = lambda side: F.concat_ws(".", *[((hash_int(s, F.lit(f"{side}{k}"), i, digits=4) % 223) + 1).cast("string") for k in range(4)])
     moment = F.timestamp_micros((F.lit(1_704_067_200_000_000) + i * 60_000_000).cast("bigint"))
@@ -116,7 +116,7 @@ def address_pools(communities: DataFrame, low: int = 20, high: int = 800, countr
     ``communities`` has community and n. Countries are dealt in turn from a hashed start, so a pool names at least
     ``countries`` of them; network numbers come from a range of the country's own.
     """
-    names = list(CENTROIDS)
+    names = list(COUNTRIES)
     size = F.least(F.lit(high), F.greatest(F.lit(low), F.col("n").cast("int")))
     slots = communities.select("community", F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
     start = hash_int(F.lit(seed), F.col("community"), digits=8)

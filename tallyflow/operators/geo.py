@@ -7,15 +7,38 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.scalars import geo_inconsistent, hash_int, haversine_km, ip_to_long, radius_km
 
-#: The countries that a stub may name, with a central point each.
-CENTROIDS = {"US": (37.1, -95.7), "DE": (51.2, 10.5), "FR": (46.2, 2.2), "GB": (55.4, -3.4), "RU": (61.5, 105.3), "CN": (35.9, 104.2), "JP": (36.2, 138.3), "BR": (-14.2, -51.9)}
+#: A central point of each country that a map has one for.
+CENTROIDS = {
+    "US": (39.8, -98.5), "CN": (35.8, 104.0), "RU": (61.5, 105.0), "GB": (55.3, -3.4), "IN": (20.5, 79.0), "DE": (51.1657, 10.4515),
+    "JP": (36.2, 138.2), "BR": (-14.2, -51.9), "FR": (46.2, 2.2), "CA": (56.1, -106.3), "AU": (-25.27, 133.77), "KR": (35.9, 127.76),
+}
+#: The countries of made-up addresses.
+COUNTRIES = ("US", "CN", "RU", "DE", "JP", "GB", "IN", "BR", "CA", "AU", "FR", "KR", "NL", "SG", "TR", "NG", "ZA", "IR", "UA", "SE")
+FIRST_NETWORK, NETWORKS = 1000, 499_001
+#: Six in ten made-up ports are the first, the others even and odd.
+PORTS = (8333, 18333, 9735)
 GEO = ["country", "city", "asn", "lat", "lng", "radius"]
 
 
 def centroid(country: Column) -> tuple[Column, Column]:
     lat = F.create_map(*[F.lit(x) for k, v in CENTROIDS.items() for x in (k, v[0])])
     lng = F.create_map(*[F.lit(x) for k, v in CENTROIDS.items() for x in (k, v[1])])
-    return F.coalesce(lat[country], F.lit(0.0)), F.coalesce(lng[country], F.lit(0.0))
+    name = F.upper(F.trim(country))
+    return F.coalesce(lat[name], F.lit(0.0)), F.coalesce(lng[name], F.lit(0.0))
+
+
+def made_up_country(key: Column) -> Column:
+    """One of COUNTRIES by the hash of a key."""
+    return F.get(F.array(*[F.lit(c) for c in COUNTRIES]), (hash_int(key) % len(COUNTRIES)).cast("int"))
+
+
+def made_up_network(community: Column, txid: Column) -> Column:
+    return (FIRST_NETWORK + hash_int(F.concat_ws(":", community, txid)) % NETWORKS).cast("bigint")
+
+
+def made_up_port(txid: Column, role: str) -> Column:
+    h = hash_int(F.concat_ws(":", txid, F.lit(role)))
+    return F.when(h % 10 < 6, PORTS[0]).when(h % 2 == 0, PORTS[1]).otherwise(PORTS[2])
 
 
 def stub(ip: Column) -> list[Column]:

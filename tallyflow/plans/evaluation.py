@@ -285,7 +285,7 @@ def n2_uniform_amounts(spark, d):
     return r.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("i")).cast("bigint").alias("inputs"), F.sum(F.size("o")).cast("bigint").alias("outputs"), bad(F.abs(total("i") - total("o")) > 1e-6).alias("unbalanced"), bad((mean < low - 1e-6) | (mean > high + 1e-6)).alias("out_of_bounds"))
 
 
-@query("n7_address_pools", "SELECT n_nationkey AS community, least(800, greatest(20, count(c_custkey)))::BIGINT AS n, 8::BIGINT AS countries FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
+@query("n7_address_pools", "SELECT n_nationkey AS community, least(800, greatest(20, count(c_custkey)))::BIGINT AS n, 20::BIGINT AS countries FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
 def n7_address_pools(spark, d):
     """The sizes of the nations' pools, and the countries in each."""
     c = load(spark, d, "customer").groupBy(F.col("c_nationkey").alias("community")).agg(F.count(F.lit(1)).alias("n"))

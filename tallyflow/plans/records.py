@@ -472,11 +472,22 @@ def x20_explanations(spark, d):
     return p.select("txid", t.alias("text"))
 
 
-@query("v9_marker_points", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey <> 0 THEN c_custkey::DOUBLE WHEN c_nationkey % 2 = 0 THEN 37.1::DOUBLE ELSE 51.2::DOUBLE END AS lat FROM customer")
+@query("v9_marker_points", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey <> 0 THEN c_custkey::DOUBLE WHEN c_nationkey % 2 = 0 THEN 39.8::DOUBLE ELSE 51.1657::DOUBLE END AS lat FROM customer")
 def v9_marker_points(spark, d):
     own = F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("double")).when(F.col("c_custkey") % 3 == 1, 0.0)
-    country = F.when(F.col("c_nationkey") % 2 == 0, "US").otherwise("DE")
+    country = F.when(F.col("c_nationkey") % 2 == 0, " us").otherwise("DE")
     lat, _ = geo.marker_point(own, own, country)
     return load(spark, d, "customer").select("c_custkey", lat.alias("lat"))
 
 
+X24 = "('0x' || substr(sha256({}), 1, 16))::UBIGINT"
+
+
+@query(
+    "x24_made_up_places",
+    f"""SELECT c_custkey, ['US', 'CN', 'RU', 'DE', 'JP', 'GB', 'IN', 'BR', 'CA', 'AU', 'FR', 'KR', 'NL', 'SG', 'TR', 'NG', 'ZA', 'IR', 'UA', 'SE'][({X24.format("c_custkey::VARCHAR")} % 20)::INT + 1] AS country,
+    (1000 + {X24.format("c_nationkey || ':' || c_custkey")} % 499001)::BIGINT AS network, CASE WHEN {X24.format("c_custkey || ':src'")} % 10 < 6 THEN 8333 WHEN {X24.format("c_custkey || ':src'")} % 2 = 0 THEN 18333 ELSE 9735 END AS port FROM customer""",
+)
+def x24_made_up_places(spark, d):
+    k = F.col("c_custkey").cast("string")
+    return load(spark, d, "customer").select("c_custkey", geo.made_up_country(k).alias("country"), geo.made_up_network(F.col("c_nationkey").cast("string"), k).alias("network"), geo.made_up_port(k, "src").alias("port"))
