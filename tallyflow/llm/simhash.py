@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -25,17 +26,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import cut, table
+from tallyflow.llm.common import cut, row_hash, table
 
 #: Bounds: fingerprints sampled to shape the trees' tops, and levels of those tops (at most 2**12 shards a block).
 SAMPLE = 32_768
 MAX_LEVELS = 12
-SHARD_ROWS = 4096
-LEAF_ROWS = 96
+SHARD_ROWS = 16_384
+LEAF_ROWS = 256
 #: A shard above this many rows is dealt as pairs of parts.
 PART_ROWS = 16_384
-#: Pairs from one fingerprint of a leaf in the first search after failed links; MORE times as many in each further one.
-PAIRS, MORE = 32, 8
+#: A group of candidates with more texts or shingles than this is compared as pairs of parts, BLOCK texts by BLOCK at a time.
+PART_SHINGLES, BLOCK = 1 << 22, 512
+#: Bits of the finer comparison of near copies, and longs of all marks of a text.
+FINE_BITS = 256
+MARKS = 2 + FINE_BITS // 64 + 1
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -61,32 +65,84 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprint(text: str | None, shingle: int = 4, seeds: tuple[int, ...] = (42,), whole: bool = False) -> list[int]:
-    """One 64-bit word for each seed. Every shingle of the whole text counts, repeats included.
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash of the whole text's shingles, repeats included."""
+    parts = _shingles(_words(text), shingle)
+    return majority_bits(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(seed)), np.uint64, len(parts))) if parts else 0
 
-    ``whole`` adds a hash of all the words, so that only texts of the same words share a fingerprint.
-    """
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _windows(h: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Hashes of the windows of so many words, from the words' hashes; of fewer words, the one of all."""
+    size = min(size, len(h))
+    out = np.full(len(h) - size + 1, seed, np.uint64)
+    for i in range(size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[i : len(h) - size + 1 + i]
+    return _mixed(out)
+
+
+_KEYS = np.random.default_rng(42).integers(0, 1 << 32, (2, FINE_BITS, 1), np.uint32)
+
+
+def least_bits(hashes: np.ndarray) -> np.ndarray:
+    """FINE_BITS bits, one of the least of the hashes under each of as many rehashings: two sets with Jaccard similarity s
+    agree in a bit with probability (1 + s) / 2."""
+    hashes = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(FINE_BITS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(hashes), 256):
+        x = hashes[None, at : at + 256] ^ _KEYS[0]
+        x *= _KEYS[1] | np.uint32(1)
+        np.minimum(least, x.min(axis=1), out=least)
+    return np.packbits((least >> np.uint32(8)).astype(np.uint8) & 1, bitorder="little").view(np.uint64)
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     words = _words(text)
-    parts = _shingles(words, shingle)
-    own = [xxhash.xxh64_intdigest(b" ".join(words))] if whole else []
-    if not parts:
-        return [0] * len(seeds) + own
-    return [majority_bits(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(s)), np.uint64, len(parts))) for s in seeds] + own
+    return _windows(_word_hashes(words), shingle, 44) if words else np.empty(0, np.uint64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seeds: tuple[int, ...] = (42,), id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """(id, fp): fp is an array of one long a seed, and with ``whole`` one more for the words."""
-    width = len(seeds) + whole
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def marks(text: str | None, shingle: int) -> np.ndarray:
+    """MARKS words: 128 SimHash bits over word pairs, FINE_BITS over the set of ``shingle``-word windows, a hash of all words."""
+    words, out = _words(text), np.zeros(MARKS, np.uint64)
+    if words:
+        h = _word_hashes(words)
+        out[:2] = [majority_bits(_windows(h, 2, seed)) for seed in (42, 43)]
+        out[2:-1] = least_bits(_windows(h, shingle, 44))
+    out[-1] = xxhash.xxh64_intdigest(b" ".join(words))
+    return out
+
+
+def _printed(docs: DataFrame, width: int, of) -> DataFrame:
+    """(doc_id, fp) with fp = of(text), an array of ``width`` longs."""
+    picked = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle, seeds, whole) for t in b.column(1)], np.uint64).reshape(-1, width)
+            fps = np.array([of(t.as_py()) for t in b.column(1)], np.uint64).reshape(-1, width)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "fp"])
 
     return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, fp array<bigint>")
 
 
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
+    return _printed(docs, 1, lambda t: fingerprint(t, shingle, seed))
+
+
+def marked(docs: DataFrame, shingle: int) -> DataFrame:
+    return _printed(docs, MARKS, lambda t: marks(t, shingle))
+
+
 # ---------------------------------------------------------------- trees
 
 
@@ -150,72 +206,81 @@ def route(x: np.ndarray, nodes: list, r: int) -> Iterator[tuple[int, np.ndarray]
         todo += [(2 * i + 1, at[left]), (2 * i + 2, at[right])]
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
-    for w in range(1, a.shape[1]):
-        d = d + np.bitwise_count(a[:, None, w] ^ b[None, :, w])
-    return d <= radius
+@dataclass(frozen=True)
+class Rule:
+    """When two fingerprints are near: at most ``radius`` of the bits in the first ``words`` longs differ and, where
+    ``fine`` says so, at most so many of the bits in the longs up to the last."""
 
+    words: int = 1
+    radius: int = 4
+    fine: int | None = None
 
-def spanning(f: np.ndarray, radius: int, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Positions of links that join all that is linked in ``f``: a forest, not all pairs of a group.
+    def coarse(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+        for w in range(1, self.words):
+            d = d + np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+        return d <= self.radius
 
-    With ``side``, only links between different sides count.
-    """
-    n, linked = len(f), []
-    for at in range(0, n, 512):
-        near = _near(f[at : at + 512], f, radius)
-        if side is None:
-            near[np.arange(len(near)), at + np.arange(len(near))] = False
-        else:
-            near &= side[at : at + 512, None] != side[None, :]
-        linked.append(near.any(axis=1))
-    rest = np.nonzero(np.concatenate(linked))[0] if linked else np.empty(0, np.int64)
-    out: list[tuple[int, int]] = []
-    while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
-        while queue and len(rest):
-            u = queue.pop()
-            near = _near(f[u : u + 1], f[rest], radius)[0]
+    def length(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Row by row, the bits that differ in the finer comparison, or in the whole."""
+        part = slice(0, self.words) if self.fine is None else slice(self.words, -1)
+        return np.bitwise_count(a[:, part] ^ b[:, part]).sum(axis=1, dtype=np.int64)
+
+    def pairs(self, f: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All near pairs (i, j) with i < j, between different sides if there are any, a slice of rows at a time."""
+        step = max(1, (1 << 18) // max(1, len(f)))
+        for at in range(0, len(f), step):
+            near = np.triu(self.coarse(f[at : at + step], f[at:]), 1)
             if side is not None:
-                near &= side[rest] != side[u]
-            found = rest[near].tolist()
-            out += [(u, v) for v in found]
-            queue += found
-            rest = rest[~near]
-    return out
+                near &= side[at : at + step, None] != side[None, at:]
+            i, j = np.nonzero(near)
+            i, j = i + at, j + at
+            if self.fine is not None:
+                ok = self.length(f[i], f[j]) <= self.fine
+                i, j = i[ok], j[ok]
+            yield i, j
 
 
-def apart(f: np.ndarray, radius: int, side: np.ndarray, most: int, part: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Positions of the links between different sides (and parts): all of them, or ``most`` from a row.
+def spanning(f: np.ndarray, rule: Rule, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Positions of links that join all that is linked in ``f``: a forest, not all pairs of a group.
 
-    (i, i) says that row i has more than that.
+    It is a shortest forest: two groups that one of its links joins have no shorter link between them. With ``side``, only
+    links between different sides count.
     """
-    out: list[tuple[int, int]] = []
-    for at in range(0, len(f), 512):
-        near = np.triu(_near(f[at : at + 512], f[at:], radius), 1)
-        near &= side[at : at + 512, None] != side[None, at:]
-        if part is not None:
-            near &= part[at : at + 512, None] != part[None, at:]
-        i, j = np.nonzero(near)
-        nth = np.arange(len(i)) - np.searchsorted(i, i)
-        out += zip((i[nth < most] + at).tolist(), (j[nth < most] + at).tolist(), strict=True)
-        out += [(int(k) + at, int(k) + at) for k in i[nth == most]]
+    linked = np.zeros(len(f), bool)
+    for i, j in rule.pairs(f, side):
+        linked[i] = linked[j] = True
+    at = np.nonzero(linked)[0]
+    f, side = f[at], None if side is None else side[at]
+    far = np.iinfo(np.int64).max
+    reach, via, out = np.full(len(at), far), np.zeros(len(at), np.int64), []
+    waits = np.ones(len(at), bool)
+    for _ in range(len(at)):
+        u = int(np.argmin(np.where(waits, reach, far)))
+        if reach[u] == far or not waits[u]:
+            u = int(np.argmax(waits))
+        else:
+            out.append((int(at[via[u]]), int(at[u])))
+        waits[u] = False
+        near = rule.coarse(f[u : u + 1], f)[0] & waits
+        if side is not None:
+            near &= side != side[u]
+        j = np.nonzero(near)[0]
+        d = rule.length(f[u : u + 1], f[j])
+        better = d < reach[j] if rule.fine is None else (d < reach[j]) & (d <= rule.fine)
+        reach[j[better]], via[j[better]] = d[better], u
     return out
 
 
-def search(f: np.ndarray, x: np.ndarray, r: int, radius: int, seed: int, side: np.ndarray | None = None, most: int = 0) -> list[tuple[int, int]]:
-    """Links within one shard: the lower tree over the block's bits ``x``, then the full width ``f`` in its leaves.
-
-    They are a forest, or with ``side`` those of apart().
-    """
+def search(f: np.ndarray, x: np.ndarray, r: int, rule: Rule, seed: int) -> list[tuple[int, int]]:
+    """Links within one shard, a forest: the lower tree over the block's bits ``x``, then the rule on the full width ``f`` in
+    its leaves."""
     rng, out, todo = np.random.default_rng(seed), [], [np.arange(len(x))]
     while todo:
         at = todo.pop()
         cuts = _split(x[at], r, rng) if len(at) > LEAF_ROWS else None
         if cuts is None:
-            pairs = spanning(f[at], radius) if side is None else apart(f[at], radius, side[at], most)
-            out += [(int(at[i]), int(at[j])) for i, j in pairs]
+            out += [(int(at[i]), int(at[j])) for i, j in spanning(f[at], rule)]
             continue
         left, right = _sides(x[at], *cuts, r)
         todo += [at[left], at[right]]
@@ -225,20 +290,15 @@ def search(f: np.ndarray, x: np.ndarray, r: int, radius: int, seed: int, side: n
 # ---------------------------------------------------------------- links and components
 
 
-def links(distinct: DataFrame, words: int, radius: int, per_word: int | None = None, width: int | None = None, most: int | None = None) -> DataFrame:
-    """(u, v): links between different fingerprints (arrays of longs) that join whatever is within ``radius`` bits.
+def links(distinct: DataFrame, rule: Rule, per_word: int | None = None, width: int = 1) -> DataFrame:
+    """(u, v): links between different fingerprints (arrays of ``width`` longs) that join whatever is near by the rule.
 
     The links span each group of a shard; a group's other pairs follow from them. ``distinct`` holds each
-    fingerprint once and should be a written table, as it is read three times. The first ``words`` of a fingerprint's
-    ``width`` longs are compared.
-
-    With ``most``, ``distinct`` has a column ``side`` too, and the links are those between different sides, up to
-    ``most`` from a fingerprint in a leaf; a link from a fingerprint to itself says that some were left out.
+    fingerprint once and should be a written table, as it is read three times.
     """
     spark = distinct.sparkSession
-    width = width or words
-    sides = [] if most is None else ["side"]
-    blocks = blocks_of(words, radius, per_word)
+    words = rule.words
+    blocks = blocks_of(words, rule.radius, per_word)
     n = distinct.count()
     share = min(1.0, SAMPLE / max(n, 1))
     by_hash = F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20) + 1)
@@ -256,39 +316,31 @@ def links(distinct: DataFrame, words: int, radius: int, per_word: int | None = N
                 for shard, at in route(flat[:, w] & m, tops.value[k], r):
                     cols = [pa.array(np.full(len(at), k * size + shard, np.int32))]
                     cols += [pa.array(flat[at, i].view(np.int64)) for i in range(width)]
-                    cols += [b.column(1).take(pa.array(at)) for _ in sides]
-                    yield pa.RecordBatch.from_arrays(cols, ["shard", *(f"w{i}" for i in range(width)), *sides])
+                    yield pa.RecordBatch.from_arrays(cols, ["shard", *(f"w{i}" for i in range(width))])
 
     cols = [f"w{i}" for i in range(width)]
-    dealt = distinct.select("fp", *sides).mapInArrow(deal, "shard int, " + ", ".join(f"{c} bigint" for c in cols + sides))
+    dealt = distinct.select("fp").mapInArrow(deal, "shard int, " + ", ".join(f"{c} bigint" for c in cols))
     dealt = cut(dealt, "simhash-dealt")
-    counts = {r[0]: r[1] for r in dealt.groupBy("shard").count().collect()}  # at most 2**12 shards a block
-    parts = {s: math.ceil(c / PART_ROWS) for s, c in counts.items() if c > 2 * PART_ROWS}
+    large = dealt.groupBy("shard").count().where(F.col("count") > 2 * PART_ROWS).collect()  # those that no tree could split
+    parts = {s: math.ceil(c / PART_ROWS) for s, c in large}
     if parts:  # a shard that the tree could not split: each pair of its parts is a group of its own
         many = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])
         g = F.coalesce(many[F.col("shard")], F.lit(1))
         dealt = dealt.withColumn("g", g).withColumn("p", F.pmod(F.xxhash64(*cols), F.col("g")).cast("int"))
         other = F.explode(F.expr("sequence(0, g - 1)"))
-        dealt = dealt.withColumn("q", other).select("shard", F.least("p", "q").cast("int").alias("a"), F.greatest("p", "q").cast("int").alias("b"), "p", *cols, *sides)
+        dealt = dealt.withColumn("q", other).select("shard", F.least("p", "q").cast("int").alias("a"), F.greatest("p", "q").cast("int").alias("b"), "p", *cols)
     else:
         zero = F.lit(0).cast("int")
-        dealt = dealt.select("shard", zero.alias("a"), zero.alias("b"), zero.alias("p"), *cols, *sides)
+        dealt = dealt.select("shard", zero.alias("a"), zero.alias("b"), zero.alias("p"), *cols)
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         f = np.column_stack([pdf[c].to_numpy(np.int64).view(np.uint64) for c in cols])
-        f = f[order := np.lexsort(f.T)]
+        f = f[order := np.lexsort(f[:, [-1, *range(words)]].T)]  # the last long tells all others of one SimHash apart
         shard, a, b = (int(pdf[c].iloc[0]) for c in ("shard", "a", "b"))
         k = shard // size
         w, m, r = blocks[k]
-        side = pdf["side"].to_numpy()[order] if sides else None
         part = pdf["p"].to_numpy()[order]
-        bits = f[:, :words]
-        if a == b:
-            pairs = search(bits, bits[:, w] & m, r, radius, shard, side, most or 0)
-        elif side is None:
-            pairs = spanning(bits, radius, part)
-        else:
-            pairs = apart(bits, radius, side, most, part)
+        pairs = search(f, f[:, w] & m, r, rule, shard) if a == b else spanning(f, rule, part)
         at = np.array(pairs, np.int64).reshape(-1, 2)
         signed = f.view(np.int64)
         return pd.DataFrame({c: pd.Series(signed[at[:, i]].tolist(), dtype=object) for i, c in enumerate("uv")})
@@ -301,13 +353,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): nodes of ``edges`` (u, v) and the least node that each reaches.
 
     Alternating large-star and small-star steps over written edge tables, until a step changes nothing. A step
-    groups by node with partial minima and joins them back, so a hub's links are never one task's group.
+    groups by node with partial minima, writes them and joins them back with a plain exchange on either side, so Spark
+    can split the join of a hub's links.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -320,47 +373,86 @@ def components(edges: DataFrame) -> DataFrame:
     return tips.unionAll(tips.select(F.col("root").alias("node"), "root").distinct())
 
 
-def confirmed(found: DataFrame, test, again) -> DataFrame:
-    """components() of all the links that pass ``test``, of which ``found`` names a forest.
+def alike(f: np.ndarray, sets: list[np.ndarray], rule: Rule, similarity: float, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Positions of links of texts whose ``sets`` have this Jaccard similarity or more: a forest that joins all that do.
 
-    ``test`` adds a column ok to links. A failed link may have stood for pairs that the forest never named, so
-    ``again(nodes, most)`` searches all that had a link, by (fp, side), for pairs of different components. Each
-    search may take MORE times as many pairs, until one has left none out: then every near pair is in one component
-    or has failed.
+    Every pair that is near by the rule and not joined yet is compared, BLOCK texts with BLOCK texts at a time; with
+    ``part``, pairs of different parts alone. Sets are numbers with a bit for each element that several of them have.
     """
-    seen = cut(test(found), "simhash-tested")
-    ends = cut(seen.select(F.col("u").alias("fp")).unionAll(seen.select(F.col("v").alias("fp"))).distinct(), "simhash-ends")
-    linked = components(seen.where("ok"))
-    most = PAIRS
-    whole = seen.where("NOT ok").isEmpty()
-    while not whole:
-        placed = ends.join(linked, ends["fp"] == linked["node"], "left")
-        nodes = cut(placed.select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("side")), "simhash-sides")
-        pairs = cut(again(nodes, most), "simhash-pairs")
-        whole = pairs.where("u = v").isEmpty()
-        fresh = pairs.where("u <> v").join(seen, ["u", "v"], "left_anti")
-        tested = cut(test(fresh), "simhash-tested")
-        seen = seen.unionByName(tested)
-        if not tested.where("ok").isEmpty():
-            linked = components(seen.where("ok"))
-        most *= MORE
-    return linked
-
-
-def near_groups(fps: DataFrame, words: int = 1, radius: int = 4, per_word: int | None = None, width: int | None = None, confirm=None) -> DataFrame:
+    up, out = list(range(len(f))), []
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for a in range(0, len(f), BLOCK):
+        for b in range(a, len(f), BLOCK):
+            x, y = f[a : a + BLOCK], f[b : b + BLOCK]
+            near = rule.coarse(x, y)
+            if a == b:
+                near = np.triu(near, 1)
+            if part is not None:
+                near &= part[a : a + BLOCK, None] != part[None, b : b + BLOCK]
+            i, j = np.nonzero(near)
+            ok = rule.length(x[i], y[j]) <= (rule.radius if rule.fine is None else rule.fine)
+            i, j = (i[ok] + a).tolist(), (j[ok] + b).tolist()
+            if not i:
+                continue
+            used = sorted({*i, *j})
+            known, times = np.unique(np.concatenate([sets[k] for k in used]), return_counts=True)
+            known = known[times > 1]
+            bits = {}
+            for k in used:
+                flags = np.isin(known, sets[k], assume_unique=True)
+                bits[k] = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+            for u, v in zip(i, j, strict=True):
+                if (p := top(u)) == (q := top(v)):
+                    continue
+                n, m = len(sets[u]), len(sets[v])
+                both = (bits[u] & bits[v]).bit_count()
+                if both >= similarity * (n + m - both):
+                    up[p] = q
+                    out.append((u, v))
+    return out
+
+
+def compared(members: DataFrame, rule: Rule, similarity: float) -> DataFrame:
+    """(u, v): links of texts of enough similarity among the members (root, fp, items) of groups of candidates.
+
+    A group of too many elements is dealt to parts by hash, and each pair of parts is a group of its own.
+    """
+    sizes = members.groupBy("root").agg(F.sum(F.size("items")).alias("total"), F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.greatest(F.col("total") / PART_SHINGLES, F.col("n") / PART_ROWS)).cast("int")
+    large = cut(sizes.select(F.col("root").alias("l_root"), parts.alias("g")).where("g > 1"), "simhash-large")  # few: Spark broadcasts them while it can
+    dealt = members.join(large, members["root"] == large["l_root"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")).withColumn("q", F.explode(F.expr("sequence(0, g - 1)")))
+    dealt = dealt.select("root", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "p", "fp", "items")
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = np.array(pdf["fp"].tolist(), np.int64).view(np.uint64)
+        order = np.lexsort(f.T)
+        part = pdf["p"].to_numpy()[order] if pdf["a"].iloc[0] != pdf["b"].iloc[0] else None
+        sets = [np.asarray(x, np.int64) for x in pdf["items"].to_numpy()[order]]
+        at = np.array(alike(f[order], sets, rule, similarity, part), np.int64).reshape(-1, 2)
+        signed = f[order].view(np.int64)
+        return pd.DataFrame({c: pd.Series(signed[at[:, i]].tolist(), dtype=object) for i, c in enumerate("uv")})
+
+    return dealt.groupBy("root", "a", "b").applyInPandas(within, "u array<bigint>, v array<bigint>")
+
+
+def near_groups(fps: DataFrame, rule: Rule, per_word: int | None = None, width: int = 1, confirm=None) -> DataFrame:
     """(doc_id, fp, component_id) for (doc_id, fp) rows; component_id is the least doc_id reachable by links.
 
-    ``confirm(found, fps, reps)`` may give a test for the links, see confirmed(). The first ``words`` of the ``width``
-    longs of a fingerprint are compared.
+    Where it is given, ``confirm(nodes)`` finds the links that count among the nodes (root, fp, doc_id) of each group of
+    candidates; doc_id is the fingerprint's least.
     """
     fps = cut(fps, "simhash-fps")
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    found = links(reps, words, radius, per_word, width)
+    linked = components(links(reps, rule, per_word, width))
     if confirm:
-        found = cut(found, "simhash-candidates")
-        linked = confirmed(found, confirm(found, fps, reps), lambda nodes, most: links(nodes, words, radius, per_word, width, most))
-    else:
-        linked = components(found)
+        nodes = linked.join(reps, linked["node"] == reps["fp"]).select("root", "fp", F.col("first_id").alias("doc_id"))
+        linked = components(confirm(cut(nodes, "simhash-candidates")))
     known = linked.join(reps, linked["node"] == reps["fp"]).select("node", "root", "first_id")
     least = known.groupBy("root").agg(F.min("first_id").alias("least_id"))
     placed = known.join(least, "root").select(F.col("node").alias("fp"), "least_id")
@@ -370,54 +462,36 @@ def near_groups(fps: DataFrame, words: int = 1, radius: int = 4, per_word: int |
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_fingerprints(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_fingerprints(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) by exact 64-bit SimHash links of at most ``radius`` differing bits."""
-    out = near_groups(fingerprints(docs, shingle, (42,), id_col, text_col), 1, radius)
+    out = near_groups(fingerprints(docs, shingle), Rule(1, radius))
     return out.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _jaccard(a: str | None, b: str | None, shingle: int) -> float:
-    x, y = set(_shingles(_words(a), shingle)), set(_shingles(_words(b), shingle))
-    return len(x & y) / len(x | y) if x or y else 1.0
-
-
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp, component_id): documents joined by links of word-shingle similarity ``similarity`` or more.
 
-    Candidates lie within 19 of 128 SimHash bits over word pairs, which word edits, cuts and insertions move little;
-    the texts of each candidate link are then compared by the Jaccard similarity of their five-word shingles. Where
-    links fail, confirmed() searches on until no near pair is left untested, so a text that is near many others but
-    like none of them hides no copy. Only texts of the same words share a fingerprint.
+    ``doc_id`` must tell different texts apart. Candidates lie within 19 of 128 SimHash bits over word pairs, which word
+    edits, cuts and insertions move little, and within so many of 256 bits of the shingles' least hashes that a pair of
+    the wanted similarity is missed at three and a half deviations. Links between candidates make groups; within a group
+    every pair of candidates is compared by the Jaccard similarity of their whole shingle sets (as 64-bit hashes), so a
+    text that is near many others but like none of them hides no copy. Only texts of the same words share a fingerprint.
     """
     texts = docs.select("doc_id", "text")
+    apart = FINE_BITS * (1 - similarity) / 2
+    rule = Rule(2, 19, math.ceil(apart + 3.5 * math.sqrt(apart * (1 + similarity) / 2)))
 
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_jaccard(x, y, shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    def sized(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["n"] = [len(set(_shingles(_words(t), shingle))) for t in f["text"]]
-            yield f
-
-    def confirm(found: DataFrame, fps: DataFrame, reps: DataFrame):
-        ends = found.select(F.col("u").alias("fp")).unionAll(found.select(F.col("v").alias("fp"))).distinct()
-        keys = reps.join(ends, "fp").select("fp", F.col("first_id").alias("doc_id"))
-        of = fps.join(keys, ["fp", "doc_id"], "left_semi").dropDuplicates(["fp", "doc_id"])
-        one_each = texts.join(of, "doc_id").groupBy("fp").agg(F.min("text").alias("text"))
-        text = cut(one_each.mapInPandas(sized, "fp array<bigint>, text string, n int"), "simhash-texts")
-
-        def test(links: DataFrame) -> DataFrame:
-            # Sets of too different sizes can't be alike: those pairs need no texts.
-            size = links.join(text.select(F.col("fp").alias("u"), F.col("n").alias("m")), "u").join(text.select(F.col("fp").alias("v"), "n"), "v")
-            size = cut(size.select("u", "v", (F.least("m", "n") >= similarity * F.greatest("m", "n")).alias("able")), "simhash-sizes")
-            one = size.where("able").join(text.select(F.col("fp").alias("u"), F.col("text").alias("a")), "u")
-            two = one.join(text.select(F.col("fp").alias("v"), F.col("text").alias("b")), "v")
-            return two.select("u", "v", (jaccard("a", "b") >= similarity).alias("ok")).unionAll(size.where("NOT able").select("u", "v", F.lit(False)))
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in b.column(2)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sets], ["root", "fp", "items"])
 
-        return test
+    def confirm(nodes: DataFrame) -> DataFrame:
+        # Rows of one id have one text.
+        of = texts.join(nodes, "doc_id").select("root", "fp", "text").dropDuplicates(["fp"])
+        return compared(cut(of.mapInArrow(items, "root array<bigint>, fp array<bigint>, items array<bigint>"), "simhash-items"), rule, similarity)
 
-    return near_groups(fingerprints(texts, 2, (42, 43), whole=True), 2, 19, 5, 3, confirm)
+    return near_groups(marked(texts, shingle), rule, 5, MARKS, confirm)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -428,7 +502,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     # The document's own columns stay in one, where no name can clash; repeated rows have one key.
     keyed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     both = keyed.join(stay.withColumnRenamed("_stay", "key"), "key")
-    one = both.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))).where("nth = 1")
+    one = both.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(row_hash(docs, "doc")))).where("nth = 1")
     return one.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
