@@ -273,12 +273,12 @@ def g10_modularity(spark, d):
     f"""WITH {WALLETS}, lk AS (SELECT src AS a, dst AS b, weight AS w FROM we UNION ALL SELECT dst, src, weight FROM we), mem AS (SELECT 'c' || c_custkey AS id, c_nationkey AS com FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey FROM supplier),
     own AS (SELECT a AS id, sum(w) AS k, any_value(com) AS com FROM lk JOIN mem ON a = id GROUP BY 1), tot AS (SELECT com, sum(k) AS total FROM own GROUP BY 1), mm AS (SELECT sum(w) AS mm FROM lk),
     ins AS (SELECT a AS id, sum(w) AS w_in FROM lk JOIN mem x ON a = x.id JOIN mem y ON b = y.id WHERE x.com = y.com GROUP BY 1)
-    SELECT own.id, round(2 * coalesce(w_in, 0) / mm - 2 * k * (total - k) / (mm * mm), 9) AS gain FROM own JOIN tot USING (com) LEFT JOIN ins ON own.id = ins.id, mm""",
+    SELECT own.id, round(2 * coalesce(w_in, 0) / mm - 2 * k * (total - k) / (mm * mm), 12) AS gain FROM own JOIN tot USING (com) LEFT JOIN ins ON own.id = ins.id, mm""",
 )
 def g10_modularity_gains(spark, d):
     c = load(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
     s = load(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_nationkey").alias("community"))
-    return iterative.modularity_gains(wallet_edges(spark, d), c.unionByName(s)).select("id", r6("gain", 9).alias("gain"))
+    return iterative.modularity_gains(wallet_edges(spark, d), c.unionByName(s)).select("id", r6("gain", 12).alias("gain"))
 
 
 @query("g13_fresh_communities", "SELECT c_custkey AS id, coalesce(s_nationkey::BIGINT, 1000000 + c_custkey) AS community FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")

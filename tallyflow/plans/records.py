@@ -310,7 +310,7 @@ def order_graph(spark, d, r):
     return members, iterative.betweenness(r.select(F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst")), pivots), iterative.modularity_gains(edges, members)
 
 
-FEATURE_DIGITS = {"geo_distance_variance_km": 1, "inv_jitter_std": 3, "inter_tx_interval_std": 3, "output_amount_variance": 2, "fee_sat_per_vb": 2, "value_median": 4, "modularity_delta": 9}
+FEATURE_DIGITS = {"geo_distance_variance_km": 1, "inv_jitter_std": 3, "inter_tx_interval_std": 3, "output_amount_variance": 2, "fee_sat_per_vb": 2, "value_median": 4, "modularity_delta": 12}
 
 
 @query(
@@ -342,7 +342,7 @@ FEATURE_DIGITS = {"geo_distance_variance_km": 1, "inv_jitter_std": 3, "inter_tx_
     round(fee * 1e8 / 250, 2) AS fee_sat_per_vb, 1.0::DOUBLE AS "script_type_hist_P2WPKH_ratio", 1.0::DOUBLE AS input_count, round(CASE WHEN n_out <= 1 OR total = 0 THEN 0 ELSE 2 * ranked / (n_out * total) - (n_out + 1) / n_out END, 6) AS output_dispersion_gini, 0.0::DOUBLE AS utxo_age_blocks,
     CASE WHEN n_out = 2 THEN 1.0 ELSE 0.0 END::DOUBLE AS peel_depth, 0.0::DOUBLE AS mixer_score, CASE WHEN coalesce(fee / nullif(r.amounts[1], 0) BETWEEN 0.4 AND 0.7, false) AND eq THEN 1.0 ELSE 0.0 END::DOUBLE AS coinjoin_prob,
     CASE WHEN n_out = 2 AND hi > 0 AND (hi - lo) / hi > 0.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS change_addr_likelihood, len(list_filter(r.amounts, lambda x: x < 0.00005))::DOUBLE AS dust_outputs, 0.0::DOUBLE AS op_return_flag, round((al[(len(al) + 1) // 2] + al[len(al) // 2 + 1]) / 2, 4) AS value_median,
-    b5::DOUBLE AS burst_5m_count, b60::DOUBLE AS burst_1h_count, round(jitter, 3) AS inter_tx_interval_std, round(coalesce(gain, 0), 9) AS modularity_delta, round(eh.e, 6) AS hour_entropy, round(ed.e, 6) AS day_of_week_entropy, size::DOUBLE AS community_size,
+    b5::DOUBLE AS burst_5m_count, b60::DOUBLE AS burst_1h_count, round(jitter, 3) AS inter_tx_interval_std, round(coalesce(gain, 0), 12) AS modularity_delta, round(eh.e, 6) AS hour_entropy, round(ed.e, 6) AS day_of_week_entropy, size::DOUBLE AS community_size,
     round(CASE WHEN sd > 0 THEN coalesce((betweenness - m) / sd, 0) ELSE 0 END, 6) AS betweenness_z
     FROM rec r JOIN sr USING (wallet) JOIN g USING (wallet) JOIN pe USING (wallet) JOIN br USING (txid) JOIN av ON av.txid = r.txid JOIN ent ea ON ea.wallet = r.wallet AND ea.kind = 'asn' JOIN ent eh ON eh.wallet = r.wallet AND eh.kind = 'hour'
     JOIN ent ed ON ed.wallet = r.wallet AND ed.kind = 'day' JOIN dg d1 ON d1.id = r.wallet JOIN dg d2 ON d2.id = s1 JOIN cs ON cs.com = nat LEFT JOIN gn ON gn.id = 'w' || r.wallet LEFT JOIN bw ON bw.id = r.wallet, bz""",
