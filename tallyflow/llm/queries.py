@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tallyflow.llm import chat_format, mixing, multiset_hash, packing, quality_model, quality_rules, simhash, toxicity, url_rules, wrappers
+from tallyflow.llm import chat_format, importance, lexical, mixing, multiset_hash, packing, quality_model, quality_rules, simhash, toxicity, url_rules, wrappers
 
 QUERIES = {
     "op1_bradley_terry_quality": quality_model.op1_bradley_terry_quality,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_shortest_pack_first": packing.op8_shortest_pack_first,
     "op9_multiset_fingerprints": multiset_hash.op9_multiset_fingerprints,
     "op10_line_first_rules": quality_rules.op10_line_first_rules,
+    "op11_importance_resampling": importance.op11_importance_resampling,
+    "op13_ranked_search": lexical.op13_ranked_search,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -20,4 +22,6 @@ SQL: dict[str, str] = {
     "op5_event_sourced_chat": chat_format.SQL,
     "op7_url_rules": url_rules.SQL,
     "op10_line_first_rules": quality_rules.SQL,
+    "op11_importance_resampling": importance.SQL,
+    "op13_ranked_search": lexical.SQL,
 }
