@@ -27,20 +27,38 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Delete the tables that cut() wrote in this session; call it when what was built from them is stored."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
     while _WRITTEN:
-        path = hadoop.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
+
+
+def scratch(spark: SparkSession, name: str = "step") -> str:
+    """A new path in the shared folder; drop_cuts() deletes what is written there."""
+    _WRITTEN.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return path
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write as Parquet to the shared folder and read back: a short lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that cut() wrote and nothing reads any more, as a loop does with those of the step before."""
+    for t in tables:
+        if (path := getattr(t, "_cut", None)) in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(t.sparkSession, path)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
