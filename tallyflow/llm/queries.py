@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from tallyflow.llm import chat_format, importance, lexical, mixing, multiset_hash, packing, quality_model, quality_rules, simhash, toxicity, url_rules, wrappers
+from tallyflow.llm import chat_format, importance, lexical, mixing, multiset_hash, packing, quality_model, quality_rules, simhash, toxicity, url_rules, warc, wrappers
 
 QUERIES = {
     "op1_bradley_terry_quality": quality_model.op1_bradley_terry_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_multiset_fingerprints": multiset_hash.op9_multiset_fingerprints,
     "op10_line_first_rules": quality_rules.op10_line_first_rules,
     "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_warc_normaliser": warc.op12_warc_normaliser,
     "op13_ranked_search": lexical.op13_ranked_search,
 }
 
@@ -23,5 +24,6 @@ SQL: dict[str, str] = {
     "op7_url_rules": url_rules.SQL,
     "op10_line_first_rules": quality_rules.SQL,
     "op11_importance_resampling": importance.SQL,
+    "op12_warc_normaliser": warc.SQL,
     "op13_ranked_search": lexical.SQL,
 }

@@ -859,9 +859,11 @@ def test_salted_rank_is_a_rank(spark):
 def test_queries_keep_every_row(spark, name):
     out = QUERIES[name](spark, SF)
     n = out.count()
-    base = {"op3": "pages", "op7": "pages"}.get(name.split("_")[0], "documents")
+    base = {"op3": "pages", "op7": "pages", "op12": "pages"}.get(name.split("_")[0], "documents")
     if name.startswith("op5"):
         assert n == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count() + 1
+    elif name.startswith("op13"):
+        assert 0 < n <= 10 * spark.read.parquet(f"{SF}/benchmark.parquet").count()
     elif name.startswith("op8"):
         assert out.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     else:
@@ -877,7 +879,7 @@ def sql_text(x):
     return "'" + x.replace("'", "''") + "'"
 
 
-@pytest.mark.parametrize("name", ["op5_event_sourced_chat", "op7_url_rules", "op10_line_first_rules"])
+@pytest.mark.parametrize("name", ["op5_event_sourced_chat", "op7_url_rules", "op10_line_first_rules", "op11_importance_resampling", "op12_warc_normaliser", "op13_ranked_search"])
 def test_sql(spark, name):
     from pathlib import Path
 
