@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,21 +24,26 @@ def watch_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).load(folder).select("path", F.col("modificationTime").alias("changed"), "length")
 
 
-def _store(clean: DataFrame, bad: DataFrame, out: str, quarantine: str, batch: int) -> None:
-    """A batch has its own folder on either side, so a batch that is tried again overwrites what it left before."""
-    contract_projection(normalised(clean)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-    bad.write.mode("overwrite").json(f"{quarantine}/batch={batch}")
+def _run(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream, which Spark keeps in the checkpoint: the same after a restart, another for another checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def _store(clean: DataFrame, bad: DataFrame, out: str, quarantine: str, part: str) -> None:
+    contract_projection(normalised(clean)).write.mode("overwrite").parquet(f"{out}/{part}")
+    bad.write.mode("overwrite").json(f"{quarantine}/{part}")
 
 
 def ingest(raw: DataFrame, out: str, quarantine: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Clean rows to Parquet and the others to JSON, a batch at a time, each in its own folder batch=<number>.
+    """Clean rows to Parquet and the others to JSON, a batch at a time, each in its own folder stream=<id>/batch=<number>.
 
-    What a batch wrote before it failed is written over when it is tried again: no row is there twice.
+    What a batch wrote before it failed is written over when it is tried again, so no row is there twice; the batches of
+    other streams, and those of this one under an older checkpoint, stay as they are.
     """
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.persist()
-        _store(*split(rows), out, quarantine, batch)
+        _store(*split(rows), out, quarantine, f"stream={_run(rows.sparkSession, checkpoint)}/batch={batch}")
         rows.unpersist()
 
     return _started(raw, write, checkpoint, once)
@@ -53,7 +59,7 @@ def ingest_files(files: DataFrame, out: str, quarantine: str, checkpoint: str, o
         parts = [split(READERS[k](spark, mine)) for k in EXTENSIONS if (mine := [p for p in paths if p.lower().endswith(f".{k}")])]
         if parts:
             clean, bad = (reduce(DataFrame.unionByName, side) for side in zip(*parts, strict=True))
-            _store(clean, bad, out, quarantine, batch)
+            _store(clean, bad, out, quarantine, f"stream={_run(spark, checkpoint)}/batch={batch}")
 
     return _started(files, write, checkpoint, once)
 

@@ -145,7 +145,7 @@ def test_stream_ingest_reads_each_file_once(spark, tmp_path):
         (tmp_path / "in" / f"{i}.csv").write_text(next((tmp_path / f"d{i}").glob("part-*.csv")).read_text())
         streams.ingest(streams.watch_csv(spark, f"{tmp_path}/in"), f"{tmp_path}/clean", f"{tmp_path}/bad", f"{tmp_path}/cp").awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/clean").count() == i + 1
-        assert {p.name for p in (tmp_path / "clean").iterdir() if p.is_dir()} == {f"batch={k}" for k in range(i + 1)}
+        assert {p.name for p in (tmp_path / "clean").glob("stream=*/batch=*")} == {f"batch={k}" for k in range(i + 1)}
         assert files.read_quarantine(spark, f"{tmp_path}/bad").count() == i + 1
 
 
@@ -378,10 +378,24 @@ def test_stream_of_all_kinds_is_not_doubled_by_a_retry(spark, tmp_path):
     run = lambda checkpoint: streams.ingest_files(streams.watch_files(spark, f"{tmp_path}/in"), f"{tmp_path}/clean", f"{tmp_path}/bad", f"{tmp_path}/{checkpoint}").awaitTermination()
     run("one")
     assert spark.read.parquet(f"{tmp_path}/clean").count() == 36
-    run("two")  # as after a batch whose end was not recorded: the same batch number again
+    for p in (tmp_path / "one" / "commits").glob("*0*"):
+        p.unlink()  # as after a batch whose end was not recorded: the same batch again
+    run("one")
     assert spark.read.parquet(f"{tmp_path}/clean").count() == 36 and spark.read.parquet(f"{tmp_path}/clean").select("txid").distinct().count() == 12
 
 
+def test_streams_into_one_folder_keep_all_rows(spark, tmp_path):
+    good, bad, _ = raw_rows()
+    for name in "ab":
+        spark.createDataFrame([good, bad[1]]).select(*records.COLUMNS).coalesce(1).write.csv(f"{tmp_path}/{name}", header=True, quote='"', escape='"')
+    run = lambda folder, checkpoint: streams.ingest(streams.watch_csv(spark, f"{tmp_path}/{folder}"), f"{tmp_path}/clean", f"{tmp_path}/bad", f"{tmp_path}/{checkpoint}").awaitTermination()
+    counts = []
+    for folder, checkpoint in (("a", "one"), ("b", "two"), ("b", "two"), ("a", "renewed")):
+        run(folder, checkpoint)
+        counts.append((spark.read.parquet(f"{tmp_path}/clean").count(), files.read_quarantine(spark, f"{tmp_path}/bad").count()))
+    assert counts == [(1, 1), (2, 2), (2, 2), (3, 3)]
+
+
 def test_evidence_bundles(spark):
     made = generate.records(spark, 60)
     table = features.features(made)
