@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,5 +62,30 @@ def drop(*tables: DataFrame | None) -> None:
             _delete(t.sparkSession, path)
 
 
+class Growing:
+    """A table that a loop appends to, each step in a folder of its own; one plan reads it all, however many steps."""
+
+    def __init__(self, spark: SparkSession, name: str, step: str) -> None:
+        self.spark, self.step, self.path, self.schema = spark, step, scratch(spark, name), None
+
+    def add(self, df: DataFrame, at: int, by: list[str] | None = None) -> DataFrame:
+        """Write the rows of step ``at`` and read them back; ``by`` names columns that they are further dealt to folders by."""
+        path = f"{self.path}/{self.step}={at}"
+        df.write.partitionBy(*(by or [])).parquet(path)
+        self.schema = StructType([*df.schema.fields, StructField(self.step, IntegerType())])
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def spread(self, df: DataFrame) -> None:
+        """Write all rows at once, dealt to folders by their own column of the step."""
+        df.write.partitionBy(self.step).parquet(self.path)
+        self.schema = df.schema
+
+    def all(self, columns: str | None = None) -> DataFrame:
+        """All rows, with the column of the step; ``columns`` names the others where nothing may have been added yet."""
+        if self.schema is None:
+            return self.spark.createDataFrame([], f"{columns}, {self.step} int")
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

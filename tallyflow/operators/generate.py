@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.scalars import hash_int, hash_normal, hash_unit
 from tallyflow.operators.geo import COUNTRIES
+from tallyflow.operators.iterative import longest_paths
 
 #: The eight planted patterns, with log-normal priors (mu, sigma) and inputs and outputs of each.
 LABELS = {
@@ -85,16 +86,16 @@ def chain_edges(nodes: DataFrame, skip: float = 0.12, seed: int = 42) -> DataFra
     return ones.unionByName(twos)
 
 
-def dag_times(levels: DataFrame, rate: float, sigma: float, start: Column, seed: int = 42) -> DataFrame:
-    """(id, timestamp) along a DAG's levels: exponential waits with jitter, at least a millisecond a level.
+def dag_times(edges: DataFrame, rate: float, sigma: float, start: Column, seed: int = 42) -> DataFrame:
+    """(id, timestamp) of the nodes of a graph without cycles: each its own wait after its latest predecessor.
 
-    A node's time is its level's start plus its own wait; levels' starts are prefix sums over the levels' longest waits.
+    Waits are exponential with ``rate`` and have normal jitter of ``sigma`` seconds, a millisecond at least; a node
+    without predecessors waits from ``start``.
     """
-    wait = F.greatest(F.lit(0.001), -F.ln(F.greatest(hash_unit(F.lit(seed), F.col("id")), F.lit(1e-12))) / rate + hash_normal(F.lit(seed), F.col("id")) * sigma)
-    rows = levels.withColumn("wait", wait)
-    before = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)  # one row a level
-    starts = rows.groupBy("level").agg(F.max("wait").alias("longest")).select("level", F.coalesce(F.sum("longest").over(before), F.lit(0.0)).alias("start"))
-    return rows.join(starts, "level").select("id", "level", F.timestamp_micros((F.unix_micros(start) + (F.col("start") + F.col("wait")) * 1e6).cast("bigint")).alias("timestamp"))
+    wait = lambda c: F.greatest(F.lit(0.001), -F.ln(F.greatest(hash_unit(F.lit(seed), c), F.lit(1e-12))) / rate + hash_normal(F.lit(seed), c) * sigma)
+    sources = edges.select(F.col("src").alias("id")).distinct()
+    far = longest_paths(edges.select("src", "dst", wait(F.col("dst")).alias("length")), sources.select("id", wait(F.col("id")).alias("length")))
+    return far.select("id", F.timestamp_micros((F.unix_micros(start) + F.col("dist") * 1e6).cast("bigint")).alias("timestamp"))
 
 
 def uniform_amounts(label: Column, *seed: Column) -> tuple[Column, Column]:
@@ -126,13 +127,13 @@ def address_pools(communities: DataFrame, low: int = 20, high: int = 800, countr
     return slots.select("community", F.concat_ws(".", *[octet(k) for k in range(4)]).alias("entry"), F.get(F.array(*[F.lit(n) for n in names]), at).alias("country"), asn.alias("asn"))
 
 
-def anchored_records(levels: DataFrame, edges: DataFrame, members: DataFrame, rate: float = 1 / 600, sigma: float = 30.0, start: str = "2024-01-01", seed: int = 42) -> DataFrame:
-    """A record for each node of a sampled graph without cycles: its time by its level, its addresses from its community's
+def anchored_records(edges: DataFrame, members: DataFrame, rate: float = 1 / 600, sigma: float = 30.0, start: str = "2024-01-01", seed: int = 42) -> DataFrame:
+    """A record for each node of a sampled graph without cycles: its time after its predecessors', its addresses from its community's
     pool, its flows along the graph's edges, amounts conserved.
 
-    ``levels`` is (id, level), ``members`` (id, community).
+    ``members`` is (id, community).
     """
-    times = dag_times(levels, rate, sigma, F.lit(start).cast("timestamp"), seed)
+    times = dag_times(edges, rate, sigma, F.lit(start).cast("timestamp"), seed)
     planned = injection_plan(times, "id", seed=seed)
     pools = address_pools(members.groupBy("community").agg(F.count(F.lit(1)).alias("n")), seed=seed)
     n = pools.groupBy("community").agg(F.count(F.lit(1)).alias("pool"))

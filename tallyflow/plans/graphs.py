@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyflow.functions.tables import load
-from tallyflow.operators import graph, iterative
+from tallyflow.functions.tables import cut, load
+from tallyflow.operators import centrality, graph, iterative
 from tallyflow.plans.base import NATIONS, PAYMENTS, WALLETS, betweenness_sql, events, nation_edges, payments, query, r6, wallet_edges
+from tallyflow.plans.records import order_records
 
 TEMPORAL = """g AS (SELECT user_id, ts, event_id, lag(event_id) OVER w AS src, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 te AS (SELECT src, event_id AS dst, user_id, ts, gap, exp(-abs(gap) / 300) AS weight FROM g WHERE gap >= 0 AND gap <= 3600)"""
@@ -320,6 +321,33 @@ def g15_betweenness(spark, d):
     return iterative.betweenness(e.select("src", "dst"), pivots).select("id", r6("betweenness", 4).alias("betweenness"))
 
 
+def payment_graph(spark, d):
+    """Orders as transactions between wallets, a supplier being the wallet of its number: inputs, outputs and a wallet's next transaction, weighted."""
+    r = order_records(spark, d).withColumn("output_addresses", F.transform("output_addresses", lambda x: F.concat(F.lit("w"), F.substring(x, 2, 20))))
+    r = cut(r.select("txid", "timestamp", "input_addresses", "output_addresses", "input_amounts", "output_amounts"), "payments")
+    near = graph.temporal_edges(r.withColumn("wallet", F.get("input_addresses", F.lit(0))), "wallet", "timestamp", "txid")
+    return graph.utxo_edges(r).select("src", "dst", "weight").unionByName(near.select("src", "dst", "weight"))
+
+
+#: Shortest paths by recursion on better distances; their edges; all of them, node by node; what each gives the nodes inside.
+PATHS = f"""{PAYMENTS}, top AS (SELECT greatest(max(amount), max(list_max(amounts)))::DOUBLE AS top FROM pay),
+    e0 AS (SELECT 'w' || wallet AS src, txid::VARCHAR AS dst, amount::DOUBLE / top AS w FROM pay, top UNION ALL SELECT txid::VARCHAR, 'w' || unnest(outputs), unnest(amounts)::DOUBLE / top FROM pay, top
+      UNION ALL SELECT p, txid::VARCHAR, exp(-gap / 300) FROM (SELECT txid, lag(txid) OVER o::VARCHAR AS p, (epoch_us(ts) - lag(epoch_us(ts)) OVER o) / 1e6 AS gap FROM pay WINDOW o AS (PARTITION BY wallet ORDER BY ts, txid::VARCHAR)) WHERE gap BETWEEN 0 AND 3600),
+    e AS MATERIALIZED (SELECT src, dst, min(coalesce(nullif(w, 0), 1)) AS w FROM e0 WHERE src <> dst GROUP BY ALL), n AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e),
+    pv AS MATERIALIZED (SELECT id FROM n ORDER BY md5(id), id LIMIT {{pivots}}),
+    ds(root, id, d) USING KEY (root, id) AS (SELECT id, id, 0::DOUBLE FROM pv UNION SELECT f.root, e.dst, min(f.d + e.w) FROM ds f JOIN e ON f.id = e.src LEFT JOIN recurring.ds r ON r.root = f.root AND r.id = e.dst WHERE r.d IS NULL OR f.d + e.w < r.d GROUP BY f.root, e.dst),
+    dm AS MATERIALIZED (SELECT * FROM ds), tt AS MATERIALIZED (SELECT a.root, e.src, e.dst FROM dm a JOIN e ON a.id = e.src JOIN dm b ON b.root = a.root AND b.id = e.dst AND a.d + e.w = b.d),
+    ph(root, id, inside) AS (SELECT id, id, []::VARCHAR[] FROM pv UNION ALL SELECT p.root, dst, CASE WHEN p.id = p.root THEN inside ELSE list_append(inside, p.id) END FROM ph p JOIN tt ON tt.root = p.root AND tt.src = p.id),
+    sh AS (SELECT unnest(inside) AS id, part FROM (SELECT inside, 1.0::DOUBLE / count(*) OVER (PARTITION BY root, id) AS part FROM ph))"""
+
+
+@query("g15_weighted_betweenness", "WITH RECURSIVE " + PATHS.format(pivots=200) + " SELECT n.id, round(coalesce(sum(part), 0), 4) AS betweenness FROM n LEFT JOIN sh ON n.id = sh.id GROUP BY n.id")
+def g15_weighted_betweenness(spark, d):
+    """Shortest weighted paths from 200 pivots through the directed graph of wallets and transactions."""
+    e = cut(payment_graph(spark, d), "payment-graph")
+    return centrality.weighted_betweenness(e, centrality.chosen_pivots(e, 200)).select("id", r6("betweenness", 4).alias("betweenness"))
+
+
 @query(
     "g24_graph_convolution",
     f"""WITH {WALLETS}, n AS (SELECT DISTINCT id FROM (SELECT src AS id FROM we UNION ALL SELECT dst FROM we)), x AS (SELECT id, CASE WHEN id LIKE 'c%' THEN 1.0 ELSE 0.0 END::DOUBLE AS x0, length(id)::DOUBLE AS x1 FROM n),

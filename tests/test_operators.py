@@ -248,7 +248,7 @@ def test_dag_levels_find_cycles(spark):
     assert {r.id: r.level for r in levels.collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
     with pytest.raises(ValueError, match="cycle"):
         iterative.dag_levels(df.unionByName(spark.createDataFrame([(4, 1)], "src int, dst int")))
-    t = {r.id: r.timestamp for r in generate.dag_times(levels, 1 / 600, 30.0, F.lit("2024-01-01").cast("timestamp")).collect()}
+    t = {r.id: r.timestamp for r in generate.dag_times(df, 1 / 600, 30.0, F.lit("2024-01-01").cast("timestamp")).collect()}
     assert t[1] < t[2] < t[3] < t[4]
 
 
@@ -362,7 +362,7 @@ def test_union_sizes_and_output_ages(spark):
 def test_anchored_records_follow_the_graph(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)], "src int, dst int")
     members = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "id int, community int")
-    made = {r.node: r for r in generate.anchored_records(iterative.dag_levels(edges), edges, members).collect()}
+    made = {r.node: r for r in generate.anchored_records(edges, members).collect()}
     assert len(made) == 5 and all(made[a].timestamp < made[b].timestamp for a, b in ((1, 2), (1, 3), (2, 4), (3, 4), (4, 5)))
     assert len(made[4].input_amounts) == 2 and len(made[1].output_amounts) == 2
     assert all(abs(sum(r.input_amounts) - sum(r.output_amounts) - r.fee) < 1e-7 for r in made.values())
