@@ -2,7 +2,7 @@
 
 The index is a written table of postings (bucket, term, row, doc_id, tf, n), one for each term of each document. A
 document's postings are made in one go from its whole text and stay in the part of the index that its documents'
-partition wrote, in which they are sorted by bucket (a hash of the term) and term: building needs no shuffle, a term
+partition wrote, in which they are sorted by bucket (a hash of the term): building needs no shuffle, a term
 that every document has is spread over all parts, and a search reads the row groups of its own buckets. A search joins
 the items' terms with the postings, scores each match in 64-bit integers, deals the matches by document, sums them by
 item and document there, and takes each item's highest by row_number, of which every task first keeps its own highest.
@@ -46,7 +46,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket: dict[bytes, int] = {}
-        for b in (p for whole in batches for p in parts(whole, 2)):
+        for b in (p for whole in batches for p in parts(whole, 2, 1 << 20)):
             data, at = raw(b.column(2))
             counts = [Counter(TERM.findall(data[i:j].tobytes().lower())) for i, j in zip(at[:-1], at[1:], strict=True)]
             sizes = np.fromiter(map(len, counts), np.int64, len(counts))
@@ -68,8 +68,8 @@ def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The postings as a written table, each part sorted by bucket and term."""
-    return cut(postings(docs).sortWithinPartitions("bucket", "term"), "postings")
+    """The postings as a written table, each part sorted by bucket."""
+    return cut(postings(docs).sortWithinPartitions("bucket"), "postings")
 
 
 def search(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
