@@ -36,9 +36,16 @@ def ranked(df: DataFrame, order: list[Column], name: str = "_rank", total: str =
 
 
 def percentile(df: DataFrame, value: str, level: float, name: str) -> DataFrame:
-    """One row: the value at ``level`` of the non-null ones, on the line between the two nearest; null where there is none."""
-    rows = ranked(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v")), [F.asc("_v")])
-    at = (F.col("_n") - 1) * F.lit(level) + 1
-    low, high = F.max(F.when(F.col("_rank") == F.floor(at), F.col("_v"))), F.max(F.when(F.col("_rank") == F.ceil(at), F.col("_v")))
-    some = rows.where((F.col("_rank") >= F.floor(at)) & (F.col("_rank") <= F.ceil(at)))
-    return some.agg((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    """One row: the value at ``level`` of the non-null ones, on the line between the two nearest; null where there is none.
+
+    Equal values are counted first, so that a value that most rows have is one row of a range.
+    """
+    per = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    parts = placed(per, [F.asc("_v")])
+    run = F.sum("_c").over(Window.partitionBy("_part").orderBy("_at"))
+    rows = parts.withColumn("_run", run).join(F.broadcast(before(parts, {"_b": F.sum("_c")})), "_part")  # a row a range
+    at = (F.col("_b_all") - 1) * F.lit(level) + 1
+    last = F.col("_run") + F.col("_b")
+    has = lambda rank: F.max(F.when((rank <= last) & (rank > last - F.col("_c")), F.col("_v")))
+    low, high = has(F.floor(at)), has(F.ceil(at))
+    return rows.agg((low + (high - low) * F.max(at - F.floor(at))).alias(name))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyflow.functions.scalars import hash_int, hash_normal, hash_unit
+from tallyflow.functions.scan import previous
 from tallyflow.operators.geo import COUNTRIES
 from tallyflow.operators.iterative import longest_paths
 
@@ -79,10 +80,11 @@ def records(spark: SparkSession, n: int, seed: int = 42, sigma: float = 30.0) ->
 
 def chain_edges(nodes: DataFrame, skip: float = 0.12, seed: int = 42) -> DataFrame:
     """A chain through nodes by ``step``, each joined to the next, and some to the one after."""
-    w = Window.partitionBy("chain").orderBy("step")
-    both = nodes.select("id", F.lead("id", 1).over(w).alias("one"), F.lead("id", 2).over(w).alias("two"))
-    ones = both.where("one IS NOT NULL").select(F.col("id").alias("src"), F.col("one").alias("dst"))
-    twos = both.where((F.col("two").isNotNull()) & (hash_unit(F.lit(seed), F.col("id")) < skip)).select(F.col("id").alias("src"), F.col("two").alias("dst"))
+    order = [F.asc("step"), F.asc("id")]
+    one = previous(nodes.select("chain", "step", "id"), ["chain"], order, {"one": F.col("id")})
+    both = previous(one, ["chain"], order, {"two": F.col("one")})
+    ones = both.where("one IS NOT NULL").select(F.col("one").alias("src"), F.col("id").alias("dst"))
+    twos = both.where((F.col("two").isNotNull()) & (hash_unit(F.lit(seed), F.col("two")) < skip)).select(F.col("two").alias("src"), F.col("id").alias("dst"))
     return ones.unionByName(twos)
 
 

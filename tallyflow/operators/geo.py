@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.scalars import geo_inconsistent, hash_int, haversine_km, ip_to_long, radius_km
+from tallyflow.functions.scan import previous
 
 #: A central point of each country that a map has one for.
 CENTROIDS = {
@@ -88,10 +89,12 @@ def in_networks(df: DataFrame, networks: DataFrame, ip: str = "ip", bits: int =
 
 def hops(df: DataFrame, key: str, order: list[str], asn: str, lat: str | None = None, lng: str | None = None, limit: float = 1000.0) -> DataFrame:
     """(key, hop_rate, n): the share of a key's consecutive rows whose network changes or that lie over ``limit`` km apart."""
-    w = Window.partitionBy(key).orderBy(*order)
-    km = haversine_km(F.lag(lat).over(w), F.lag(lng).over(w), F.col(lat), F.col(lng)) if lat else F.lit(0.0)
-    flagged = df.select(key, F.lag(asn).over(w).alias("_before"), geo_inconsistent(F.lag(asn).over(w), F.col(asn), km, limit).alias("_hop"), F.row_number().over(w).alias("_i"))
-    return flagged.groupBy(key).agg(F.coalesce(F.avg(F.when(F.col("_i") > 1, F.col("_hop").cast("double"))), F.lit(0.0)).alias("hop_rate"), F.count(F.lit(1)).alias("n"))
+    place = [F.col(c).alias(n) for n, c in (("asn", asn), ("lat", lat), ("lng", lng)) if c]
+    rows = previous(df.select(key, *order, *[c for c in (asn, lat, lng) if c and c not in (key, *order)]), [key], [F.asc(c) for c in order], {"_before": F.struct(F.lit(1).alias("some"), *place)})
+    b = F.col("_before")
+    km = haversine_km(b["lat"], b["lng"], F.col(lat), F.col(lng)) if lat else F.lit(0.0)
+    hop = F.when(b.isNotNull(), geo_inconsistent(b["asn"], F.col(asn), km, limit).cast("double"))
+    return rows.groupBy(key).agg(F.coalesce(F.avg(hop), F.lit(0.0)).alias("hop_rate"), F.count(F.lit(1)).alias("n"))
 
 
 def marker_point(lat: Column, lng: Column, country: Column) -> tuple[Column, Column]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.aggregates import within_one_percent
 from tallyflow.functions.scalars import decay_weight, default_weight
+from tallyflow.functions.scan import previous
 from tallyflow.functions.tables import cut
 
 EDGE = ["src", "dst", "type", "amount", "ts", "weight"]
@@ -44,9 +45,8 @@ def scaled_by_largest(edges: DataFrame, top: DataFrame | None = None) -> DataFra
 
 def temporal_edges(records: DataFrame, wallet: str, ts: str, node: str, max_gap: int = 3600, scale: float = 300.0) -> DataFrame:
     """Edges between a wallet's consecutive records at most ``max_gap`` seconds apart, decaying with the gap."""
-    w = Window.partitionBy(wallet).orderBy(ts, node)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = records.select(wallet, ts, node, F.lag(node).over(w).alias("src"), ((micros - F.lag(micros).over(w)) / 1e6).alias("gap"))
+    rows = previous(records.select(wallet, ts, node), [wallet], [F.asc(ts), F.asc(node)], {"src": F.col(node), "then": micros}).withColumn("gap", (micros - F.col("then")) / 1e6)
     near = rows.where((F.col("gap") >= 0) & (F.col("gap") <= max_gap))
     return near.select("src", F.col(node).alias("dst"), F.lit("temporal").alias("type"), F.lit(0.0).alias("amount"), F.col(ts).alias("ts"), F.col("gap"), decay_weight(F.col("gap"), scale).alias("weight"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.functions import ranges
+from tallyflow.functions.scan import gaps
 
 
 def brier(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
@@ -142,10 +143,7 @@ def fit_lognormal(df: DataFrame, amount: str, keys: list[str] | None = None) ->
 
 def fit_rate(df: DataFrame, key: str, ts: str, tie: str, default: float = 1 / 600) -> DataFrame:
     """One over the median positive gap in seconds between a key's consecutive rows."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    gaps = df.select(((at - F.lag(at).over(w)) / 1e6).alias("gap")).where("gap > 0")
-    return ranges.percentile(gaps, "gap", 0.5, "median").select(F.coalesce(1 / F.col("median"), F.lit(default)).alias("rate"))
+    return ranges.percentile(gaps(df.select(key, ts, tie), key, ts, tie).where("gap > 0"), "gap", 0.5, "median").select(F.coalesce(1 / F.col("median"), F.lit(default)).alias("rate"))
 
 
 def sweep_decision(scores: DataFrame, setting: str, value: str, limit: float = 0.03) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.sources.records import COLUMNS, RECORD, contract_projection, normalised, split
+from tallyflow.sources.records import COLUMNS, RECORD, bad_side, clean_side, contract_projection, judged, normalised
 
 TEXT = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 EXTENSIONS = ("csv", "json", "xml")
@@ -28,7 +30,12 @@ def detect_format(spark: SparkSession, path: str) -> str:
 
 def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns as text; lists are quoted JSON. The header names the columns."""
-    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=False).withColumn("_file", F.col("_metadata.file_path"))
+    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=False).select("*", *_origin())
+
+
+def _origin() -> list[Column]:
+    """What records.numbered() finds a row's number in its file by."""
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")]
 
 
 def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -76,7 +83,7 @@ def read_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
             out.append(F.when(F.ltrim(text).startswith("["), text).when(text.isNotNull(), _listed(c, F.array(text))).alias(c))
         else:
             out.append(F.col(c).cast("string").alias(c))
-    return rows.select(*out, F.col("_metadata.file_path").alias("_file"))
+    return rows.select(*out, *_origin())
 
 
 READERS = {"csv": read_csv, "json": read_json, "xml": read_xml}
@@ -87,17 +94,76 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return normalised(spark.read.option("mergeSchema", True).parquet(*paths))
 
 
-def ingest(spark: SparkSession, path: str, out: str, quarantine: str, kind: str | None = None) -> dict[str, int]:
-    """Read, validate, and append clean rows as Parquet and the others as JSON lines. Returns the two counts.
+def ingest(spark: SparkSession, path: str, out: str, quarantine: str, kind: str | None = None, job: str | None = None) -> dict[str, int]:
+    """Read, validate, and add clean rows as Parquet and the others as JSON lines. Returns the two counts.
 
-    The counts are observed while writing; nothing is read again for them.
+    The source is read and judged once. A job writes both sides to hidden folders and then gives them their names,
+    job=<id>, so that readers see all of a job's rows or none, and says so in the run log (see jobs()). A job that was
+    done before adds nothing; one that broke off is done again from its start.
     """
-    raw = READERS[kind or detect_format(spark, path)](spark, path)
-    clean, bad = split(raw)
-    seen = {k: Observation(f"{k}-{uuid.uuid4().hex}") for k in ("clean", "quarantined")}
-    write_clean(clean.observe(seen["clean"], F.count(F.lit(1)).alias("n")), out)
-    append_quarantine(bad.observe(seen["quarantined"], F.count(F.lit(1)).alias("n")), quarantine)
-    return {k: int(o.get["n"]) for k, o in seen.items()}
+    job = job or uuid.uuid4().hex
+    log = RunLog(spark, out)
+    if (done := log.done(job)) is not None:
+        return done
+    log.add(job, path, "running")
+    try:
+        seen = Observation(f"judged-{job}")
+        clean, bad = (F.count(F.when(F.size("errors") == 0, 1)), F.count(F.when(F.size("errors") > 0, 1)))
+        marked = judged(READERS[kind or detect_format(spark, path)](spark, path)).observe(seen, clean.alias("clean"), bad.alias("bad")).persist()
+        try:
+            contract_projection(normalised(clean_side(marked))).write.mode("overwrite").parquet(f"{out}/_staged-{job}")
+            counts = {"clean": int(seen.get["clean"]), "quarantined": int(seen.get["bad"])}
+            if counts["quarantined"]:
+                bad_side(marked).write.mode("overwrite").json(f"{quarantine}/_staged-{job}")
+        finally:
+            marked.unpersist()
+        for top in (quarantine,) * bool(counts["quarantined"]) + (out,):
+            log.named(f"{top}/_staged-{job}", f"{top}/job={job}")
+    except Exception as e:
+        log.add(job, path, "failed", error=str(e).splitlines()[0][:500])
+        raise
+    log.add(job, path, "done", **counts)
+    return counts
+
+
+class RunLog:
+    """The run log of an output folder: a small JSON file for each state that a job came to, in <out>/_runs."""
+
+    def __init__(self, spark: SparkSession, out: str) -> None:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self.spark, self.path, self.at = spark, hadoop.Path, f"{out}/_runs"
+        self.fs = hadoop.Path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def add(self, job: str, source: str, status: str, **more: object) -> None:
+        """A state's file has the job's name and the state in its own, so adding it again leaves one."""
+        line = json.dumps({"job": job, "source": source, "status": status, "at": time.time(), **more}) + "\n"
+        stream = self.fs.create(self.path(f"{self.at}/{job}-{status}.json"), True)
+        stream.write(bytearray(line.encode()))
+        stream.close()
+
+    def done(self, job: str) -> dict[str, int] | None:
+        """The counts of a job that is done."""
+        if not self.fs.exists(self.path(f"{self.at}/{job}-done.json")):
+            return None
+        row = json.loads(self.spark.read.text(f"{self.at}/{job}-done.json").first()[0])
+        return {"clean": row["clean"], "quarantined": row["quarantined"]}
+
+    def named(self, staged: str, name: str) -> None:
+        """Give a staged folder its name, in place of what a job that broke off had left there."""
+        self.fs.delete(self.path(name), True)
+        if not self.fs.rename(self.path(staged), self.path(name)):
+            raise OSError(f"{staged} can't be renamed to {name}")
+
+
+RUNS = "job string, source string, status string, at double, clean bigint, quarantined bigint, error string"
+
+
+def jobs(spark: SparkSession, out: str) -> DataFrame:
+    """(job, source, status, at, clean, quarantined, error): the last state of each ingest job of an output folder."""
+    log = RunLog(spark, out)
+    states = spark.read.schema(RUNS).json(log.at) if log.fs.exists(log.path(log.at)) else spark.createDataFrame([], RUNS)
+    last = F.max_by(F.struct(*states.columns), "at").alias("s")
+    return states.groupBy("job").agg(last).select("s.*")
 
 
 def ingest_folder(spark: SparkSession, folder: str, out: str, quarantine: str) -> dict[str, int]:
@@ -112,15 +178,6 @@ def ingest_folder(spark: SparkSession, folder: str, out: str, quarantine: str) -
     return total
 
 
-def write_clean(df: DataFrame, out: str) -> None:
-    """Parquet with the fixed schema, also where no row is there."""
-    contract_projection(normalised(df)).write.mode("append").parquet(out)
-
-
-def append_quarantine(bad: DataFrame, path: str) -> None:
-    bad.write.mode("append").json(path)
-
-
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("file string, row bigint, error string, raw string").option("recursiveFileLookup", True).json(path)
 

@@ -81,19 +81,29 @@ def split(raw: DataFrame, rules: list[Rule] | None = None, keep: list[str] | Non
 
     ``_file`` and ``_row`` name a row's origin where the reader gave them. Columns outside the contract are dropped.
     """
+    marked = judged(raw, rules)
+    return clean_side(marked, rules, keep), bad_side(marked, rules)
+
+
+def judged(raw: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """The raw rows with their parsed values (_v_<name>) and ``errors``. Values are parsed once, and the rules then look at them."""
     rules = rules or record_rules()
-    names = [r.name for r in rules]
-    missing = [n for n in names if n not in raw.columns]
-    raw = raw.select("*", *[F.lit(None).cast("string").alias(n) for n in missing])
-    # Values are parsed once, and the rules then look at them.
-    marked = checked(raw.select("*", *[r.value.alias(f"_v_{r.name}") for r in rules]), rules)
-    values = [F.col(f"_v_{r.name}").alias(r.name) for r in rules]
-    clean = marked.where(F.size("errors") == 0).select(*(keep or []), *values)
-    file = F.col("_file") if "_file" in raw.columns else F.lit(None).cast("string")
-    row = F.col("_row") if "_row" in raw.columns else F.lit(None).cast("bigint")
-    line = F.to_json(F.struct(*[F.col(n) for n in names]))
-    bad = marked.where(F.size("errors") > 0).select(file.alias("file"), row.cast("bigint").alias("row"), F.array_join("errors", "; ").alias("error"), line.alias("raw"))
-    return clean, bad
+    raw = raw.select("*", *[F.lit(None).cast("string").alias(r.name) for r in rules if r.name not in raw.columns])
+    return checked(raw.select("*", *[r.value.alias(f"_v_{r.name}") for r in rules]), rules)
+
+
+def clean_side(marked: DataFrame, rules: list[Rule] | None = None, keep: list[str] | None = None) -> DataFrame:
+    return marked.where(F.size("errors") == 0).select(*(keep or []), *[F.col(f"_v_{r.name}").alias(r.name) for r in rules or record_rules()])
+
+
+def bad_side(marked: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """(file, row, error, raw) of the rows that break a rule."""
+    file = F.col("_file") if "_file" in marked.columns else F.lit(None).cast("string")
+    bad = marked.where(F.size("errors") > 0)
+    if "_row" not in marked.columns:
+        bad = numbered(marked, bad) if "_block" in marked.columns else bad.withColumn("_row", F.lit(None))
+    line = F.to_json(F.struct(*[F.col(r.name) for r in rules or record_rules()]))
+    return bad.select(file.alias("file"), F.col("_row").cast("bigint").alias("row"), F.array_join("errors", "; ").alias("error"), line.alias("raw"))
 
 
 def contract_projection(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -117,9 +127,17 @@ def normalised(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Row numbers from 1 within each file, by the given order."""
-    return df.withColumn("_row", F.row_number().over(Window.partitionBy("_file").orderBy(*order)))
+def numbered(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """Adds ``_row``, the number from 1 within its file, to ``some`` of the ``rows``.
+
+    Rows have their file, the start of the block of it that they were read with, and an ``_id`` that rises by one within
+    a block. So a row's number is its place in its block plus the rows of the file's blocks before: only blocks, a row
+    each, are brought together.
+    """
+    blocks = rows.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("_file", "_block", (F.coalesce(earlier, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return some.join(blocks, ["_file", "_block"]).withColumn("_row", F.col("_id") + F.col("_shift"))
 
 
 def schema_difference(a: DataFrame, b: DataFrame) -> DataFrame:
