@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyflow.functions import scalars
-from tallyflow.functions.tables import load, shared_dir
-from tallyflow.operators import generate, metrics, models, serving
+from tallyflow.functions.tables import cut, load, shared_dir
+from tallyflow.operators import features, generate, metrics, models, serving
 from tallyflow.plans.base import PAYMENTS, SCORES, events, payments, query, r6, scores
-from tallyflow.plans.records import RAW, _order_rules, _raw_orders
+from tallyflow.plans.records import RAW, _order_rules, _raw_orders, order_records
 from tallyflow.sources.records import split
 from tallyflow.streaming import streams
 
@@ -335,8 +335,9 @@ def m1_isolation_forest(spark, d):
 
 @query("m13_forest_attribution")
 def m13_forest_attribution(spark, d):
-    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").cast("double").alias("balance"), F.col("s_nationkey").cast("double").alias("nation"))
-    return models.fit_forest(s, ["balance", "nation"], "id").attribute(s, "id", 2).select("id", "rank", "feature", r6("value").alias("value"))
+    """The three features of all 38 that make each order odd or plain, by Shapley value."""
+    table = cut(features.features(order_records(spark, d)), "features")
+    return models.fit_forest(table, list(features.FEATURES), "txid").attribute(table, "txid", 3).select("txid", "rank", "feature", r6("value").alias("value"))
 
 
 @query("m2_local_outlier_factor")

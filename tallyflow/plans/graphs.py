@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyflow.functions.tables import cut, load
-from tallyflow.operators import centrality, graph, iterative
+from tallyflow.operators import centrality, generate, graph, iterative
 from tallyflow.plans.base import NATIONS, PAYMENTS, WALLETS, betweenness_sql, events, nation_edges, payments, query, r6, wallet_edges
 from tallyflow.plans.records import order_records
 
@@ -216,15 +216,11 @@ def g17_bfs_levels(spark, d):
     return iterative.bfs_levels(e, e.agg(F.min("src").alias("id")))
 
 
-@query(
-    "g20_dag_levels",
-    """WITH RECURSIVE e AS (SELECT DISTINCT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey),
-    r(id, level) AS (SELECT src, 0 FROM e UNION SELECT dst, 0 FROM e UNION SELECT dst, level + 1 FROM r JOIN e ON id = src) SELECT id, max(level) AS level FROM r GROUP BY id""",
-)
+@query("g20_dag_levels", "SELECT o_orderkey AS id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS level FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
 def g20_dag_levels(spark, d):
-    n = load(spark, d, "nation").select("n_nationkey", "n_regionkey")
-    a, b = n.withColumnRenamed("n_nationkey", "src"), n.withColumnRenamed("n_nationkey", "dst")
-    return iterative.dag_levels(a.join(b, "n_regionkey").where("src < dst").select("src", "dst"))
+    """The place of each order on the longest way along its customer's chain, which has skip edges too."""
+    n = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("chain"), F.col("o_orderkey").alias("step"))
+    return iterative.dag_levels(generate.chain_edges(n))
 
 
 PARTS = """u0 AS (SELECT l_orderkey AS o, min(l_partkey) AS f FROM lineitem GROUP BY 1), u AS (SELECT DISTINCT f AS a, l_partkey AS b FROM lineitem JOIN u0 ON o = l_orderkey WHERE l_partkey <> f),
