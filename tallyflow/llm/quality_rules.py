@@ -1,6 +1,6 @@
 """Line-first cleaning: rules for each line, failing lines removed, documents that lose too much rejected.
 
-A line fails when it doesn't end as a sentence, shouts, is navigation (separated items, or a short line repeated
+A line fails when it ends neither as a sentence nor, if long enough, in a colon, shouts, is navigation (separated items, or a short line repeated
 through the text), is symbol noise, or is boilerplate such as licence and cookie notices.
 
 Defined cases: a null text has no words and fails the base rule; lines without a word are neutral and stay; ties and
@@ -11,6 +11,7 @@ other columns may have any name. Whole texts are read, however long.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,14 +25,18 @@ from tallyflow.llm.common import table
 
 SYMBOLS = b"#*$%&|<>"
 #: A line ends as a sentence with one of these, before any closing marks and white space.
-TERMINAL = (".", "!", "?", "…", "。", "！", "？")
-CLOSING = ("\"", "'", ")", "]", "»", "”", "’")
+TERMINAL = (".", "!", "?", "…", "。", "！", "？", "؟", "۔", "।")
+#: Closing marks are quotes and what Unicode classes as closing brackets and as quotation marks of either side.
+QUOTES, CLOSING = "\"'", ("Pe", "Pf", "Pi")
+#: A line of at least so many words may also end in a colon, as before a list or a quotation.
+COLON_WORDS = 5
 #: Separators of menu items; a line is navigation with this many or more, at least one for every so many words.
 SEPARATORS = ("|", "•", "·", "»", "›")
 LEAST_SEPARATORS, WORDS_A_SEPARATOR = 2, 4
 #: A line of fewer words than the first that the text has as often as the second is navigation too.
 ITEM_WORDS, ITEM_TIMES = 10, 3
-#: Boilerplate: a line with one of these, in lower case, is page furniture rather than prose.
+#: Boilerplate: a line is page furniture where it has two of these, in lower case, or one that is this share of its bytes, in percent.
+BOILERPLATE_SHARE = 30
 BOILERPLATE = (
     r"licen[cs]ed under", r"(released|distributed|published|available) under", r"rights reserved", r"spdx-license-identifier", r"permission is hereby granted",
     r"copyright (\(c\)|©|[0-9]{4})", r"(cookie|privacy) (policy|notice|settings)", r"(we|site) uses? cookies", r"accept (all )?cookies", r"terms of (service|use)",
@@ -45,20 +50,29 @@ KEEP_SHARE = 50
 _BOILERPLATE = re.compile("|".join(BOILERPLATE).encode())
 _TERMINAL = tuple(t.encode() for t in TERMINAL)
 _SEPARATORS = tuple(t.encode() for t in SEPARATORS)
-_CLOSING = b" \t\n\r\x0b\x0c" + "".join(c for c in CLOSING if c.isascii()).encode()
-_WIDE = tuple(c.encode() for c in CLOSING if not c.isascii())
+_CLOSING = b" \t\n\r\x0b\x0c" + QUOTES.encode() + b")]}"
 
 
-def ends_sentence(line: bytes) -> bool:
+def ends_sentence(line: bytes, n_words: int = 0) -> bool:
     tail = line.rstrip(_CLOSING)
-    while tail.endswith(_WIDE):
-        tail = tail[: -len(next(w for w in _WIDE if tail.endswith(w)))].rstrip(_CLOSING)
-    return tail.endswith(_TERMINAL)
+    while tail and tail[-1] >= 0x80:
+        at = len(tail) - 1
+        while at and tail[at] & 0xC0 == 0x80:
+            at -= 1
+        if unicodedata.category(tail[at:].decode("utf-8", "surrogatepass")) not in CLOSING:
+            break
+        tail = tail[:at].rstrip(_CLOSING)
+    return tail.endswith(_TERMINAL) or n_words >= COLON_WORDS and tail.endswith(b":")
+
+
+def is_boilerplate(line: bytes) -> bool:
+    found = [m[0] for m in _BOILERPLATE.finditer(line.lower())]
+    return len(found) > 1 or 100 * sum(map(len, found)) > BOILERPLATE_SHARE * len(line)
 
 
 def line_fails(line: bytes, n_words: int, times: int = 1) -> bool:
     """Whether a line with words, ``times`` in its text, fails by punctuation, as navigation, as symbol noise or as boilerplate."""
-    if not ends_sentence(line) or line.count(b"!") > n_words:
+    if not ends_sentence(line, n_words) or line.count(b"!") > n_words:
         return True
     if n_words < ITEM_WORDS and times >= ITEM_TIMES:
         return True
@@ -68,7 +82,7 @@ def line_fails(line: bytes, n_words: int, times: int = 1) -> bool:
     symbols = sum(line.count(c) for c in (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))
     if symbols and 100 * symbols > SYMBOL_SHARE * len(line):
         return True
-    return _BOILERPLATE.search(line.lower()) is not None
+    return is_boilerplate(line)
 
 
 def repeated_words(words: list[bytes], size: int = 5) -> int:
@@ -160,7 +174,8 @@ def op10_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(table(spark, sf_dir, "documents"))
 
 
-_ENDED = "[" + "".join(TERMINAL) + r"][\]\x20\x09-\x0D" + "".join(c for c in CLOSING if c not in "]'") + "'']*$"
+_CLOSED = r"[\x20\x09-\x0D" + QUOTES.replace("'", "''") + "".join(rf"\p{{{c}}}" for c in CLOSING) + "]*$"
+_ENDED, _COLON = "[" + "".join(TERMINAL) + "]" + _CLOSED, ":" + _CLOSED
 SQL = rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 l0 AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t),
@@ -168,8 +183,8 @@ l AS (SELECT rid, line, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))
         length(line) - length(regexp_replace(line, '[{"".join(SEPARATORS)}]', '', 'g')) AS seps, length(line) - length(replace(line, '!', '')) AS bangs,
         length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS syms, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
         row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS occ, count(*) OVER (PARTITION BY rid, line) AS times FROM l0),
-r AS (SELECT *, NOT regexp_matches(line, '{_ENDED}') OR bangs > nw OR (nw < {ITEM_WORDS} AND times >= {ITEM_TIMES}) OR (seps >= {LEAST_SEPARATORS} AND seps * {WORDS_A_SEPARATOR} >= nw)
-        OR (syms > 0 AND 100 * syms > {SYMBOL_SHARE} * nb) OR regexp_matches(low, '{"|".join(BOILERPLATE)}') AS fails FROM l WHERE nw > 0),
+r AS (SELECT *, NOT (regexp_matches(line, '{_ENDED}') OR nw >= {COLON_WORDS} AND regexp_matches(line, '{_COLON}')) OR bangs > nw OR (nw < {ITEM_WORDS} AND times >= {ITEM_TIMES}) OR (seps >= {LEAST_SEPARATORS} AND seps * {WORDS_A_SEPARATOR} >= nw)
+        OR (syms > 0 AND 100 * syms > {SYMBOL_SHARE} * nb) OR len(bp) > 1 OR 100 * coalesce(list_sum(list_transform(bp, lambda x: strlen(x))), 0) > {BOILERPLATE_SHARE} * nb AS fails FROM (SELECT *, regexp_extract_all(low, '{"|".join(BOILERPLATE)}') AS bp FROM l) WHERE nw > 0),
 a AS (SELECT rid, count(*) FILTER (occ > 1) AS n_dup_lines, sum(CASE WHEN fails THEN 0 ELSE nw END) AS kept_words FROM r GROUP BY rid),
 w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t)),
 g AS (SELECT rid, p, CASE WHEN lead(p, 4) OVER o IS NOT NULL THEN concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) END AS win FROM w WINDOW o AS (PARTITION BY rid ORDER BY p)),

@@ -804,10 +804,13 @@ def test_quality_rules_by_hand(spark):
     assert out[1].clean_text == f"{rows[0][1].split(chr(10))[0]}\n{rows[0][1].split(chr(10))[2]}" and out[4].clean_text == prose
 
 
-PROSE = ["It was said.", "Was it said?", "Said!", "He said: 'so it is.'", "(All of it was said.)", "So it was said…", "«Il l'a dit.»", "„Es ist so.”", "He sold cookies, and they subscribe to a paper, under a licence.", "a | b is a pipe in shell. ", "これは文です。"]
+PROSE = ["It was said.", "Was it said?", "Said!", "He said: 'so it is.'", "(All of it was said.)", "So it was said…", "«Il l'a dit.»", "„Es ist so.”", "He sold cookies, and they subscribe to a paper, under a licence.", "a | b is a pipe in shell. ", "これは文です。",
+    "Das Ende kam plötzlich.“", "„So kam es.“ (So war es.”) }", "هل انتهى الأمر؟", "यह अंत है।", "یہ ختم ہوا۔", "These are the things that we found:", "He wrote it down there thus: “",
+    "The cookie policy debate in parliament ended on Tuesday with a vote that few had expected.", "The song was released under the name of the singer's late brother in the spring of that year."]
 FURNITURE = [
     "Home | About | Contact", "Home • About • Contact.", "A heading without an end", "Read more »", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "All rights reserved.", "© Copyright 2024 The Paper.",
-    "We use cookies on this page.", "Subscribe to our newsletter today.", "Read our Privacy Policy.", "Now!!!!", "#a #b #c.",
+    "We use cookies on this page.", "Subscribe to our newsletter today.", "Read our Privacy Policy.", "Now!!!!", "#a #b #c.", "Share this:", "Related posts: ”",
+    "By going on to any of these pages you agree to our terms of service and have read the privacy policy of this company and its many partners.",
 ]
 
 
