@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyflow.functions.tables import cut, load
-from tallyflow.operators import centrality, generate, graph, iterative
+from tallyflow.operators import centrality, generate, graph, iterative, network
 from tallyflow.plans.base import NATIONS, PAYMENTS, WALLETS, betweenness_sql, events, nation_edges, payments, query, r6, wallet_edges
 from tallyflow.plans.records import order_records
 
@@ -223,6 +223,17 @@ def g20_dag_levels(spark, d):
     return iterative.dag_levels(generate.chain_edges(n))
 
 
+@query("g24_trained_network")
+def g24_trained_network(spark, d):
+    """A small network over the wallets' graph, trained for three steps to tell customers who owe from others, a third of them known."""
+    e = wallet_edges(spark, d)
+    c = load(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), "c_custkey", (F.col("c_acctbal") < 0).cast("int").alias("y"))
+    deg = graph.degree(e)
+    x = deg.select("id", F.array(F.startswith("id", F.lit("c")).cast("double"), F.ln(F.col("degree").cast("double"))).alias("x"))
+    net, _ = network.fit_network(e, x, c.where("c_custkey % 3 = 0").select("id", "y"), (4, 3), epochs=3)
+    return net.predict(e, x).select("id", r6(F.get("p", F.lit(1))).alias("p"))
+
+
 PARTS = """u0 AS (SELECT l_orderkey AS o, min(l_partkey) AS f FROM lineitem GROUP BY 1), u AS (SELECT DISTINCT f AS a, l_partkey AS b FROM lineitem JOIN u0 ON o = l_orderkey WHERE l_partkey <> f),
     g AS (SELECT id, count(*)::DOUBLE AS k FROM (SELECT a AS id FROM u UNION ALL SELECT b FROM u) GROUP BY id),
     c AS (SELECT count(*) AS n, (sum(k) / 2)::BIGINT AS m, sum(k * (k - 1) / 2) AS w FROM g),
