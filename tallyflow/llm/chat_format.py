@@ -13,7 +13,8 @@ undoing the references gives the exact text back. ``loss`` lists the spans of as
 
 Defined cases: a null text is empty and a null role is the empty role; events of one turn that tie in seq are ordered
 by kind, role and text; repeated ``message`` events are messages of their own; a null turn sorts first; a null conv_id
-is a conversation of its own; an empty log gives an empty result; further columns are ignored, whatever their names.
+is a conversation of its own; an empty log gives an empty result; further columns are ignored, whatever their names;
+texts are whole, however long, but for Spark's bound of 2 GB on a conversation's rendered string.
 """
 
 from __future__ import annotations

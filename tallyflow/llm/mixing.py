@@ -6,7 +6,9 @@ bounded-knapsack dynamic program over the sizes for the last words of the budget
 each size. Only histograms (rows of source, size, count) are ever grouped by source.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 are
-taken 0 words; repeated rows count as documents of their own; an empty table gives an empty result; other columns
+taken 0 words; repeated rows count as documents of their own; which of documents of
+one size are taken is drawn by a seeded hash of their ids and content, so ties are broken the same way in every run; sizes
+count whole texts, however long; an empty table gives an empty result; other columns
 may have any name.
 """
 

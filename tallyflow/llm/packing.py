@@ -5,7 +5,8 @@ counts. The packing is planned on that histogram alone, longest lengths first, e
 of lengths so far; patterns with their counts then meet the pieces again by the piece's rank among its length.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are packed each for itself; an empty table
-gives an empty result; texts are read whole; other columns may have any name.
+gives an empty result; texts are read whole, however long; pieces of one length are
+ranked by a hash of their document, start and ids, and those that agree in all are interchangeable; other columns may have any name.
 """
 
 from __future__ import annotations

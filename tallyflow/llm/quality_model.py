@@ -8,8 +8,8 @@ distance from it.
 Bounds: at most LABELLED documents of each class and PAIRS pairs are fitted on the driver (features only).
 
 Defined cases: a null or empty text has all features zero and a score like any other; labels that are null or for
-unknown documents are ignored; without labels of both classes every score is 0.5; repeated rows get a row each; an
-empty table gives an empty result; other columns may have any name.
+unknown documents are ignored; without labels of both classes every score is 0.5; repeated rows get a row each; texts
+are read whole, however long; pairs are drawn by hash, and equal strengths get equal scores; an empty table gives an empty result; other columns may have any name.
 """
 
 from __future__ import annotations

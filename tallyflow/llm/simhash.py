@@ -9,7 +9,8 @@ exact whatever the sample was.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; repeated rows keep one result
 row each; an empty table gives an empty result; columns other than the id and the text are ignored, whatever their
-names; a component whose ids are all null has a null id.
+names; a component whose ids are all null has a null id; texts are read whole, however long, a batch's long texts in
+slices; a bit that half of the shingles set, a tie, is 0.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ logistic curve, fitted on labelled documents that the lexicon hasn't seen, maps
 Bound: at most about LABELLED documents of each class are learnt from.
 
 Defined cases: a null or empty text has no segment and the score of a text without any; without labels of both
-classes every score is 0; repeated rows get a row each; an empty table gives an empty result; texts are read whole;
+classes every score is 1 / (1 + e^30), next to 0; equal texts have equal scores; repeated rows get a row each; an empty table gives an empty result; texts are read whole;
 other columns may have any name.
 """
 

@@ -5,7 +5,7 @@ the expressions meet the rules in an equi-join on a short prefix of their SHA-25
 The longest rule wins; of equal ones a block.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule; repeated rows keep a
-row each; an empty table or rule set gives an empty result or the default verdict; other columns may have any name.
+row each; a url of any length is judged whole; an empty table or rule set gives an empty result or the default verdict; other columns may have any name.
 """
 
 from __future__ import annotations
