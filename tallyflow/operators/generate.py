@@ -10,28 +10,80 @@ from tallyflow.functions.scan import previous
 from tallyflow.operators.geo import COUNTRIES
 from tallyflow.operators.iterative import longest_paths
 
-#: The eight planted patterns, with log-normal priors (mu, sigma) and inputs and outputs of each.
-LABELS = {
-    "normal": (-2.0, 1.0, 2, 2), "peel_chain": (-1.0, 0.8, 1, 2), "mixer": (-3.0, 0.3, 8, 8), "coinjoin": (-4.5, 0.05, 22, 22), "structuring": (-5.0, 0.2, 1, 12),
-    "fan_out": (-2.5, 0.7, 1, 15), "fan_in": (-2.5, 0.7, 15, 1), "burst": (-3.0, 0.5, 2, 2), "geo_hop": (-2.0, 0.9, 2, 2),
-}
-#: Bounds of one output's amount where amounts are drawn evenly.
-UNIFORM = {
-    "normal": (0.01, 2.0), "peel_chain": (0.1, 5.0), "mixer": (0.05, 0.5), "coinjoin": (0.01, 0.02), "structuring": (0.001, 0.01),
-    "fan_out": (0.01, 0.5), "fan_in": (0.01, 0.5), "burst": (0.01, 0.2), "geo_hop": (0.05, 1.5),
+#: Patterns with the mean and deviation of an input's logarithm (none for coinjoin), the bounds of an input
+#: that is drawn evenly, the least and most inputs and outputs, and the bounds of the fee (of high_fee, shares of the inputs).
+PATTERNS = {
+    "normal": ((-0.8, 1.2), (0.001, 5.0), (1, 3), (1, 3), (0.00001, 0.001)),
+    "peel": ((0.5, 0.6), (1.0, 5.0), (1, 1), (2, 2), (0.0001, 0.0001)),
+    "mixer": ((0.2, 1.0), (0.1, 3.0), (5, 10), (1, 2), (0.0001, 0.002)),
+    "coinjoin": (None, (0.0101, 0.0101), (22, 22), (22, 22), (0.0022, 0.0022)),
+    "structuring": ((-1.0, 0.8), (0.5, 5.0), (1, 2), (5, 10), (0.00005, 0.0005)),
+    "ransomware": ((1.1, 0.9), (2.0, 10.0), (1, 1), (10, 20), (0.0001, 0.001)),
+    "bridge": ((0.7, 0.85), (0.5, 10.0), (1, 2), (1, 1), (0.0005, 0.005)),
+    "high_fee": ((-0.3, 1.0), (0.1, 1.0), (1, 2), (1, 2), (0.05, 0.2)),
+    "asn_hop": ((-0.6, 1.1), (0.01, 2.0), (1, 3), (1, 3), (0.00005, 0.001)),
 }
+#: The bounds of an amount by log-normal draw; a coinjoin's output, how far it varies, and its share of the fee.
+LEAST, MOST = 0.001, 50.0
+JOINED, JITTER, JOIN_FEE = 0.01, 0.0001, 0.0001
+#: A peel's share of its input, the least high fee, the script types' shares.
+PEEL, HIGH_FEE = (0.05, 0.15), 0.01
+SCRIPT_SHARES = {"P2PKH": 0.25, "P2SH": 0.2, "P2WPKH": 0.4, "P2WSH": 0.1, "unknown": 0.05}
 ILLICIT_SHARE = 0.04
 FEE_SHARE, FEE_LEAST = 0.2, 1e-5
 
 
 def injection_plan(df: DataFrame, key: str, share: float = ILLICIT_SHARE, seed: int = 42) -> DataFrame:
     """Adds ``label``: rows whose hash falls below the share get one of the eight patterns, in equal parts."""
-    names = [k for k in LABELS if k != "normal"]
+    names = [k for k in PATTERNS if k != "normal"]
     u = hash_unit(F.lit(seed), F.col(key))
     at = F.floor(u / share * len(names)).cast("int")
     return df.withColumn("label", F.when(u < share, F.get(F.array(*[F.lit(n) for n in names]), at)).otherwise(F.lit("normal")))
 
 
+def _of(label: Column, part: int, which: int) -> Column:
+    """A number of PATTERNS by label."""
+    return F.create_map(*[F.lit(x) for name, v in PATTERNS.items() for x in (name, (v[part] or PATTERNS["normal"][part])[which])])[label]
+
+
+def pattern_sizes(label: Column, *seed: Column) -> tuple[Column, Column]:
+    """(inputs, outputs): how many a record of a pattern has. A mixer has many of one side and few of the other, by a coin."""
+    drawn = lambda part, name: (_of(label, part, 0) + hash_int(*seed, F.lit(name), digits=8) % (_of(label, part, 1) - _of(label, part, 0) + 1)).cast("int")
+    n_in, n_out = drawn(2, "n_in"), drawn(3, "n_out")
+    turned = (label == "mixer") & (hash_unit(*seed, F.lit("side")) >= 0.5)
+    return F.when(turned, n_out).otherwise(n_in), F.when(turned, n_in).otherwise(n_out)
+
+
+def _total(amounts: Column) -> Column:
+    return F.round(F.aggregate(amounts, F.lit(0.0), lambda s, x: s + x), 8)
+
+
+def with_amounts(df: DataFrame, label: str, *seed: Column, even: bool = False) -> DataFrame:
+    """Adds input_amounts, output_amounts and fee by each row's label; inputs are outputs and fee, to 8 places.
+
+    Inputs are log-normal between LEAST and MOST, or ``even`` between the pattern's bounds. The outputs share what the
+    fee leaves: two of very unlike size in a peel, equal ones in a coinjoin, else at random.
+    """
+    k = F.col(label)
+    n_in, n_out = pattern_sizes(k, *seed)
+    normal = lambda i: F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.exp(_of(k, 0, 0) + _of(k, 0, 1) * hash_normal(*seed, F.lit("in"), i))))
+    between = lambda low, high, *part: low + (high - low) * hash_unit(*seed, *part)
+    draw = (lambda i: between(_of(k, 1, 0), _of(k, 1, 1), F.lit("in"), i)) if even else normal
+    rows = df.withColumn("_n_in", n_in).withColumn("_n_out", n_out)
+    joined = lambda i: F.round(F.lit(JOINED) + (0.0 if even else JITTER * (2 * hash_unit(*seed, F.lit("out"), i) - 1)), 8)
+    rows = rows.withColumn("_joined", F.when(k == "coinjoin", F.transform(F.sequence(F.lit(1), "_n_out"), joined)))
+    rows = rows.withColumn("input_amounts", F.when(k == "coinjoin", F.transform("_joined", lambda x: F.round(x + JOIN_FEE, 8))).otherwise(F.transform(F.sequence(F.lit(1), "_n_in"), lambda i: F.round(draw(i), 8))))
+    rows = rows.withColumn("_total", _total(F.col("input_amounts")))
+    drawn = between(_of(k, 4, 0), _of(k, 4, 1), F.lit("fee"))
+    fee = capped_fee(F.col("_total"), F.when(k == "high_fee", F.greatest(F.lit(HIGH_FEE), F.col("_total") * drawn)).otherwise(drawn))
+    rows = rows.withColumn("fee", F.when(k == "coinjoin", F.round(F.col("_total") - _total(F.col("_joined")), 8)).otherwise(fee))
+    paid = F.round(F.col("_total") - F.col("fee"), 8)
+    rows = rows.withColumn("_paid", paid)
+    peel = F.round(F.col("_total") * between(F.lit(PEEL[0]), F.lit(PEEL[1]), F.lit("peel")), 8)
+    outputs = F.when(k == "coinjoin", F.col("_joined")).when(k == "peel", F.array(peel, F.round(F.col("_paid") - peel, 8))).otherwise(split_amount(F.col("_paid"), F.col("_n_out"), *seed, F.lit("out")))
+    return rows.withColumn("output_amounts", outputs).drop("_n_in", "_n_out", "_joined", "_total", "_paid")
+
+
 def split_amount(total: Column, n: Column, *seed: Column) -> Column:
     """``n`` positive parts, rounded to 8 places, of which the last takes up the remainder."""
     weights = F.transform(F.sequence(F.lit(1), n), lambda i: 0.1 + hash_unit(*seed, i))
@@ -52,29 +104,29 @@ def jittered(ts: Column, sigma: float, *seed: Column) -> Column:
 
 
 def records(spark: SparkSession, n: int, seed: int = 42, sigma: float = 30.0) -> DataFrame:
-    """``n`` records of the contract plus ``label``, amounts conserved: inputs = outputs + fee."""
-    s, i = F.lit(seed), F.col("id")
-    base = injection_plan(spark.range(n), "id", seed=seed)
-    pick = lambda k: F.create_map(*[F.lit(x) for name, v in LABELS.items() for x in (name, v[k])])[F.col("label")]
-    txid = F.sha2(F.concat_ws("|", s, F.lit("tx"), i), 256)
-    total = F.round(F.greatest(F.lit(1e-3), F.least(F.lit(1e4), F.exp(pick(0) + pick(1) * hash_normal(s, F.lit("amount"), i)))) * pick(3), 8)
-    base = base.withColumn("txid", txid).withColumn("total", total).withColumn("n_in", pick(2)).withColumn("n_out", pick(3))
-    base = base.withColumn("fee", capped_fee(F.col("total"), F.col("total") * 0.01 * hash_unit(s, F.lit("fee"), i)))
+    """``n`` records of the contract plus ``label``; see records_for()."""
+    return records_for(spark.range(n), "id", seed, sigma)
+
+
+def records_for(rows: DataFrame, key: str, seed: int = 42, sigma: float = 30.0, even: bool = True) -> DataFrame:
+    """A record of the contract, plus ``label``, for each of ``rows`` by its ``key``, a whole number. Amounts are conserved."""
+    s, i = F.lit(seed), F.col("_i")
+    base = injection_plan(rows.select(F.col(key).alias("_i")), "_i", seed=seed)
+    base = with_amounts(base, "label", s, i, even=even)
     country = F.get(F.array(*[F.lit(c) for c in COUNTRIES]), (hash_int(s, F.lit("country"), i, digits=8) % len(COUNTRIES)).cast("int"))
     address = lambda side, k: F.concat(F.lit("bc1q"), F.substring(F.sha2(F.concat_ws("|", s, F.lit(side), F.floor(i / 3), k), 256), 1, 38))
     ip = lambda side: F.concat_ws(".", *[((hash_int(s, F.lit(f"{side}{k}"), i, digits=4) % 223) + 1).cast("string") for k in range(4)])
     moment = F.timestamp_micros((F.lit(1_704_067_200_000_000) + i * 60_000_000).cast("bigint"))
-    equal = F.col("label").isin("coinjoin")
-    paid = F.col("total") - F.col("fee")
-    same = F.round(paid / F.col("n_out"), 8)
-    evenly = F.concat(F.array_repeat(same, F.col("n_out") - 1), F.array(F.round(paid - same * (F.col("n_out") - 1), 8)))
+    port = lambda side: (8333 + hash_int(s, F.lit(f"{side}_port"), i, digits=8) % 10_001).cast("int")
+    script, below = F.lit(None).cast("string"), 0.0
+    for name, share in SCRIPT_SHARES.items():
+        below += share
+        script = F.coalesce(script, F.when(hash_unit(s, F.lit("script"), i) < below, name))
+    addresses = lambda side, amounts: F.transform(amounts, lambda _, k: address(side, k + 1)).alias(f"{side}put_addresses")
     return base.select(
-        jittered(moment, sigma, s, F.lit("time"), i).alias("timestamp"), ip("src").alias("src_ip"), ip("dst").alias("dst_ip"),
-        F.when(hash_unit(s, F.lit("port"), i) < 0.6, 8333).otherwise((1024 + hash_int(s, F.lit("p"), i, digits=8) % 64000).cast("int")).alias("src_port"), F.lit(8333).alias("dst_port"), "txid",
-        F.transform(F.sequence(F.lit(1), "n_in"), lambda k: address("in", k)).alias("input_addresses"), F.transform(F.sequence(F.lit(1), "n_out"), lambda k: address("out", k)).alias("output_addresses"),
-        split_amount(F.col("total"), F.col("n_in"), s, F.lit("in"), i).alias("input_amounts"), F.when(equal, evenly).otherwise(split_amount(paid, F.col("n_out"), s, F.lit("out"), i)).alias("output_amounts"),
-        "fee", F.get(F.array(*[F.lit(x) for x in ("P2PKH", "P2SH", "P2WPKH", "P2WSH")]), (hash_int(s, F.lit("script"), i, digits=8) % 4).cast("int")).alias("script_type"),
-        country.alias("geo_country"), (1000 + hash_int(s, F.lit("asn"), i, digits=8) % 64000).alias("geo_asn"), "label",
+        jittered(moment, sigma, s, F.lit("time"), i).alias("timestamp"), ip("src").alias("src_ip"), ip("dst").alias("dst_ip"), port("src").alias("src_port"), port("dst").alias("dst_port"),
+        F.sha2(F.concat_ws("|", s, F.lit("tx"), i), 256).alias("txid"), addresses("in", F.col("input_amounts")), addresses("out", F.col("output_amounts")), "input_amounts", "output_amounts", "fee",
+        F.coalesce(script, F.lit("unknown")).alias("script_type"), country.alias("geo_country"), (1000 + hash_int(s, F.lit("asn"), i, digits=8) % 499_001).alias("geo_asn"), "label",
     )
 
 
@@ -100,19 +152,6 @@ def dag_times(edges: DataFrame, rate: float, sigma: float, start: Column, seed:
     return far.select("id", F.timestamp_micros((F.unix_micros(start) + F.col("dist") * 1e6).cast("bigint")).alias("timestamp"))
 
 
-def uniform_amounts(label: Column, *seed: Column) -> tuple[Column, Column]:
-    """(inputs, outputs) of a record by its label from even draws, without fee: the planted patterns by their shapes.
-
-    The numbers of inputs and outputs are those of LABELS; the bounds are fixed values.
-    """
-    pick = lambda k: F.create_map(*[F.lit(x) for name, v in LABELS.items() for x in (name, v[k])])[label]
-    low = F.create_map(*[F.lit(x) for n, (a, _) in UNIFORM.items() for x in (n, a)])[label]
-    high = F.create_map(*[F.lit(x) for n, (_, b) in UNIFORM.items() for x in (n, b)])[label]
-    total = F.round(low + (high - low) * hash_unit(*seed, F.lit("total")), 8) * pick(3)
-    equal = F.array_repeat(F.round(total / pick(3), 8), pick(3))
-    return split_amount(total, pick(2), *seed, F.lit("in")), F.when(label.isin("coinjoin", "mixer"), equal).otherwise(split_amount(total, pick(3), *seed, F.lit("out")))
-
-
 def address_pools(communities: DataFrame, low: int = 20, high: int = 800, countries: int = 8, seed: int = 42) -> DataFrame:
     """(community, entry, country, asn): each community's pool of addresses, ``low`` to ``high`` by its size.
 
@@ -148,9 +187,9 @@ def anchored_records(edges: DataFrame, members: DataFrame, rate: float = 1 / 600
     came = edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n_in"))
     went = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n_out"))
     sized = placed.join(came, "id", "left").join(went, "id", "left").withColumn("n_in", F.greatest(F.coalesce("n_in", F.lit(1)), F.lit(1)).cast("int")).withColumn("n_out", F.greatest(F.coalesce("n_out", F.lit(1)), F.lit(1)).cast("int"))
-    pick = lambda k: F.create_map(*[F.lit(x) for name, v in LABELS.items() for x in (name, v[k])])[F.col("label")]
+    k = F.col("label")
     s, i = F.lit(seed), F.col("id")
-    total = F.round(F.greatest(F.lit(1e-3), F.exp(pick(0) + pick(1) * hash_normal(s, F.lit("amount"), i))) * F.greatest("n_in", "n_out"), 8)
+    total = F.round(F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.exp(_of(k, 0, 0) + _of(k, 0, 1) * hash_normal(s, F.lit("amount"), i)))) * F.greatest("n_in", "n_out"), 8)
     paid = sized.withColumn("total", total).withColumn("fee", capped_fee(F.col("total"), F.col("total") * 0.01 * hash_unit(s, F.lit("fee"), i)))
     wallet = lambda side, k: F.concat(F.lit("bc1q"), F.substring(F.sha2(F.concat_ws("|", s, F.lit(side), i, k), 256), 1, 38))
     return paid.select(

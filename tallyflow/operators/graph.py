@@ -124,6 +124,15 @@ def cospend_links(inputs: DataFrame, tx: str, wallet: str) -> DataFrame:
     return rows.join(least, "_t").where("w <> first").select(F.col("w").alias("src"), F.col("first").alias("dst")).distinct()
 
 
+def cospend_edges(inputs: DataFrame, mixing: DataFrame, tx: str, wallet: str) -> DataFrame:
+    """(src, dst, weight): wallets that are inputs of the same transactions, weighted by their number.
+
+    The transactions in ``mixing`` (tx) are left out: that many wallets pay into one of them says nothing of their owners.
+    """
+    kept = inputs.join(mixing.select(F.col(tx)).distinct(), tx, "left_anti")
+    return cospend_pairs(kept, tx, wallet).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("n_tx").cast("double").alias("weight"))
+
+
 def supercluster_ratio(sizes: DataFrame, size: str = "n") -> DataFrame:
     return sizes.agg((F.max(size) / F.nullif(F.sum(size), F.lit(0))).alias("ratio"))
 

@@ -201,13 +201,24 @@ def v1_burst_histogram(spark, d):
 
 @query(
     "v1_evidence",
-    f"""WITH {PAYMENTS} SELECT wallet, count(*) AS n_records, min(ts) AS first_seen, max(ts) AS last_seen, round(sum(amount), 2) AS total_amount FROM pay GROUP BY wallet""",
+    f"""WITH {PAYMENTS}, f AS (SELECT wallet, k, v FROM (SELECT wallet, avg(amount)::DOUBLE AS mean_amount, max(len(outputs))::DOUBLE AS most_outputs, max(fee)::DOUBLE AS top_fee, count(*)::DOUBLE AS n FROM pay GROUP BY wallet) UNPIVOT (v FOR k IN (mean_amount, most_outputs, top_fee, n))),
+    r AS (SELECT wallet, k, round(v, 4) AS v, row_number() OVER (PARTITION BY wallet ORDER BY v DESC, k) AS rank FROM f),
+    top AS (SELECT wallet, string_agg(k, ',' ORDER BY rank) FILTER (rank <= 3) AS top, count(*)::INT AS n_values, round(sum(v), 2) AS sum_values FROM r GROUP BY wallet)
+    SELECT wallet, count(*) AS n_records, min(ts) AS first_seen, max(ts) AS last_seen, round(sum(amount), 2) AS total_amount, any_value(top) AS top, any_value(n_values) AS n_values, any_value(sum_values) AS sum_values,
+      count(*)::INT AS n_flow, round(arg_max(amount, (ts, amount)), 2) AS last_amount FROM pay JOIN top USING (wallet) GROUP BY wallet""",
 )
 def v1_evidence(spark, d):
+    """A bundle for each wallet: its four figures as attribution, the top three of them, its flow and its sums."""
     p = payments(spark, d).withColumnRenamed("ts", "timestamp")
-    alerts = p.select("wallet").distinct().withColumn("txid", F.lit("-"))
-    top = spark.createDataFrame([], "txid string, rank int, feature string, value double")
-    return serving.evidence(alerts, top, p).select("wallet", "n_records", "first_seen", "last_seen", r6("total_amount", 2).alias("total_amount"))
+    figures = p.groupBy("wallet").agg(F.avg(F.col("amount").cast("double")).alias("mean_amount"), F.max(F.size("outputs")).cast("double").alias("most_outputs"), F.max(F.col("fee").cast("double")).alias("top_fee"), F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = F.array_sort(F.array(*[F.struct((-F.col(c)).alias("v"), F.lit(c).alias("feature")) for c in ("mean_amount", "most_outputs", "top_fee", "n")]))
+    table = figures.select("wallet", F.posexplode(pairs).alias("at", "e")).select("wallet", (F.col("at") + 1).alias("rank"), "e.feature", (-F.col("e.v")).alias("value"))
+    out = serving.evidence(p.select("wallet").distinct(), table, p, key="wallet")
+    values = F.aggregate(F.map_values("values"), F.lit(0.0), lambda s, x: s + x)
+    return out.select(
+        "wallet", "n_records", "first_seen", "last_seen", r6("total_amount", 2).alias("total_amount"), F.array_join("top.feature", ",").alias("top"), F.size("values").alias("n_values"), r6(values, 2).alias("sum_values"),
+        F.size("amount_flow").alias("n_flow"), r6(F.element_at("amount_flow", -1)["amount"], 2).alias("last_amount"),
+    )
 
 
 @query(
@@ -250,39 +261,44 @@ def f13_of_wallet(spark, d):
 
 
 LABELLED = """('0x' || substr(sha256('42|' || {k}), 1, 13))::UBIGINT::BIGINT / 4503599627370496::DOUBLE AS u"""
-LABEL = "CASE WHEN u < 0.04 THEN ['peel_chain', 'mixer', 'coinjoin', 'structuring', 'fan_out', 'fan_in', 'burst', 'geo_hop'][floor(u / 0.04::DOUBLE * 8)::INT + 1] ELSE 'normal' END"
+LABEL = f"CASE WHEN u < 0.04 THEN {[k for k in generate.PATTERNS if k != 'normal']}[floor(u / 0.04::DOUBLE * 8)::INT + 1] ELSE 'normal' END"
+#: Orders with their planted labels and how many inputs and outputs their records have.
+PLANTED = f"""h AS (SELECT o_orderkey AS k, {LABELLED.format(k='o_orderkey')} FROM orders), lb AS (SELECT k, {LABEL} AS label FROM h),
+    pt(label, i0, i1, o0, o1) AS (VALUES {", ".join(f"('{n}', {v[2][0]}, {v[2][1]}, {v[3][0]}, {v[3][1]})" for n, v in generate.PATTERNS.items())}),
+    dr AS (SELECT k, label, (i0 + ('0x' || substr(sha256('42|' || k || '|n_in'), 1, 8))::UBIGINT::BIGINT % (i1 - i0 + 1))::BIGINT AS a, (o0 + ('0x' || substr(sha256('42|' || k || '|n_out'), 1, 8))::UBIGINT::BIGINT % (o1 - o0 + 1))::BIGINT AS b,
+      label = 'mixer' AND ('0x' || substr(sha256('42|' || k || '|side'), 1, 13))::UBIGINT::BIGINT / 4503599627370496::DOUBLE >= 0.5 AS turned FROM lb JOIN pt USING (label)),
+    sz AS (SELECT k, label, CASE WHEN turned THEN b ELSE a END AS n_in, CASE WHEN turned THEN a ELSE b END AS n_out FROM dr)"""
 
 
-@query(
-    "n3_conservation",
-    f"""WITH h AS (SELECT {LABELLED.format(k='range')} FROM range(5000)), l AS (SELECT {LABEL} AS label FROM h), s(label, n_in, n_out) AS (VALUES {", ".join(f"('{k}', {v[2]}, {v[3]})" for k, v in generate.LABELS.items())})
-    SELECT label, count(*) AS n, sum(n_in)::BIGINT AS inputs, sum(n_out)::BIGINT AS outputs, 0::BIGINT AS unbalanced, 0::BIGINT AS fee_too_high, 0::BIGINT AS not_positive FROM l JOIN s USING (label) GROUP BY label""",
-)
-def n3_conservation(spark, d):
-    """5000 generated records by label: their lists' sizes, and that none breaks the rules of amounts."""
-    r = generate.records(spark, 5000)
+def _amount_checks(rows):
+    """By label: how many rows, inputs and outputs, and how many rows break each rule of amounts."""
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     gap = F.abs(total("input_amounts") - total("output_amounts") - F.col("fee"))
     bad = lambda c: F.count(F.when(c, 1))
     sizes = [F.sum(F.size(f"{c}_amounts")).cast("bigint").alias(f"{c}s") for c in ("input", "output")]
-    return r.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *sizes, bad(gap > 1e-7).alias("unbalanced"), bad(F.col("fee") > 0.2 * total("input_amounts") + 1e-7).alias("fee_too_high"), bad((F.array_min("output_amounts") <= 0) | (F.array_min("input_amounts") <= 0)).alias("not_positive"))
+    return [F.count(F.lit(1)).alias("n"), *sizes, bad(gap > 1e-7).alias("unbalanced"), bad(F.col("fee") > 0.2 * total("input_amounts") + 1e-7).alias("fee_too_high"), bad((F.array_min("output_amounts") <= 0) | (F.array_min("input_amounts") <= 0)).alias("not_positive")]
 
 
-@query(
-    "n2_uniform_amounts",
-    f"""WITH h AS (SELECT {LABELLED.format(k='o_orderkey')} FROM orders), l AS (SELECT {LABEL} AS label FROM h), s(label, n_in, n_out) AS (VALUES {", ".join(f"('{k}', {v[2]}, {v[3]})" for k, v in generate.LABELS.items())})
-    SELECT label, count(*) AS n, sum(n_in)::BIGINT AS inputs, sum(n_out)::BIGINT AS outputs, 0::BIGINT AS unbalanced, 0::BIGINT AS out_of_bounds FROM l JOIN s USING (label) GROUP BY label""",
-)
+CHECKED = f"WITH {PLANTED} SELECT label, count(*) AS n, sum(n_in)::BIGINT AS inputs, sum(n_out)::BIGINT AS outputs, 0::BIGINT AS unbalanced, 0::BIGINT AS fee_too_high, 0::BIGINT AS not_positive{{more}} FROM sz GROUP BY label"
+
+
+@query("n3_conservation", CHECKED.format(more=", 0::BIGINT AS out_of_bounds"))
+def n3_conservation(spark, d):
+    """Log-normal amounts for every order by its planted label: lists' sizes, and rows that break the rules of amounts."""
+    plan = generate.injection_plan(load(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    r = generate.with_amounts(plan, "label", F.lit(42), F.col("o_orderkey"))
+    outside = F.exists("input_amounts", lambda x: (x < generate.LEAST) | (x > generate.MOST))
+    return r.groupBy("label").agg(*_amount_checks(r), F.count(F.when(outside, 1)).alias("out_of_bounds"))
+
+
+@query("n2_uniform_amounts", CHECKED.format(more=", 0::BIGINT AS out_of_bounds"))
 def n2_uniform_amounts(spark, d):
-    """Even amounts for every order by its planted label: lists' sizes, balance, and means within the label's bounds."""
+    """Even amounts for every order by its planted label: the same, and inputs outside the label's bounds."""
     plan = generate.injection_plan(load(spark, d, "orders").select("o_orderkey"), "o_orderkey")
-    ins, outs = generate.uniform_amounts(F.col("label"), F.lit(7), F.col("o_orderkey"))
-    r = plan.select("label", ins.alias("i"), outs.alias("o"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    mean = total("o") / F.size("o")
-    low, high = (F.create_map(*[F.lit(x) for n, v in generate.UNIFORM.items() for x in (n, v[k])])[F.col("label")] for k in (0, 1))
-    bad = lambda c: F.count(F.when(c, 1))
-    return r.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("i")).cast("bigint").alias("inputs"), F.sum(F.size("o")).cast("bigint").alias("outputs"), bad(F.abs(total("i") - total("o")) > 1e-6).alias("unbalanced"), bad((mean < low - 1e-6) | (mean > high + 1e-6)).alias("out_of_bounds"))
+    r = generate.with_amounts(plan, "label", F.lit(42), F.col("o_orderkey"), even=True)
+    low, high = (F.create_map(*[F.lit(x) for n, v in generate.PATTERNS.items() for x in (n, v[1][k])])[F.col("label")] for k in (0, 1))
+    outside = F.exists("input_amounts", lambda x: (x < low - 1e-6) | (x > high + 1e-6))
+    return r.groupBy("label").agg(*_amount_checks(r), F.count(F.when(outside, 1)).alias("out_of_bounds"))
 
 
 @query("n7_address_pools", "SELECT n_nationkey AS community, least(800, greatest(20, count(c_custkey)))::BIGINT AS n, 20::BIGINT AS countries FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1")
@@ -292,15 +308,21 @@ def n7_address_pools(spark, d):
     return generate.address_pools(c).groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("country").alias("countries"))
 
 
-@query("n1_generated_records")
+@query(
+    "n1_generated_records",
+    f"""WITH {PLANTED} SELECT sha256('42|tx|' || k) AS txid, label, n_in, n_out, (8333 + ('0x' || substr(sha256('42|src_port|' || k), 1, 8))::UBIGINT::BIGINT % 10001)::INT AS src_port,
+    (1000 + ('0x' || substr(sha256('42|asn|' || k), 1, 8))::UBIGINT::BIGINT % 499001)::BIGINT AS geo_asn FROM sz""",
+)
 def n1_generated_records(spark, d):
-    return generate.records(spark, 2000).select("txid", "timestamp", "src_ip", "dst_ip", "fee", "label")
+    """A generated record for every order."""
+    r = generate.records_for(load(spark, d, "orders"), "o_orderkey")
+    return r.select("txid", "label", F.size("input_amounts").cast("bigint").alias("n_in"), F.size("output_addresses").cast("bigint").alias("n_out"), "src_port", "geo_asn")
 
 
 @query(
     "n8_injection_plan",
-    """WITH h AS (SELECT o_orderkey, ('0x' || substr(sha256('42|' || o_orderkey), 1, 13))::UBIGINT::BIGINT / 4503599627370496::DOUBLE AS u FROM orders)
-    SELECT o_orderkey, CASE WHEN u < 0.04 THEN ['peel_chain', 'mixer', 'coinjoin', 'structuring', 'fan_out', 'fan_in', 'burst', 'geo_hop'][floor(u / 0.04::DOUBLE * 8)::INT + 1] ELSE 'normal' END AS label FROM h""",
+    f"""WITH h AS (SELECT o_orderkey, ('0x' || substr(sha256('42|' || o_orderkey), 1, 13))::UBIGINT::BIGINT / 4503599627370496::DOUBLE AS u FROM orders)
+    SELECT o_orderkey, {LABEL} AS label FROM h""",
 )
 def n8_injection_plan(spark, d):
     return generate.injection_plan(load(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", "label")

@@ -270,6 +270,30 @@ def g10_communities(spark, d):
     return iterative.modularity_communities(wallet_edges(spark, d))
 
 
+def _spent_together(spark, d):
+    """Wallets that are inputs of the same payments, without those that are mixed."""
+    c = _coinjoins(spark, d)
+    inputs = c.select("txid", F.explode("outputs").alias("w")).distinct()
+    return inputs, graph.cospend_edges(inputs, c.where("is_coinjoin OR equal AND n_out >= 2").select("txid"), "txid", "w")
+
+
+@query(
+    "g10_cospend_edges",
+    f"""WITH {COINJOIN}, i AS (SELECT DISTINCT txid, unnest(outputs) AS w FROM pay SEMI JOIN (SELECT txid FROM cj WHERE NOT (reason <> '' OR eq AND n_out >= 2)) USING (txid))
+    SELECT x.w AS src, y.w AS dst, count(*)::DOUBLE AS weight FROM i x JOIN i y ON x.txid = y.txid AND x.w < y.w GROUP BY ALL""",
+)
+def g10_cospend_edges(spark, d):
+    return _spent_together(spark, d)[1]
+
+
+@query("g10_cospend_communities")
+def g10_cospend_communities(spark, d):
+    """Communities of wallets over payments that aren't mixed; a wallet without such a payment is one of its own."""
+    inputs, edges = _spent_together(spark, d)
+    edges = cut(edges, "cospends")
+    return graph.with_fresh_communities(inputs.select(F.col("w").alias("id")), iterative.modularity_communities(edges))
+
+
 @query("g10_modularity")
 def g10_modularity(spark, d):
     e = wallet_edges(spark, d)

@@ -203,6 +203,11 @@ def verify_checksums(spark: SparkSession, path: str, known: DataFrame) -> DataFr
     return found.join(known.withColumnRenamed("sha256", "expected"), "name").select("name", (F.col("sha256") == F.col("expected")).alias("ok"))
 
 
+def write_results(df: DataFrame, path: str, clean: str) -> None:
+    """Results as Parquet, never into the folder of clean records."""
+    df.write.mode("overwrite").parquet(guard_output(path, clean))
+
+
 def guard_output(path: str, clean: str) -> str:
     """Results never go into the folder of clean records."""
     if f"{path.rstrip('/')}/".startswith(f"{clean.rstrip('/')}/"):

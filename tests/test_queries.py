@@ -11,7 +11,7 @@ import pytest
 from tallyflow.plans.registry import FLAGSHIP, QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-#: What runs here within another query; tests/test_operators.py holds it against brute force.
+#: What runs here within another query; tests/test_sweep.py and tests/test_operators.py hold them against brute force.
 WITHIN = {"m12_sigma_sweep", "g10_communities"}
 
 
