@@ -5,11 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyflow.functions import aggregates, scalars
-from tallyflow.functions.tables import load
+from tallyflow.functions.tables import load, scratch
 from tallyflow.operators import features, geo, iterative, metrics
 from tallyflow.plans.base import NATIONS, PAYMENTS, betweenness_sql, events, nation_edges, payments, query, r6, wallet_edges
+from tallyflow.sources import files
 from tallyflow.sources.records import Rule, checked, contract_projection, schema_difference
 
+# ---------------------------------------------------------------- files
+
+
+@query("s4_json_arrays", """SELECT o_orderkey::VARCHAR AS txid, o_orderstatus || '}{"\\' || o_orderpriority AS script_type FROM orders""")
+def s4_json_arrays(spark, d):
+    """Orders to files of one JSON array each, with braces, quotes and backslashes in their strings, and back by blocks."""
+    made = load(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("txid"), F.concat("o_orderstatus", F.lit('}{"\\'), "o_orderpriority").alias("script_type"))
+    files.write_json_arrays(made, path := scratch(spark, "json-arrays"))
+    return files.read_json(spark, path).select("txid", "script_type")
+
+
 # ---------------------------------------------------------------- validation
 
 
