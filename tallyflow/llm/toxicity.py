@@ -8,7 +8,8 @@ scoring segment. Scores of the best segment in clean text follow an extreme-valu
 they turn a segment's score into a normalised one, and a document's is the sum over its significant segments. A
 logistic curve, fitted on labelled documents that the lexicon hasn't seen, maps that to a score from 0 to 1.
 
-Bound: at most about LABELLED documents of each class are learnt from.
+Everything is learnt from all labelled documents: counts, the law's parameters and the curve are sums that tasks make. What
+comes to the driver whole is the lexicon, and how often each of its values is in clean text.
 
 Defined cases: a null or empty text has no segment and the score of a text without any; without labels of both
 classes every score is 1 / (1 + e^30), next to 0; equal texts have equal scores; repeated rows get a row each; an empty table gives an empty result; texts are read whole;
@@ -29,9 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import cut, table
-from tallyflow.llm.quality_model import fold, logistic_differences, sample_labels
+from tallyflow.llm.quality_model import fold, known_labels, logistic_differences
 
-LABELLED = 10_000
 #: Weight of the prior in documents; least deviations from zero, least log-odds and least toxic documents of a token.
 PRIOR_DOCS = 20.0
 STANDS_OUT = 2.4
@@ -167,12 +167,11 @@ def scale(best: list[tuple[int, float]], lam: float) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """Seven in ten sampled documents give the lexicon, the others the calibration."""
-    some, _ = sample_labels(labels, label, LABELLED)
+    """Seven in ten labelled documents give the lexicon, the others the calibration."""
     part = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(10)) < 7
-    joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # about twice LABELLED ids at most
-    sample = cut(joined.select("text", "y", part.alias("first"), F.xxhash64("doc_id").alias("h")), "toxic-sample")
-    learn = sample.where("first")
+    joined = docs.select("doc_id", "text").join(known_labels(labels, label), "doc_id")
+    known = cut(joined.select("text", "y", part.alias("first")), "toxic-known")
+    learn = known.where("first")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
@@ -186,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     if len(n) < 2:
         return Model()
     counts = learn.select("text", "y").mapInArrow(count, "w binary, a bigint, b bigint").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # What stands out among a bounded number of documents, found by Spark, is all that comes to the driver.
+    # What stands out, found by Spark, is all that comes to the driver.
     lexicon = {bytes(r[0]): r[1] for r in log_odds(counts, (n[0], n[1])).collect()}
     model = Model(lexicon)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
@@ -200,24 +199,41 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                 size.append(len(words))
                 at.append([i for i, _ in mine])
                 value.append([v for _, v in mine])
-            yield pa.RecordBatch.from_arrays([pa.array(size, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.float64())), *b.columns[1:]], ["n", "at", "value", "y", "first", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(size, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.float64())), *b.columns[1:]], ["n", "at", "value", "y", "first"])
 
-    scanned = sample.mapInArrow(hits, "n bigint, at array<bigint>, value array<double>, y int, first boolean, h bigint")
-    seen = scanned.orderBy("h", "n").limit(4 * LABELLED).collect()
-    rate = lambda y: max(1e-5, sum(len(r.at) for r in seen if r.y == y) / max(1, sum(r.n for r in seen if r.y == y)))
+    scanned = cut(known.mapInArrow(hits, "n bigint, at array<bigint>, value array<double>, y int, first boolean"), "toxic-hits")
+    seen = {r[0]: (r[1], r[2]) for r in scanned.groupBy("y").agg(F.sum(F.size("at")), F.sum("n")).collect()}
+    rate = lambda y: max(1e-5, seen[y][0] / max(1, seen[y][1]))
     model.drift = max(0.005, math.log((1 - min(0.5, rate(0))) / (1 - min(0.6, rate(1)))))
-    held = [r for r in seen if not r.first] or seen
-    clean = [r for r in held if r.y == 0]
-    values = np.array([v for r in clean for v in r.value])
-    total = max(1, sum(r.n for r in clean))
-    model.lam = root(values, np.full(len(values), 1 / total), 1 - len(values) / total, model.drift)
-    found = [(r.n, segments(list(zip(r.at, r.value, strict=True)), model.drift), r.y) for r in held]
-    model.k = scale([(n_, max((s for _, _, s in f), default=0.0)) for n_, f, y in found if y == 0], model.lam)
-    x = np.array([model.evidence(n_, f) for n_, f, _ in found])
-    y = np.array([y for _, _, y in found])
-    if len(set(y.tolist())) == 2:
-        sign = np.where(y == 1, 1.0, -1.0)
-        w = logistic_differences(np.column_stack([x, np.ones(len(x))]) * sign[:, None], ridge=1e-4)
+    held = scanned if scanned.where("NOT first").isEmpty() else scanned.where("NOT first")
+    clean = held.where("y = 0")
+    total = max(1, clean.agg(F.sum("n")).first()[0] or 0)
+    times = clean.select(F.explode("value").alias("v")).groupBy("v").agg(F.count(F.lit(1))).orderBy("v").collect()  # a row a value of the lexicon at most
+    values, share = np.array([r[0] for r in times]), np.array([r[1] for r in times]) / total
+    model.lam = root(values, share, 1 - float(share.sum()), model.drift)
+
+    drift = model.drift
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = [[s for _, _, s in segments(list(zip(at, v, strict=True)), drift)] for at, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.list_(pa.float64())), b.column(3)], ["n", "found", "y"])
+
+    found = cut(held.select("n", "at", "value", "y").mapInArrow(scan, "n bigint, found array<double>, y int"), "toxic-segments")
+    # As scale() does, summed by Spark.
+    best = F.coalesce(F.array_max("found"), F.lit(0.0))
+    texts, mass = found.where("y = 0").agg(F.count(F.lit(1)), F.sum(F.col("n") * F.exp(-F.least(F.lit(700.0), F.lit(model.lam) * best)))).first()
+    model.k = texts / max(1e-300, mass) if texts else 1.0
+    if found.select("y").distinct().count() == 2:
+        law = Model(drift=model.drift, lam=model.lam, k=model.k)
+
+        def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = [law.evidence(n, [(0, 0, s) for s in f]) for n, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                d = [[v, 1.0] if y == 1 else [-v, -1.0] for v, y in zip(x, b.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.list_(pa.float64()))], ["d"])
+
+        w = logistic_differences(cut(found.mapInArrow(sides, "d array<double>"), "toxic-evidence"), 2, ridge=1e-4)
         model.slope, model.shift = max(0.0, float(w[0])), float(w[1])
     else:
         model.slope, model.shift = 4.0, -4.0

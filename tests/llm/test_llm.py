@@ -113,6 +113,30 @@ def test_threshold_leaves_the_bad_share_below():
     assert ((x @ w) < threshold).mean() == pytest.approx(sizes[0] / 3000, abs=0.001) and w[0] > 5 * abs(w[1])
 
 
+def test_models_are_learnt_from_all_labels(spark, monkeypatch):
+    """What counts is in more labelled documents than any bound; the table's fit is that of the arrays."""
+    rng = np.random.default_rng(6)
+    y = (rng.random(30_000) < 0.8).astype(int)
+    x = np.zeros((len(y), len(quality_model.FEATURES)))
+    x[:, :2] = np.column_stack([y + rng.normal(size=len(y)), rng.normal(size=len(y))]).astype(np.float32)
+    known = spark.createDataFrame([(i, int(c), row.tolist()) for i, (c, row) in enumerate(zip(y, x, strict=True))], "doc_id long, y int, x array<float>")
+    known = quality_model.cut(known, "known")
+    w, threshold = quality_model.fit_table(known)
+    below = ((x @ w) < threshold).sum()
+    assert below == (y == 0).sum()
+    w2, threshold2 = quality_model.fit(x, y, {0: int((y == 0).sum()), 1: int((y == 1).sum())})
+    assert w[:2] == pytest.approx(w2[:2], abs=0.05) and threshold == pytest.approx(threshold2, abs=0.05)
+    pairs = quality_model.differences(known, {0: int((y == 0).sum()), 1: int((y == 1).sum())}, np.ones(len(quality_model.FEATURES)))
+    assert pairs.count() == quality_model.EACH * (y == 1).sum()
+    # Seven in ten of 24 000 documents count, more than seven in ten of 10 000 a class.
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'vile rot here' ELSE 'plain good here' END AS text")
+    labels = spark.range(24_000).selectExpr("id AS doc_id", "CAST(id % 2 = 0 AS INT) AS toxic")
+    seen, odds = [], toxicity.log_odds
+    monkeypatch.setattr(toxicity, "log_odds", lambda c, n: seen.append(n) or odds(c, n))
+    toxicity.train(docs, labels)
+    assert sum(seen[0]) > 16_000 and min(seen[0]) > 8_000
+
+
 def test_segments_are_all_maximal():
     """Against the definition: best-scoring interval first, then left and right of it."""
     rng = random.Random(5)
