@@ -169,7 +169,8 @@ def scale(best: list[tuple[int, float]], lam: float) -> float:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Seven in ten labelled documents give the lexicon, the others the calibration."""
     part = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(10)) < 7
-    joined = docs.select("doc_id", "text").join(known_labels(labels, label), "doc_id")
+    # Joined in one way at any size: texts are shuffled once, in proportion to them, and never sorted.
+    joined = docs.select("doc_id", "text").join(known_labels(labels, label).hint("shuffle_hash"), "doc_id")
     known = cut(joined.select("text", "y", part.alias("first")), "toxic-known")
     learn = known.where("first")
 
