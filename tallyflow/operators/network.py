@@ -2,7 +2,7 @@
 
 Convolutions are D^-1/2 (A + I) D^-1/2 H W + b, rectified; a linear layer and a softmax over classes end them. A node's
 rows are multiplied in Arrow batches by the weights, which are small and broadcast; spreading over edges, forward and
-back, is a join and a sum by node, as the propagation matrix is its own transpose. Each task sums its nodes' gradients to
+back, is a join and a sum by node (see iterative.Propagation), as the propagation matrix is its own transpose. Each task sums its nodes' gradients to
 one vector, and treeReduce adds the tasks' vectors, so the driver sees one gradient a step, whatever the graph's size.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.tables import cut, drop
-from tallyflow.operators.iterative import _propagation, _spread
+from tallyflow.operators.iterative import Propagation, _propagation
 
 HIDDEN = (64, 32)
 #: Adam's usual constants.
@@ -49,15 +49,16 @@ class Network:
             at += w.size + b.size
         return Network(out)
 
-    def predict(self, edges: DataFrame, features: DataFrame) -> DataFrame:
-        """(id, p): the probability of each class for every node of ``features`` (id, x)."""
-        w = cut(_propagation(edges, features), "propagation")
-        x, kind = features.select("id", "x"), features.schema["id"].dataType.simpleString()
+    def predict(self, edges: DataFrame, features: DataFrame, matrix: Propagation | None = None) -> DataFrame:
+        """(id, p): the probability of each class for every node of ``features`` (id, x); ``matrix`` may give their graph's."""
+        w = matrix or _propagation(edges, features)
+        x = w.numbered(features.select("id", "x"))
         for layer in range(len(self.layers) - 1):
-            spread = _spread(w, x, len(self.layers[layer][0]))
+            spread = w.spread(x, len(self.layers[layer][0]))
             last = layer == len(self.layers) - 2
-            x = cut(spread.mapInArrow(_forward(self.layers[layer], self.layers[-1] if last else None), f"id {kind}, x array<double>"), "network")
-        return x.withColumnRenamed("x", "p")
+            x = cut(spread.mapInArrow(_forward(self.layers[layer], self.layers[-1] if last else None), "id bigint, x array<double>"), "network")
+            drop(spread)
+        return w.named(x).withColumnRenamed("x", "p")
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -126,38 +127,42 @@ def _summed(rows: DataFrame) -> np.ndarray:
     return rows.where("id IS NULL").select("g").rdd.map(lambda r: np.array(r[0])).treeReduce(np.add)
 
 
-def gradients(network: Network, w: DataFrame, spread: DataFrame, labels: DataFrame, share: np.ndarray) -> tuple[float, np.ndarray]:
+def gradients(network: Network, w: Propagation, spread: DataFrame, labels: DataFrame, share: np.ndarray) -> tuple[float, np.ndarray]:
     """(loss, flat gradient). ``w`` is the propagation matrix, ``spread`` (id, x) the features spread once, ``labels`` (id, y)."""
-    kind = spread.schema["id"].dataType.simpleString()
+    return _gradients(network, w, cut(w.numbered(spread), "network-features"), cut(w.numbered(labels), "network-labels"), share)
+
+
+def _gradients(network: Network, w: Propagation, spread: DataFrame, labels: DataFrame, share: np.ndarray) -> tuple[float, np.ndarray]:
+    """The same with nodes by their numbers."""
     convs, end, made = network.layers[:-1], network.layers[-1], []
     inputs = [spread]
     for layer in convs[:-1]:
-        out = inputs[-1].select("id", "x").mapInArrow(_forward(layer), f"id {kind}, x array<double>")
-        inputs.append(cut(_spread(w, out, len(layer[1])), "network-in"))
+        inputs.append(w.spread(inputs[-1].select("id", "x").mapInArrow(_forward(layer), "id bigint, x array<double>"), len(layer[1])))
     top = inputs[-1].join(labels, "id", "left").select("id", "x", "y")
-    flow = cut(top.mapInArrow(_top(convs[-1], end, share), f"id {kind}, g array<double>"), "network-back")
+    flow = cut(top.mapInArrow(_top(convs[-1], end, share), "id bigint, g array<double>"), "network-back")
     found = _summed(flow)
     loss, parts = float(found[-1]), [found[:-1]]
     for k in range(len(convs) - 2, -1, -1):
-        back = _spread(w, flow.where("id IS NOT NULL").select("id", F.col("g").alias("x")), len(convs[k][1])).withColumnRenamed("x", "g")
-        both = inputs[k].join(back, "id").select("id", "x", "g")
-        made.append(flow)
-        flow = cut(both.mapInArrow(_below(convs[k], k == 0), f"id {kind}, g array<double>"), "network-back")
+        back = w.spread(flow.where("id IS NOT NULL").select("id", F.col("g").alias("x")), len(convs[k][1]))
+        both = inputs[k].join(back.withColumnRenamed("x", "g"), "id").select("id", "x", "g")
+        made += [flow, back]
+        flow = cut(both.mapInArrow(_below(convs[k], k == 0), "id bigint, g array<double>"), "network-back")
         parts.append(_summed(flow))
     drop(*made, flow, *inputs[1:])
     return loss, np.concatenate(parts[::-1])
 
 
-def fit_network(edges: DataFrame, features: DataFrame, labels: DataFrame, hidden: tuple[int, ...] = HIDDEN, epochs: int = 200, rate: float = 0.01, balanced: bool = True, seed: int = 42) -> tuple[Network, list[float]]:
+def fit_network(edges: DataFrame, features: DataFrame, labels: DataFrame, hidden: tuple[int, ...] = HIDDEN, epochs: int = 200, rate: float = 0.01, balanced: bool = True, seed: int = 42, matrix: Propagation | None = None) -> tuple[Network, list[float]]:
     """A network trained on the nodes of ``labels`` (id, y from 0), and the loss before each of the ``epochs`` steps of Adam.
 
     ``features`` is (id, x array of double, scaled by the caller). Classes weigh the same in the loss unless ``balanced``
-    is off; nodes without a label only pass their features on. There is no dropout.
+    is off; nodes without a label only pass their features on. There is no dropout. ``matrix`` may give the propagation
+    matrix of the graph, where more than the training needs it.
     """
-    w = cut(_propagation(edges, features), "propagation")
+    w = matrix or _propagation(edges, features)
     width = len(features.select("x").first()[0])
-    spread = cut(_spread(w, features.select("id", "x"), width), "network-features")
-    known = cut(labels.select("id", F.col("y").cast("int")).where("y IS NOT NULL"), "network-labels")
+    spread = w.spread(w.numbered(features.select("id", "x")), width)
+    known = cut(w.numbered(labels.select("id", F.col("y").cast("int")).where("y IS NOT NULL")), "network-labels")
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()}  # a row a class
     classes = max(2, max(counts, default=0) + 1)
     share = np.array([1.0 / (len(counts) * counts[c] if balanced else sum(counts.values())) if c in counts else 0.0 for c in range(classes)])
@@ -166,9 +171,11 @@ def fit_network(edges: DataFrame, features: DataFrame, labels: DataFrame, hidden
     flat, losses = net.flat(), []
     m, v = np.zeros_like(flat), np.zeros_like(flat)
     for step in range(1, epochs + 1):
-        loss, grad = gradients(net.shaped(flat), w, spread, known, share)
+        loss, grad = _gradients(net.shaped(flat), w, spread, known, share)
         losses.append(loss)
         m, v = MOMENTS[0] * m + (1 - MOMENTS[0]) * grad, MOMENTS[1] * v + (1 - MOMENTS[1]) * grad**2
         flat = flat - rate * (m / (1 - MOMENTS[0] ** step)) / (np.sqrt(v / (1 - MOMENTS[1] ** step)) + TINY)
-    drop(w, spread, known)
+    drop(spread, known)
+    if matrix is None:
+        w.drop()
     return net.shaped(flat), losses
